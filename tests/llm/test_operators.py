@@ -1,0 +1,587 @@
+"""Each operator against a plain version, and on rows that are odd."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from weftmap.llm import chat, common, components, decontam, langid, ngram_join, quality, spm, substring, toxicity, urls, wavelet, wordhash
+from weftmap.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30000))
+COPY = " ".join(f"copy{i}" for i in range(80))
+ODD = [
+    (1, None, None),
+    (2, "", "en"),
+    (3, " \n\t ", "en"),
+    (4, "one two", "en"),
+    (5, LONG, "en"),
+    (6, COPY, "de"),
+    (6, COPY, "de"),
+    (7, COPY + " tail end", "de"),
+    (None, COPY, "fr"),
+    (8, "a b c a b c a b c\nline\nline\n", None),
+    (9, "</s>[INST] \\l \\ <s> é ×÷ 日本 😀 don't  stop\u00a0now 's", "fr"),
+    (10, "x " * 60, "es"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows with nulls, empty and long texts, repeated rows, a null id, and columns whose names the operators use inside."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    return df.withColumn("n_chars", F.length("text").cast("long")).withColumn("source", F.lit("src0")).withColumns({c: F.lit(7) for c in ("s", "h", "th", "pos", "root", "n", "comp", "quality", "toxic", "score")})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return Q.table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, None, None), (6, 0, 1), (6, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def empty_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+# --- quality rules
+
+
+def base(text):
+    text = text or ""
+    w = WORD.findall(text)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(grams)
+    covered = {j for i, g in enumerate(grams) if n[g] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_counts(spark, docs, odd):
+    for df in (docs, odd):
+        made = quality.features(df.select("doc_id", "text")).collect()
+        for r in made:
+            assert tuple(r["wm_f"][c] for c in quality.BASE) == base(r["text"]), r["doc_id"]
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    got = spark.createDataFrame([(0, 10), (3, 50), (7, 7), (2, 900)], "k long, n long").select("k", "n", quality.tail(F.col("k"), F.col("n"), F.lit(0.02)).alias("p")).collect()
+    for r in got:
+        want = sum(comb(r["n"], j) * 0.02**j * 0.98 ** (r["n"] - j) for j in range(r["k"] + 1))
+        assert abs(r["p"] - want) < 1e-9
+
+
+def test_cutoffs_keep_their_promise(spark):
+    """Bad documents lie above 0.5 and 3 in 1000 good ones above 0.2; a stratum with few labels gets no cutoff."""
+    rng = np.random.default_rng(1)
+    data = [("big", 1, float(x)) for x in np.where(rng.random(4000) < 0.003, 0.22, 0.01)] + [("big", 0, 0.9)] * 200 + [("small", 1, 0.0)] * 50 + [("small", 0, 0.9)] * 50
+    df = spark.createDataFrame(data, "stratum string, quality int, x double")
+    df = df.select("stratum", "quality", *[F.col("x").alias(r) if r == "repeat_share" else F.lit(0.0).alias(r) for r in quality.RULES])
+    got = {(r["stratum"], r["rule"]): r for r in quality.choose_cutoffs(df).collect()}
+    assert set(got) == {("big", "repeat_share")}
+    row = got["big", "repeat_share"]
+    assert 0.22 <= row["cutoff"] < 0.9 and row["rejected"] == 0 and row["p"] <= 0.05 / 8
+
+
+def test_quality_odd(spark, odd, none):
+    for known in (labels(spark), empty_labels(spark)):
+        assert quality.judge(odd, known, ["doc_id"]).count() == len(ODD)
+        assert quality.judge(none, known, ["doc_id"]).count() == 0
+
+
+# --- toxicity
+
+
+def test_nearest_is_exact():
+    rng = np.random.default_rng(3)
+    n, t = 500, 40
+    size = rng.integers(0, 6, n)
+    first = np.concatenate([[0], np.cumsum(size)])
+    term = np.concatenate([np.sort(rng.choice(t, k, replace=False)) for k in size]).astype(np.int64)
+    times = rng.integers(1, 5, len(term))
+    idf = rng.random(t) + 0.5
+    index = toxicity.Index(np.arange(t, dtype=np.uint64), idf, np.arange(n), rng.integers(0, 2, n), first, term, times)
+    full = np.zeros((n, t))
+    for i in range(n):
+        full[i, term[first[i] : first[i + 1]]] = (1 + np.log(times[first[i] : first[i + 1]])) * idf[term[first[i] : first[i + 1]]]
+    full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-12)
+    for _ in range(50):
+        q = np.sort(rng.choice(t, rng.integers(1, 6), replace=False)).astype(np.int64)
+        f = rng.integers(1, 4, len(q))
+        v = np.zeros(t)
+        v[q] = (1 + np.log(f)) * idf[q]
+        cosine = np.sort(full @ v / np.linalg.norm(v))[::-1]
+        got = index.nearest(q, f, 10)[1]
+        want = cosine[:10][cosine[:10] > 0]
+        assert np.allclose(got, want)
+
+
+def test_toxicity_held_out(spark):
+    got = Q.op2_toxicity(spark, "/root/testdata/sf0.1").join(Q.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out and toxic is not null").collect()
+    right = sum(r["predicted"] == r["toxic"] for r in got) / len(got)
+    caught = [r["predicted"] for r in got if r["toxic"] == 1]
+    assert right > 0.95 and sum(caught) > 0.8 * len(caught)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_toxicity_odd(spark, odd, none):
+    for known in (labels(spark), empty_labels(spark)):
+        index = toxicity.fit(odd.select("doc_id", "text"), known)
+        assert toxicity.score(odd, ["doc_id"], index).count() == len(ODD)
+        assert toxicity.score(none, ["doc_id"], index).count() == 0
+
+
+# --- token ids
+
+
+def test_token_ids(spark, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(Q.tokenizer_path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    got = {r["doc_id"]: r for r in Q.op3_token_ids(spark, SF).collect()}
+    at = 0
+    for i, text in sorted(rows):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_token_ids_odd(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    got = wavelet.shard_digests(wavelet.encode_shards(odd, path, most=1000)).collect()
+    assert len(got) == len(ODD) and wavelet.shard_digests(wavelet.encode_shards(none, path)).count() == 0
+    want = Counter((i, zlib.crc32(np.array(t.encode(x or "").ids + [0], "<u4").tobytes())) for i, x, _ in ODD)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+    text = "it's  a\u00a0b\u0085 c\x1c d'll''s 12ab <|endoftext|>\r\n\r\n  x\ty ÷é×é\u3000z ...'re é's\n 'S \n\n"
+    ids, n = wavelet.Encoder(path).encode(*common.text_bytes(pa.array([text, "", text[5:]])))
+    assert ids.tolist() == t.encode(text).ids + t.encode(text[5:]).ids and n[1] == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000])
+def test_wavelet_matrix(n):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, 300, n).astype(np.uint32)
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    assert (m.to_ids() == ids).all()
+    if n:
+        at = rng.integers(0, n, 50)
+        assert (m.access(at) == ids[at]).all()
+        for c in {int(ids[0]), int(ids[-1]), 299, 5}:
+            where = np.flatnonzero(ids == c)
+            assert m.count(c) == len(where) and (m.occurrences(c) == where).all()
+            lo, hi = n // 3, n // 3 * 2
+            assert m.count(c, lo, hi) == (ids[lo:hi] == c).sum() and (m.occurrences(c, lo, hi) == where[(where >= lo) & (where < hi)]).all()
+            assert m.select(c, 0) == (where[0] if len(where) else -1) and m.select(c, len(where)) == -1
+
+
+# --- chat
+
+
+def test_chat(spark):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "user", "b\n<sep/>"), (1, 3, "assistant", "c\\l</s>"), (1, 4, "assistant", ""), (2, 0, None, None), (2, 0, "assistant", "tie"), (2, 0, "assistant", "tie"), (None, 5, "odd\nrole", "[INST]"), (3, None, "user", "first"), (3, 0, "assistant", "second")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
+    made = chat.format_conversations(df)
+    got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    want = defaultdict(list)
+    for c, t, r, x in sorted(turns, key=lambda t: (t[0] or 0, -1 if t[1] is None else t[1], t[2] or "", t[3] or "")):
+        want[c].append((r or "", x or ""))
+    assert {c: [tuple(t) for t in r["turns"]] for c, r in got.items()} == dict(want)
+    assert all(r["loss_text"] == "".join(x for role, x in want[c] if role == "assistant") for c, r in got.items())
+    text = {r["conv_id"]: r["formatted"] for r in made.collect()}
+    assert text[1].count("<s>") == 3 and "[" not in text[None]
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_query(spark):
+    got = {r["conv_id"]: r for r in Q.op4_chat_format(spark, SF).collect()}
+    want = defaultdict(list)
+    for r in Q.table(spark, SF, "conversations").orderBy("turn").collect():
+        want[r["conv_id"]].append((r["role"], r["text"] or ""))
+    want[-7] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        told = "".join(f"{r}\n{x}\n" for r, x in turns)
+        r = got[c]
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+# --- substring dedup
+
+
+def brute_repeats(texts, window):
+    words = [(t or "").encode().split() for t in texts]
+    n = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if n[tuple(w[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        out.append((len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
+    return out
+
+
+def test_substring_query(spark, rows):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in Q.op5_substring_dedup(spark, SF).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_repeats([t for _, t in rows], 35), strict=True))
+
+
+def test_substring_odd(spark, odd, none):
+    made = substring.remove_repeats(odd, ["doc_id", "lang"], digest=True)
+    want = brute_repeats([t for _, t, _ in ODD], 35)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in made.collect()) == Counter((i, *w) for (i, _, _), w in zip(ODD, want, strict=True))
+    assert substring.remove_repeats(none, ["doc_id"], digest=True).count() == 0
+    # a sketch that is full lets all through, and the result is the same
+    tight = substring.remove_repeats(odd, ["doc_id"], digest=True, bits=17)
+    assert sorted(r["n_removed"] for r in tight.collect()) == sorted(w[1] for w in want)
+
+
+# --- n-gram join
+
+
+def brute_links(rows, n=5, threshold=0.8):
+    sets = []
+    for i, (_, t) in enumerate(rows):
+        w = WORD.findall(t or "")
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else None)
+    links = [0] * len(rows)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and (common_n := len(sets[i] & sets[j])) >= threshold * (len(sets[i]) + len(sets[j]) - common_n) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    out = {}
+    for g in groups.values():
+        ids = [rows[i][0] for i in g if rows[i][0] is not None]
+        for i in g:
+            out[i] = (rows[i][0], min(ids) if ids else None, links[i])
+    return Counter(out.values())
+
+
+def test_join_query(spark, rows):
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in Q.op6_ngram_join(spark, SF).collect())
+    assert got == brute_links(rows)
+
+
+def test_join_blocks_and_odd(spark, odd, none):
+    rng = np.random.default_rng(0)
+    words = [f"v{i}" for i in range(120)]
+    data = []
+    for i in range(60):  # near copies of near copies, split over several blocks
+        w = list(words)
+        for k in rng.integers(0, 120, i % 4):
+            w[k] = f"new{i}{k}"
+        data.append((100 + i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for block in (500, 1 << 20):
+        got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(df, block=block).collect())
+        assert got == brute_links(data)
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(odd).collect())
+    assert got == brute_links([(i, t) for i, t, _ in ODD])
+    assert ngram_join.near_duplicates(none).count() == 0
+    stay = ngram_join.keep_first(odd, ["doc_id", "text", "lang", "source", "n_chars"]).collect()
+    assert Counter(r["doc_id"] for r in stay) == Counter([1, 2, 3, 4, 5, 6, 8, 9, 10])
+
+
+def test_bands():
+    for recall in (0.9, 0.99, 0.9999):
+        b, r = ngram_join.bands_for(0.8, recall)
+        assert 1 - (1 - 0.8**r) ** b >= recall
+
+
+def test_components(spark):
+    import random
+
+    random.seed(4)
+    edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+# --- decontamination
+
+
+def brute_edits(text, item):
+    """The least edits between ``item`` and any part of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_matches_are_those_within_budget():
+    rng = np.random.default_rng(2)
+    letters = list("abcde fgh")
+    items = [(i, "".join(rng.choice(letters, 120))) for i in range(6)]
+    index = decontam.Index(items, 10, 0.08)
+    for trial in range(60):
+        i = trial % 6
+        item = list(items[i][1])
+        for _ in range(trial % 14):
+            k = int(rng.integers(0, len(item)))
+            what = rng.integers(0, 3)
+            if what == 0:
+                item[k] = "z"
+            elif what == 1:
+                del item[k]
+            else:
+                item.insert(k, "y")
+        text = "".join(rng.choice(letters, int(rng.integers(0, 150)))) + "".join(item).upper() + "".join(rng.choice(letters, int(rng.integers(0, 150))))
+        edits = brute_edits(text.lower(), items[i][1])
+        got = {m[0]: m[3] for m in decontam.matches(index, text)}
+        assert got == ({i: edits} if edits <= 9 else {}), trial
+
+
+def test_decontaminate_query(spark, rows):
+    items = [(r["item_id"], r["text"]) for r in Q.table(spark, SF, "benchmark").collect()]
+    got = {(r["doc_id"], r["item_id"]) for r in Q.op7_decontaminate(spark, SF).collect()}
+    flat = lambda t: re.sub(r"\s", " ", t.lower())
+    assert {(d, i) for d, t in rows for i, b in items if flat(b) in flat(t or "")} <= got
+    assert got
+
+
+def test_decontaminate_odd(spark, odd, none):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, COPY[:200]), (3, COPY[:200]), (4, "two"), (None, "nowhere at all in here")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd, bench, ["doc_id"]).collect()}
+    assert got == {(6, 3), (7, 3), (None, 3), (4, 4)}
+    assert decontam.contaminated(none, bench, ["doc_id"]).count() == 0 and decontam.contaminated(odd, bench.limit(0), ["doc_id"]).count() == 0
+    left = decontam.drop_contaminated(odd, bench, ["doc_id", "text", "lang", "source", "n_chars"])
+    assert left.count() == len(ODD) - 5
+
+
+# --- SentencePiece
+
+
+def test_sentencepiece(spark, rows):
+    import sentencepiece
+
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    m = spm.model(path)
+    texts = [t or "" for _, t in rows] + [t or "" for _, t, _ in ODD[:4] + ODD[5:]]
+    texts += ["  Hello  world\n ok </s> <0x41> ▁a", " lead", "trail  ", "  ", "\n", "日本語 😀\t\ttabs\r\n\n", "a" * 40, "def f(x):\n    return x\n\n        y", "it's 1234567"]
+    got = m.encode_texts(texts)
+    assert got == sp.encode(texts)
+    assert [m.decode_ids(x) for x in got] == [t.replace("▁", " ") for t in texts]
+
+
+def test_sentencepiece_odd(spark, odd, none):
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    made = spm.encode(odd, path, ["doc_id"]).collect()
+    assert len(made) == len(ODD) and all(r["decoded"] for r in made)
+    assert {r["n_tokens"] for r in made if r["doc_id"] in (1, 2)} == {0}
+    back = spm.decode(spm.encode(odd, path, ["doc_id"]), path).collect()
+    assert Counter(r["text"] for r in back) == Counter(t or "" for _, t, _ in ODD)
+    assert spm.encode(none, path, ["doc_id"]).count() == 0
+
+
+# --- language ID
+
+
+def test_gradients_match_differences():
+    net = langid.Net(["a", "b", "c"])
+    rng = np.random.default_rng(0)
+    windows = rng.integers(0, 256, (5, 40), dtype=np.uint8)
+    label = np.array([0, 1, 2, 0, 1])
+    for p in net.params():
+        p[...] = p.astype(np.float32)
+
+    def loss():
+        return float(-np.log(net.probabilities(windows)[np.arange(5), label]).mean())
+
+    for p, g in zip(net.params(), net.gradients(windows, label), strict=True):
+        k = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, step = p[k], 1e-2
+        p[k] = old + step
+        up = loss()
+        p[k] = old - step
+        down = loss()
+        p[k] = old
+        assert abs((up - down) / (2 * step) - g[k]) < 0.05 * abs(g[k]) + 1e-2
+
+
+def test_language_held_out(spark):
+    docs = Q.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", F.col("lang").alias("true"))
+    got = Q.op9_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out").collect()
+    assert sum(r["lang_pred"] == r["true"] for r in got) > 0.97 * len(got)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_odd(spark, odd, none):
+    net = langid.fit(odd)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, ["doc_id"], net).collect()}
+    assert got[1] == got[2] == got[3] == "und" and got[5] != "und"
+    assert langid.fit(none) is None
+    assert langid.identify(odd, ["doc_id"], None).count() == len(ODD) and langid.identify(none, ["doc_id"], net).count() == 0
+
+
+def test_windows_cover_all_bytes():
+    for size in (1, 3, 255, 256, 257, 300, 509, 5000):
+        raw = np.arange(size) % 251
+        start, doc, new = langid.cut(raw.astype(np.uint8), np.array([0, size]))
+        seen = np.zeros(size, bool)
+        for s in start:
+            seen[s : s + langid.WINDOW] = True
+        assert seen.all() and new.sum() >= size - 3
+
+
+# --- URL filters
+
+
+def brute_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url[url.index("://") + 3 :]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :], re.S)[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), v, h + p) for v, h, p in Q.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits)[2] if fits else None
+
+
+def test_url_rules(spark):
+    odd = [None, "", "x", "http://", "HTTP://A.ExAmple.COM/en/7?x", "ftp://example.net/de/8#a", "a://b.net?c/de/", "http://net/de/", "http://com/en/", "http://xcom/en/", "http://a.org/es/\nx?y", "://://org/es/", "http://É.example.org:80/es/1"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(odd)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in urls.judge_pages(df, Q.URL_RULES).collect()}
+    assert got == {i: brute_rule(u) for i, u in enumerate(odd)}
+    assert urls.judge_pages(df.limit(0), Q.URL_RULES).count() == 0
+
+
+def test_spread(spark):
+    rng = np.random.default_rng(6)
+    hosts = [f"h{i}" for i in range(12)]
+    pairs = {(a, b): int(rng.integers(1, 4)) for a in hosts for b in hosts if a != b and rng.random() < 0.2}
+    seeds = [(h, 1.0 if h == "h0" else 0.5 if h == "h1" else 0.0, 1.0 if h == "h5" else 0.0) for h in hosts]
+    got = {r["host"]: r for r in urls.spread(spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), rounds=25, tolerance=0.0).collect()}
+    for col, turn in (("trust", False), ("distrust", True)):
+        m = np.zeros((12, 12))
+        for (a, b), n in pairs.items():
+            i, j = hosts.index(a), hosts.index(b)
+            m[(i, j) if turn else (j, i)] = n
+        total = m.sum(0)
+        m = m / np.where(total, total, 1)
+        t = np.array([s[2 if turn else 1] for s in seeds])
+        t = t / t.sum()
+        r = t.copy()
+        for _ in range(25):
+            flow = m @ r
+            r = 0.85 * (flow + (1 - flow.sum()) * t) + 0.15 * t
+        assert np.allclose([got[h][col] for h in hosts], r, atol=1e-9)
+
+
+def test_links_spread_to_pages(spark):
+    page = lambda i, u, to: (i, u, "".join(f"<a href='https://{x}/p'>x</a>" for x in to))
+    data = [page(i, "http://bad.com/en/1", ["evil.info"]) for i in range(3)] + [page(10, "http://evil.info/a", ["bad.com"]), page(11, "http://good.net/de/1", ["fine.info"]), page(12, "http://fine.info/x", ["good.net"])]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_pages(spark.createDataFrame(data, "page_id long, url string, html string"), Q.URL_RULES).collect()}
+    assert got[0] == "block" and got[10] == "block" and got[11] == "allow" and got[12] == "allow"
+
+
+# --- shared parts
+
+
+def test_word_hashes():
+    texts = ["", "a b\tc", "  x\x0by ", "é a", None, "long" * 50]
+    column = common.as_strings(pa.array(texts, pa.string()))
+    words = wordhash.Words(*common.text_bytes(column))
+    assert words.counts.tolist() == [len((t or "").encode().split()) for t in texts]
+    flat = [w for t in texts for w in (t or "").encode().split()]
+    assert [bytes(words.raw[a:b]) for a, b in zip(words.start, words.end, strict=True)] == flat
+    by = defaultdict(set)
+    for w, h in zip(flat, words.hash.tolist(), strict=True):
+        by[w].add(h)
+    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = Q.table(spark, SF, "documents").select(*cp.COLUMNS)
+    for k, (_, stage) in enumerate(cp.STAGES):
+        given = [tuple(r) for r in docs.collect()]
+        out = common.materialize(stage(spark, docs, SF), "test")
+        got = out.collect()
+        if k == 0:
+            assert {r["doc_id"] for r in got} <= {r[0] for r in given if not (base(r[1])[0] < 50 or 2 * base(r[1])[4] > base(r[1])[0])}
+        if k == 1:
+            want = brute_links([(r[0], r[1]) for r in given])
+            assert Counter(r["doc_id"] for r in got) == Counter({c for _, c, _ in want})
+        if k == 2:
+            cut = brute_repeats([r[1] for r in given], 35)
+            want = {r[0] for r, c in zip(given, cut, strict=True) if c[1] < c[0] or not c[1]}
+            assert {r["doc_id"] for r in got} == want
+            digest = {r[0]: c for r, c in zip(given, cut, strict=True)}
+            assert all(hashlib.sha256(b" ".join((r["text"] or "").encode().split())).hexdigest() == digest[r["doc_id"]][2] for r in got)
+        if k == 3:
+            assert {r["doc_id"] for r in got} <= {r[0] for r in given} and len(got) > 0.5 * len(given)
+        if k < 4:
+            assert out.columns == cp.COLUMNS
+            docs = out
+        else:
+            m = spm.model(Q.tokenizer_path("piece_bpe_32k.model"))
+            texts = {r[0]: r[1] for r in given}
+            assert all(m.decode_ids(np.frombuffer(r["ids"], "<u2")) == texts[r["doc_id"]] for r in got) and len(got) == len(given)
+
+
+def test_pipeline_odd(spark, odd, none):
+    import corpus_pipeline as cp
+
+    for df in (odd.select(*cp.COLUMNS), none):
+        for _, stage in cp.STAGES:
+            df = common.materialize(stage(spark, df, SF), "odd")
+        df.count()
