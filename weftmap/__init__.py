@@ -1 +1 @@
-"""A Spark-native engine for code maps and training data."""
+"""A Spark-native engine: dependency maps of code bases, and training-data operators."""

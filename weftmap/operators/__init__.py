@@ -1 +1 @@
-
+"""Graph construction, ranking, closure and rendering over DataFrames."""
