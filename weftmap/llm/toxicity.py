@@ -10,8 +10,9 @@ cosine, with ``PRIOR`` votes at the base rate, which makes the score calibrated:
 a text without a term of the vocabulary gets the share of toxic examples among
 those without one. Evidence: the nearest examples' ids and cosines.
 
-Examples are at most ``EXAMPLES`` labelled documents of each label, chosen by
-hash; the vocabulary has at most ``TERMS`` words. The index is so of bounded size,
+Examples are the different texts of at most ``EXAMPLES`` labelled documents of each
+label, chosen by hash, and votes weigh by the share of the labelled documents that
+their label's examples stand for; the vocabulary has at most ``TERMS`` words. The index is so of bounded size,
 and is broadcast; texts are all scored, whole.
 
 Defined results: null and empty texts have no terms; an id labelled more than
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import batches, held_out, text_bytes
+from .common import batches, held_out, materialize, text_bytes
 
 EXAMPLES, TERMS, MIN_DOCS = 6000, 2048, 5
 K, PRIOR, BLOCK = 25, 1.0, 64
@@ -98,13 +99,14 @@ def found_terms(words: H.Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Index:
     """The examples: block-max postings over unit vectors."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, label: np.ndarray, first: np.ndarray, term: np.ndarray, times: np.ndarray):
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, label: np.ndarray, first: np.ndarray, term: np.ndarray, times: np.ndarray, votes: tuple[float, float] = (1.0, 1.0)):
         self.terms, self.idf = terms, idf
-        self.rate = float(label.mean()) if len(label) else 0.0
+        vote = np.where(label == 1, votes[1], votes[0])
+        self.rate = float((vote * label).sum() / vote.sum()) if len(label) else 0.0
         size = np.diff(first)
         none = size == 0
         #: Base rate of the examples without a term.
-        self.empty = float((label[none].sum() + self.rate) / (none.sum() + 1.0)) if len(label) else 0.0
+        self.empty = float(((vote * label)[none].sum() + self.rate) / (vote[none].sum() + 1.0)) if len(label) else 0.0
         weight = (1 + np.log(times)) * idf[term] if len(term) else np.empty(0)
         doc = np.repeat(np.arange(len(size)), size)
         norm = np.sqrt(np.bincount(doc, weight**2, minlength=len(size)))
@@ -115,7 +117,7 @@ class Index:
         lead = np.array([term[first[d] + np.argmax(weight[first[d] : first[d + 1]])] for d in keep], np.int64) if len(keep) else keep
         keep = keep[np.lexsort((keep, lead))] if len(keep) else keep
         place[keep] = np.arange(len(keep))
-        self.ids, self.label = ids[keep], label[keep].astype(np.float64)
+        self.ids, self.label, self.vote = ids[keep], label[keep].astype(np.float64), vote[keep]
         doc = place[doc]
         order = np.lexsort((doc, term))
         self.doc, self.weight = doc[order], weight[order]
@@ -157,7 +159,8 @@ class Index:
         got = self.kept.get(key)
         if got is None:
             docs, cosine = self.nearest(term, times)
-            score = float(((cosine * self.label[docs]).sum() + PRIOR * self.rate) / (cosine.sum() + PRIOR))
+            vote = cosine * self.vote[docs]
+            score = float(((vote * self.label[docs]).sum() + PRIOR * self.rate) / (vote.sum() + PRIOR))
             got = (min(1.0, max(0.0, score)), self.ids[docs[:5]].tolist(), cosine[:5].tolist())
             if len(self.kept) > 100_000:
                 self.kept.clear()
@@ -171,12 +174,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, terms: int = T
     known = known.where(~held_out("wm_label_id")).withColumn("wm_h", F.xxhash64("wm_label_id"))
     some = [known.where(F.col("toxic") == t).orderBy("wm_h", "wm_label_id").limit(most) for t in (0, 1)]
     chosen = {r["wm_label_id"]: r["toxic"] for r in some[0].unionByName(some[1]).collect()}
+    of = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = {t: max(1, sum(v == t for v in chosen.values())) for t in (0, 1)}
+    mean = max(1, sum(of.values())) / max(1, len(chosen))
+    votes = tuple(of.get(t, 0) / taken[t] / mean for t in (0, 1))
     none = np.empty(0, np.int64)
     if not chosen or len(set(chosen.values())) < 2:
         return Index(np.empty(0, np.uint64), np.empty(0), none, none, np.zeros(1, np.int64), none, none)
     spark = docs.sparkSession
     label = F.broadcast(spark.createDataFrame([(i, int(t)) for i, t in chosen.items()], "wm_label_id long, toxic long"))
-    texts = docs.join(label, F.col("doc_id") == F.col("wm_label_id")).select("doc_id", "toxic", "text")
+    texts = docs.join(label, F.col("doc_id") == F.col("wm_label_id")).groupBy(F.xxhash64("text").alias("th")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    texts = materialize(texts.select("doc_id", "toxic", "text"), "examples")
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
@@ -197,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, terms: int = T
     rows = sorted((r["doc_id"], r["toxic"], r["terms"], r["times"]) for r in texts.mapInArrow(vectors(term), "doc_id long, toxic long, terms array<int>, times array<int>").collect())
     first = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int64)
     flat = lambda k: np.array([x for r in rows for x in r[k]], np.int64)
-    return Index(term, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), first, flat(2), flat(3))
+    return Index(term, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), first, flat(2), flat(3), votes)
 
 
 def judge(shared, keep: list[str]):
