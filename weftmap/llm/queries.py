@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, ngram_join, quality, spm, substring, toxicity, urls, wavelet
+from . import chat, decontam, langid, ngram_join, quality, spm, sql, substring, toxicity, urls, wavelet
 from .common import held_out
 
 
@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
