@@ -16,7 +16,6 @@ without any labelled text all are ``und``; repeated rows are judged alike.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ from .common import batches, held_out, text_bytes
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 TRAIN_DOCS, TRAIN_WINDOWS, MAX_LANGS, EPOCHS = 250, 8, 64, 6
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Net:
@@ -181,7 +179,7 @@ def judge(shared, keep: list[str]):
                 np.add.at(total, doc[b], p)
             total /= np.maximum(total.sum(1, keepdims=True), 1e-9)
             best = total.argmax(1)
-            known = np.array([bool(_LETTER.search(t)) for t in texts.to_pylist()], bool)
+            known = np.array([any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
             lang = [net.langs[b] if k else UND for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, total[np.arange(n), best], 0.0).clip(0, 1)
             yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
