@@ -32,8 +32,8 @@ from .common import batches, text_bytes
 
 WINDOW = 35
 ANCHOR = 16
-#: Cells of a row of the sketch, as a power of two, and rows. The merged bits take 2**(26-3) * 2 = 16 MB.
-BITS, ROWS = 26, 2
+#: Cells of a row of the sketch, as a power of two, and rows. The merged bits take 2**(27-3) * 2 = 32 MB.
+BITS, ROWS = 27, 2
 BLOCK = 16  # cells of a block, as a power of two
 _SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _FLUSH = 1 << 20
@@ -172,11 +172,25 @@ def candidate_windows(sketch, window: int, anchor: int, bits: int, key: pa.DataT
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
+def with_candidates(sketch, window: int, anchor: int, bits: int, want: bool):
+    """The rows whose texts have (or, not ``want``, haven't) a window estimated repeated."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in batches(it):
+            words = H.Words(*text_bytes(texts))
+            ok, least = windows_of(words, window, anchor)
+            at = np.flatnonzero(ok)
+            at = at[may_repeat(least[at], sketch.value, bits)]
+            has = np.zeros(rows.num_rows, bool)
+            has[np.searchsorted(words.first, at, "right") - 1] = True
+            yield rows.filter(pa.array(has == want))
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, sketch, window: int = WINDOW, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
     """(doc_id, th, starts): the word positions where windows found elsewhere too begin. th is xxhash64 of the text."""
-    spark = docs.sparkSession
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sketch = spark.sparkContext.broadcast(repeated_cells(docs, window, anchor, bits))
     key = pa.int32() if dict(own.dtypes)["doc_id"] == "int" else pa.int64()
     run = candidate_windows(sketch, window, anchor, bits, key)
     found = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, th long, pos int, h long, h2 int")
@@ -199,7 +213,8 @@ def cut(window: int, spans: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in batches(it):
             n_words, n_removed, digest, kept = [], [], [], []
-            starts = rows.column(rows.schema.get_field_index("wm_starts"))
+            at = rows.schema.get_field_index("wm_starts")
+            starts = rows.column(at) if at >= 0 else pa.nulls(rows.num_rows, pa.list_(pa.int32()))
             for text, found in zip(texts, starts, strict=True):
                 words = text.as_buffer().to_pybytes().split()
                 left = words
@@ -222,12 +237,22 @@ def cut(window: int, spans: bool):
 
 
 def remove_repeats(docs: DataFrame, columns: list[str], digest: bool, window: int = WINDOW, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
-    """``columns`` with n_words, n_removed and kept_sha256, or (not ``digest``) kept_text: the words left, joined by a space; null where nothing was removed."""
-    found = repeated_windows(docs.select("doc_id", "text"), window, anchor, bits).select(F.col("doc_id").alias("wm_id"), F.col("th").alias("wm_found"), F.col("starts").alias("wm_starts"))
-    own = docs.select(*dict.fromkeys([*columns, "doc_id", "text"])).withColumn("wm_th", F.xxhash64("text"))
-    met = own.join(found, F.col("doc_id").eqNullSafe(F.col("wm_id")) & (F.col("wm_th") == F.col("wm_found")), "left")
+    """``columns`` with n_words, n_removed and kept_sha256, or (not ``digest``) kept_text: the words left, joined by a space; null where nothing was removed.
+
+    Texts without a window that the sketch lets through are done where they are read; only the others are shuffled.
+    """
     keep = [c for c in dict.fromkeys(columns) if c != "text"] if digest else list(dict.fromkeys([*columns, "text"]))
-    met = met.select(*keep, *(["text"] if digest else []), "wm_starts")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields if f.name in keep]
+    sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, window, anchor, bits))
+    found = repeated_windows(docs, sketch, window, anchor, bits).select(F.col("doc_id").alias("wm_id"), F.col("th").alias("wm_found"), F.col("starts").alias("wm_starts"))
+    own = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in keep]
     out = ", ".join([*kinds, "n_words long", "n_removed long", "kept_sha256 string" if digest else "kept_text string"])
-    return met.mapInArrow(cut(window, not digest), out)
+    given = dict.fromkeys([*keep, "text"])
+
+    whole = with_candidates(sketch, window, anchor, bits, False)
+    make = cut(window, not digest)
+    done = own.select(*given).mapInArrow(lambda it: make(whole(it)), out)
+    rest = own.mapInArrow(with_candidates(sketch, window, anchor, bits, True), own.schema).withColumn("wm_th", F.xxhash64("text"))
+    # always by a shuffle, whatever the number of texts with repeats
+    met = rest.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wm_id")) & (F.col("wm_th") == F.col("wm_found")), "left")
+    return done.unionByName(met.select(*given, "wm_starts").mapInArrow(make, out))
