@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     met = materialize(classes.drop("bands").join(groups, F.col("s") == F.col("node")).select("s", "w", "rep", "n_shingles", F.col("root").alias("comp")), "groups")
     blocks = met.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / F.lit(block)).cast("int").alias("nb"))
     reps = met.join(blocks, "comp").select("comp", "nb", "s", "w", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
-    texts = own.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("comp", "nb", "s", "w", "text")
+    # always by a shuffle: how many texts there are decides nothing else about the plan
+    texts = own.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("comp", "nb", "s", "w", "text")
     full = texts.mapInArrow(sets(n), "comp long, nb int, s long, w long, set binary")
     b = F.pmod(F.xxhash64("s"), F.col("nb")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.least(i, F.col("b")).alias("bi"), F.greatest(i, F.col("b")).alias("bj"), (i < F.col("b")).cast("int").alias("side")))
