@@ -32,8 +32,8 @@ from .common import batches, materialize, text_bytes
 from .components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Shingles that a side of a verifying task holds, about.
-BLOCK = 1 << 20
+#: Shingles, and texts, that a side of a verifying task holds, about.
+BLOCK, TEXTS = 1 << 20, 2048
 COLUMNS = 2048
 
 
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     stars = cells.join(buckets, ["band", "h"]).where("s != root").select(F.col("s").alias("u"), F.col("root").alias("v"))
     groups = components(stars)
     met = materialize(classes.drop("bands").join(groups, F.col("s") == F.col("node")).select("s", "w", "rep", "n_shingles", F.col("root").alias("comp")), "groups")
-    blocks = met.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / F.lit(block)).cast("int").alias("nb"))
+    blocks = met.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n_shingles") / F.lit(block)), F.ceil(F.count(F.lit(1)) / F.lit(TEXTS))).cast("int").alias("nb"))
     reps = met.join(blocks, "comp").select("comp", "nb", "s", "w", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     # always by a shuffle: how many texts there are decides nothing else about the plan
     texts = own.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("comp", "nb", "s", "w", "text")
