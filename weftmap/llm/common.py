@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 import zlib
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time (a longer text is handled alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,9 +83,18 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def trim() -> None:
+    """Gives memory that a partition has used back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], name: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the incoming batches with their texts (null: empty), each of bounded size."""
     for batch in it:
         texts = as_strings(batch.column(batch.schema.get_field_index(name)))
         for i, j in chunks(texts, most):
             yield batch.slice(i, j - i), texts.slice(i, j - i)
+        del batch, texts
+    trim()

@@ -31,7 +31,10 @@ from .common import batches, crc, text_bytes
 from .hashindex import HashIndex, Rows, take
 
 BAR = "▁"
-KEPT = 1 << 21
+#: Different cuts, and judged pairs, that a worker keeps; beyond it starts anew.
+KEPT = 1 << 19
+#: Bytes of unmet cuts that are indexed together, about.
+INDEXED = 1 << 18
 _CHARS_A_KEY = 4
 _NONE, _FIRST, _BYTES = -1, -2, -3
 
@@ -274,10 +277,12 @@ class Model:
                 row[:] = -1
             new, one = np.unique(h[row < 0], return_index=True)
             one = np.flatnonzero(row < 0)[one]
-            data = raw.tobytes()
-            ids, n = self.encode_units([data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
             self.index.add(new, np.arange(self.rows.n, self.rows.n + len(new), dtype=np.int32))
-            self.rows.append(n, ids)
+            data = raw.tobytes()
+            part = np.cumsum(end[one] - start[one]) // INDEXED
+            for some in np.split(one, np.flatnonzero(np.diff(part)) + 1):
+                ids, n = self.encode_units([data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+                self.rows.append(n, ids)
             row = self.index.find(h)
         ids, n = self.rows.take(row)
         done = np.concatenate([[0], np.cumsum(n)])
