@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-cased words whose share among toxic and other examples
-differs beyond chance (chi-square, corrected for the number of words tested).
+Terms are the lower-cased words that toxic examples have more often than others,
+by a factor of ``LIFT`` and beyond chance (chi-square, corrected for the number of
+words tested).
 Examples and texts are vectors of (1 + log tf) idf over them, of length one. The
 index keeps, for each term, postings in blocks of examples and the greatest
 weight of each block; a text's blocks are visited from the highest bound down
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from . import wordhash as H
 from .common import batches, held_out, materialize, text_bytes
 
-EXAMPLES, TERMS, MIN_DOCS = 6000, 2048, 5
+EXAMPLES, TERMS, MIN_DOCS = 6000, 512, 5
+#: A term's examples are toxic at least so many times as often as all are.
+LIFT = 3.0
 K, PRIOR, BLOCK = 25, 1.0, 64
 #: Chance that any word enters the vocabulary by accident.
 ALPHA = 0.01
@@ -128,28 +131,35 @@ class Index:
         self.block_start = np.array([np.searchsorted(self.doc[a:b], np.arange(0, (blocks + 1) * BLOCK, BLOCK)) + a for a, b in zip(self.start[:-1], self.start[1:], strict=True)]) if len(terms) else np.zeros((0, 1), np.int64)
         self.kept: dict[bytes, tuple] = {}
 
+    def _scores(self, blocks: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples in some blocks that share a term."""
+        first = self.block_start[term][:, blocks].ravel()
+        size = self.block_start[term][:, blocks + 1].ravel() - first
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own = np.repeat(np.repeat(weight, len(blocks)), size)
+        total = np.bincount(self.doc[at], own * self.weight[at])
+        docs = np.flatnonzero(total > 0)
+        return docs, total[docs]
+
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples (those of cosine 0 left out)."""
+        """Places and cosines of the k nearest examples (those of cosine 0 left out).
+
+        The blocks of the highest bounds give a k-th best cosine; of the others
+        only those whose bound reaches it are looked at.
+        """
         weight = (1 + np.log(times)) * self.idf[term]
         weight = weight / np.sqrt((weight**2).sum())
         bound = weight @ self.bound[term]
         order = np.argsort(-bound, kind="stable")
-        docs, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(docs) >= k and bound[b] < least - 1e-9):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                a, z = self.block_start[t, b], self.block_start[t, b + 1]
-                score[self.doc[a:z] - b * BLOCK] += w * self.weight[a:z]
-            own = np.flatnonzero(score > 0)
-            docs, scores = np.concatenate([docs, own + b * BLOCK]), np.concatenate([scores, score[own]])
-            if len(docs) > k:
-                top = np.lexsort((docs, -np.round(scores, 9)))[:k]
-                docs, scores = docs[top], scores[top]
-            if len(docs) >= k:
-                least = scores.min()
-        top = np.lexsort((docs, -np.round(scores, 9)))
+        lead = -(-k // BLOCK) + 1
+        docs, scores = self._scores(order[:lead], term, weight)
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 if len(scores) >= k else 0.0
+        rest = order[lead:]
+        rest = rest[(bound[rest] >= least) & (bound[rest] > 0)]
+        if len(rest):
+            more, other = self._scores(rest, term, weight)
+            docs, scores = np.concatenate([docs, more]), np.concatenate([scores, other])
+        top = np.lexsort((docs, -np.round(scores, 9)))[:k]
         return docs[top], scores[top]
 
     def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list, list]:
@@ -197,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, terms: int = T
     m = max(1, tested.count())
     # the normal tail bound exp(-chi / 2) is no less than the chance of such a value
     limit = 2 * np.log(m / ALPHA)
-    top = tested.where(F.col("chi") > F.lit(float(limit))).orderBy(F.desc("chi"), "term").limit(terms).select("term", (F.col("n0") + F.col("n1")).alias("df")).collect()
+    often = a * F.lit(n0 / n1) >= F.lit(LIFT) * b
+    top = tested.where((F.col("chi") > F.lit(float(limit))) & often).orderBy(F.desc("chi"), "term").limit(terms).select("term", (F.col("n0") + F.col("n1")).alias("df")).collect()
     term = np.array([r["term"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(term)
     term = term[order]
