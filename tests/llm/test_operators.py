@@ -145,6 +145,36 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxicity_uses_all_words(spark):
+    """Cosines are over all words of the texts; one without a word tied to a label has neighbours too."""
+    rng = np.random.default_rng(4)
+    text = lambda i: " ".join(["vile"] * (i % 4 == 0) + [f"w{chr(97 + x)}" for x in rng.integers(0, 26, 12)])
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    data = [(i, text(i)) for i in ids] + [(1000, "wa wb wc unseen unseen"), (1001, "vile wz wy"), (1002, "unseen"), (1003, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    index = toxicity.fit(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(df, ["doc_id"], index).collect()}
+    of = {t: c for (t, c) in data[: len(ids)]}
+    n, n1 = len(set(of.values())), len({of[i] for i in ids if i % 4 == 0})
+    count = Counter(w for x in set(of.values()) for w in set(x.split()))
+    bad = Counter(w for i, x in {x: i for i, x in of.items()}.items() for w in set(i.split()) if x % 4 == 0)
+    words = sorted(count)
+    boost = dict(zip(words, toxicity.label_weights(np.array([count[w] for w in words]), np.array([bad[w] for w in words]), n - n1, n1), strict=True))
+    assert boost["vile"] > 1 and boost["wa"] == 1
+
+    def vector(x):
+        return {w: (1 + np.log(c)) * (np.log((1 + n) / (1 + count[w])) + 1) * boost.get(w, 1.0) for w, c in Counter(x.split()).items()}
+
+    def cosine(x, y):
+        a, b = vector(x), vector(y)
+        return sum(v * b.get(w, 0.0) for w, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    for i, x in data[-4:-2]:
+        want = sorted((cosine(x, y) for y in set(of.values())), reverse=True)[:5]
+        assert np.allclose(got[i]["cosines"], want) and len(got[i]["evidence"]) == 5 and max(want) < 0.999
+    assert not got[1002]["evidence"] and not got[1003]["evidence"]
+
+
 def test_toxicity_odd(spark, odd, none):
     for known in (labels(spark), empty_labels(spark)):
         index = toxicity.fit(odd.select("doc_id", "text"), known)

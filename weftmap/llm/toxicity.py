@@ -1,20 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the lower-cased words that toxic examples have more often than others,
-by a factor of ``LIFT`` and beyond chance (chi-square, corrected for the number of
-words tested).
-Examples and texts are vectors of (1 + log tf) idf over them, of length one. The
+Terms are all lower-cased words of the examples. A term weighs idf, and a term
+that is tied to a label beyond chance (chi-square, corrected for the number of
+words tested) weighs more, by 1 + sqrt(chi-square / limit), whichever label it is.
+Examples and texts are vectors of (1 + log tf) times that weight, of length one;
+words that no example has count in a text's length. The
 index keeps, for each term, postings in blocks of examples and the greatest
 weight of each block; a text's blocks are visited from the highest bound down
 until no block can change its ``K`` nearest, so these are exact. Votes weigh by
 cosine, with ``PRIOR`` votes at the base rate, which makes the score calibrated:
-a text without a term of the vocabulary gets the share of toxic examples among
-those without one. Evidence: the nearest examples' ids and cosines.
+a text without a word of any example gets the share of toxic examples among
+those without a word. Evidence: the nearest examples' ids and cosines.
 
 Examples are the different texts of at most ``EXAMPLES`` labelled documents of each
 label, chosen by hash, and votes weigh by the share of the labelled documents that
-their label's examples stand for; the vocabulary has at most ``TERMS`` words. The index is so of bounded size,
-and is broadcast; texts are all scored, whole.
+their label's examples stand for. The index is broadcast; it grows with the words
+of the examples, not with the input. Texts are all scored, whole.
 
 Defined results: null and empty texts have no terms; an id labelled more than
 once counts with its highest label; rows with a null label or id are no examples;
@@ -24,6 +25,7 @@ lower place in the index; repeated rows are scored alike.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +37,14 @@ from pyspark.sql import functions as F
 from . import wordhash as H
 from .common import batches, held_out, materialize, text_bytes
 
-EXAMPLES, TERMS, MIN_DOCS = 6000, 512, 5
-#: A term's examples are toxic at least so many times as often as all are.
-LIFT = 3.0
+EXAMPLES, MIN_DOCS = 6000, 5
 K, PRIOR, BLOCK = 25, 1.0, 64
-#: Chance that any word enters the vocabulary by accident.
+#: A word that one example in so many has is a row of the matrix; texts that are multiplied with it at a time.
+DENSE, BATCH = 12, 64
+#: Chance that any word is taken for tied to a label by accident.
 ALPHA = 0.01
+#: Results that a worker keeps for copies of a text.
+KEPT = 20_000
 
 
 def words_of(texts: pa.Array) -> H.Words:
@@ -48,55 +52,47 @@ def words_of(texts: pa.Array) -> H.Words:
 
 
 def doc_terms(words: H.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times), sorted by text and term."""
-    doc, h = words.doc(), words.hash
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(at, append=len(h))
-
-
-def term_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> (term, others, toxic): in how many texts of each label a term is, summed over a batch."""
-    for rows, texts in batches(it):
-        label = rows.column(0).to_numpy()
-        doc, term, _ = doc_terms(words_of(texts))
-        own, back = np.unique(term, return_inverse=True)
-        toxic = label[doc] == 1
-        n = len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(back[~toxic], minlength=n).astype(np.int64)), pa.array(np.bincount(back[toxic], minlength=n).astype(np.int64))], ["term", "n0", "n1"])
-
-
-def vectors(terms: np.ndarray):
-    """(doc_id, toxic, text) -> (doc_id, toxic, terms, times): the vocabulary's terms in each text."""
+    """Each text's different words and how often: (first of each text, hash, times)."""
+    n = len(words.counts)
+    own, back = np.unique(words.hash, return_inverse=True)
+    width = max(1, len(own))
+    key, times = np.unique(words.doc() * width + back, return_counts=True)
+    return np.searchsorted(key // width, np.arange(n + 1)), own[key % width], times
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in batches(it):
-            first, term, times = found_terms(words_of(texts), terms)
-            to_list = lambda x: pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), to_list(term), to_list(times)], ["doc_id", "toxic", "terms", "times"])
 
-    return run
+def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, text) -> (doc_id, toxic, terms, times): the words of each text, as 64-bit and 32-bit numbers."""
+    for rows, texts in batches(it):
+        first, term, times = doc_terms(words_of(texts))
+        cut = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+        to_bytes = lambda x: pa.array([x[a:b].tobytes() for a, b in cut], pa.binary())
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), to_bytes(term.astype("<u8")), to_bytes(times.astype("<u4"))], ["doc_id", "toxic", "terms", "times"])
 
 
-def found_terms(words: H.Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text the vocabulary's terms and how often: (first of each text, term, times)."""
-    h = words.hash
+def found_terms(words: H.Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the vocabulary's terms and how often: (first of each text, term, times), and its sum of squares of 1 + log times over other words."""
+    first, h, times = doc_terms(words)
     n = len(words.counts)
     if not len(terms) or not len(h):
-        return np.zeros(n + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    table = np.zeros(1 << 16, bool)
-    table[(terms >> np.uint64(48)).astype(np.int64)] = True
-    at = np.flatnonzero(table[(h >> np.uint64(48)).astype(np.int64)])
-    k = np.minimum(np.searchsorted(terms, h[at]), len(terms) - 1)
-    hit = terms[k] == h[at]
-    at, k = at[hit], k[hit]
-    doc = np.searchsorted(words.first, at, "right") - 1
-    key, times = np.unique(doc * len(terms) + k, return_counts=True)
-    doc, k = key // len(terms), key % len(terms)
-    return np.searchsorted(doc, np.arange(n + 1)), k, times
+        return np.zeros(n + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(n)
+    own, back = np.unique(h, return_inverse=True)
+    k = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+    hit = (terms[k] == own)[back]
+    doc = np.repeat(np.arange(n), np.diff(first))
+    other = np.bincount(doc[~hit], (1 + np.log(times[~hit])) ** 2, minlength=n)
+    doc, term, times = doc[hit], k[back[hit]], times[hit]
+    return np.searchsorted(doc, np.arange(n + 1)), term, times, other
+
+
+def label_weights(df: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """What each term's idf is multiplied by, from in how many examples and toxic examples it is: 1, or more if it is tied to a label beyond chance."""
+    a, b = toxic.astype(np.float64), (df - toxic).astype(np.float64)
+    c, d = n1 - a, n0 - b
+    chi = np.where(c + d > 0, (n0 + n1) * (a * d - b * c) ** 2 / (np.maximum((a + b) * (c + d), 1) * n1 * n0), 0.0)
+    tested = df >= MIN_DOCS
+    # the normal tail bound exp(-chi / 2) is no less than the chance of such a value
+    limit = 2 * np.log(max(1, tested.sum()) / ALPHA)
+    return np.where(tested & (chi > limit), 1 + np.sqrt(chi / limit), 1.0)
 
 
 class Index:
@@ -104,6 +100,7 @@ class Index:
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, label: np.ndarray, first: np.ndarray, term: np.ndarray, times: np.ndarray, votes: tuple[float, float] = (1.0, 1.0)):
         self.terms, self.idf = terms, idf
+        self.unseen = float(np.log(1 + len(ids)) + 1)  # the idf of a word that no example has
         vote = np.where(label == 1, votes[1], votes[0])
         self.rate = float((vote * label).sum() / vote.sum()) if len(label) else 0.0
         size = np.diff(first)
@@ -116,69 +113,121 @@ class Index:
         weight = weight / np.maximum(norm[doc], 1e-12)
         keep = np.flatnonzero(~none)
         place = np.full(len(size), -1)
-        # like examples side by side: blocks then have tight bounds
-        lead = np.array([term[first[d] + np.argmax(weight[first[d] : first[d + 1]])] for d in keep], np.int64) if len(keep) else keep
+        # like examples side by side, by the heaviest word that may fill a block: blocks then have tight bounds
+        often = np.bincount(term, minlength=len(terms)) >= BLOCK
+        heavy = np.where(often[term], weight, weight - 2) if len(term) else weight
+        lead = np.array([term[first[d] + np.argmax(heavy[first[d] : first[d + 1]])] for d in keep], np.int64) if len(keep) else keep
         keep = keep[np.lexsort((keep, lead))] if len(keep) else keep
         place[keep] = np.arange(len(keep))
         self.ids, self.label, self.vote = ids[keep], label[keep].astype(np.float64), vote[keep]
-        doc = place[doc]
+        doc = place[doc].astype(np.min_scalar_type(len(keep)))
+        weight = weight.astype(np.float32)
+        # words of many examples: rows of a matrix, made where it is used
+        often = np.bincount(term, minlength=len(terms)) * DENSE >= max(1, len(keep))
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        of = often[term]
+        self.cells = self.row[term[of]], doc[of], weight[of]
+        self.dense: np.ndarray | None = None
+        term, doc, weight = term[~of], doc[~of], weight[~of]
         order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        blocks = -(-len(keep) // BLOCK)
-        self.bound = np.zeros((len(terms), max(1, blocks)))
-        np.maximum.at(self.bound, (term[order], self.doc // BLOCK), self.weight)
-        self.block_start = np.array([np.searchsorted(self.doc[a:b], np.arange(0, (blocks + 1) * BLOCK, BLOCK)) + a for a, b in zip(self.start[:-1], self.start[1:], strict=True)]) if len(terms) else np.zeros((0, 1), np.int64)
+        term, self.doc, self.weight = term[order], doc[order], weight[order]
+        self.blocks = -(-len(keep) // BLOCK)
+        # a run is a term's postings in a block
+        block = self.doc // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        self.run_at = np.append(at, len(term)).astype(np.int32)
+        self.run_block = block[at]
+        self.bound = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0, np.float32)
+        self.start = np.searchsorted(term[at], np.arange(len(terms) + 1)).astype(np.int32)
         self.kept: dict[bytes, tuple] = {}
 
-    def _scores(self, blocks: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the examples in some blocks that share a term."""
-        first = self.block_start[term][:, blocks].ravel()
-        size = self.block_start[term][:, blocks + 1].ravel() - first
+    def weights(self, term: np.ndarray, times: np.ndarray, other: float) -> np.ndarray:
+        """A text's weights; ``other`` is the sum of squared weights of its words that no example has."""
+        weight = (1 + np.log(times)) * self.idf[term]
+        return weight / np.sqrt((weight**2).sum() + other)
+
+    def shares(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the matrix's words give to the cosines of some texts (term, weight), at most BATCH, with all examples."""
+        if self.dense is None:
+            self.dense = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * BLOCK))
+            self.dense[self.cells[0], self.cells[1]] = self.cells[2]
+        # of one shape whatever the number of texts, so that a text's sums are alike in any batch
+        own = np.zeros((BATCH, len(self.dense)))
+        for k, (term, weight) in enumerate(texts):
+            row = self.row[term]
+            own[k, row[row >= 0]] = weight[row >= 0]
+        return own @ self.dense
+
+    def _add(self, total: np.ndarray, run: np.ndarray, own: np.ndarray) -> None:
+        """Adds the postings of some runs, from the text's weight for each run."""
+        first = self.run_at[run]
+        size = self.run_at[run + 1] - first
         at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        own = np.repeat(np.repeat(weight, len(blocks)), size)
-        total = np.bincount(self.doc[at], own * self.weight[at])
-        docs = np.flatnonzero(total > 0)
-        return docs, total[docs]
+        total += np.bincount(self.doc[at], np.repeat(own, size) * self.weight[at], minlength=len(total))
 
-    def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K, other: float = 0.0, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (those of cosine 0 left out).
 
-        The blocks of the highest bounds give a k-th best cosine; of the others
-        only those whose bound reaches it are looked at.
+        A block's bound is the greatest share of the matrix's words plus the bounds
+        of the others. The blocks of the highest bounds give a k-th best cosine; of
+        the others only those whose bound reaches it are looked at.
         """
-        weight = (1 + np.log(times)) * self.idf[term]
-        weight = weight / np.sqrt((weight**2).sum())
-        bound = weight @ self.bound[term]
-        order = np.argsort(-bound, kind="stable")
-        lead = -(-k // BLOCK) + 1
-        docs, scores = self._scores(order[:lead], term, weight)
+        weight = self.weights(term, times, other)
+        total = (self.shares([(term, weight)])[0] if share is None else share).copy()
+        size = self.start[term + 1] - self.start[term]
+        run = np.repeat(self.start[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own = np.repeat(weight, size)
+        block = self.run_block[run]
+        bound = np.bincount(block, own * self.bound[run], minlength=self.blocks) + total.reshape(-1, BLOCK).max(1)
+        lead = np.zeros(self.blocks, bool)
+        lead[np.argsort(-bound, kind="stable")[: -(-k // BLOCK) + 1]] = True
+        some = lead[block]
+        self._add(total, run[some], own[some])
+        scores = total.reshape(-1, BLOCK)[lead].ravel()
         least = np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9 if len(scores) >= k else 0.0
-        rest = order[lead:]
-        rest = rest[(bound[rest] >= least) & (bound[rest] > 0)]
-        if len(rest):
-            more, other = self._scores(rest, term, weight)
-            docs, scores = np.concatenate([docs, more]), np.concatenate([scores, other])
+        rest = ~lead & (bound >= least) & (bound > 0)
+        some = rest[block]
+        self._add(total, run[some], own[some])
+        docs = np.flatnonzero(np.repeat(lead | rest, BLOCK) & (total > 0) & (total >= least - 1e-9))
+        scores = total[docs]
         top = np.lexsort((docs, -np.round(scores, 9)))[:k]
         return docs[top], scores[top]
 
-    def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list, list]:
-        if not len(self.ids) or not len(term):
-            return self.empty, [], []
-        key = term.tobytes() + times.tobytes()
-        got = self.kept.get(key)
-        if got is None:
-            docs, cosine = self.nearest(term, times)
-            vote = cosine * self.vote[docs]
-            score = float(((vote * self.label[docs]).sum() + PRIOR * self.rate) / (vote.sum() + PRIOR))
-            got = (min(1.0, max(0.0, score)), self.ids[docs[:5]].tolist(), cosine[:5].tolist())
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-            self.kept[key] = got
-        return got
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, terms: int = TERMS) -> Index:
+    def score(self, first: np.ndarray, term: np.ndarray, times: np.ndarray, other: np.ndarray) -> list[tuple[float, list, list]]:
+        """The score, evidence and cosines of each text; ``other`` is its sum of squares of 1 + log times over words that no example has."""
+        out: list = [(self.empty, [], [])] * len(other)
+        if not len(self.ids):
+            return out
+        todo: dict[bytes, list[int]] = {}
+        for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            if a == b:
+                continue
+            key = hashlib.blake2b(term[a:b].tobytes() + times[a:b].tobytes() + other[d].tobytes(), digest_size=16).digest()
+            if key in self.kept:
+                out[d] = self.kept[key]
+            else:
+                todo.setdefault(key, []).append(d)
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        todo_keys = list(todo)
+        for at in range(0, len(todo_keys), BATCH):
+            keys = todo_keys[at : at + BATCH]
+            texts = [(slice(first[d], first[d + 1]), float(other[d]) * self.unseen**2) for d in (todo[key][0] for key in keys)]
+            shares = self.shares([(term[x], self.weights(term[x], times[x], o)) for x, o in texts])
+            for key, (x, o), share in zip(keys, texts, shares, strict=False):
+                docs, cosine = self.nearest(term[x], times[x], other=o, share=share)
+                vote = cosine * self.vote[docs]
+                score = float(((vote * self.label[docs]).sum() + PRIOR * self.rate) / (vote.sum() + PRIOR))
+                got = (min(1.0, max(0.0, score)), self.ids[docs[:5]].tolist(), cosine[:5].tolist())
+                self.kept[key] = got
+                for d in todo[key]:
+                    out[d] = got
+        return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index:
     """The index from documents that aren't held out and have a label."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("wm_label_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out("wm_label_id")).withColumn("wm_h", F.xxhash64("wm_label_id"))
@@ -199,32 +248,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, terms: int = T
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return Index(np.empty(0, np.uint64), np.empty(0), none, none, np.zeros(1, np.int64), none, none)
-    counted = texts.select("toxic", "text").mapInArrow(term_counts, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS)
-    a, b = F.col("n1"), F.col("n0")
-    c, d = F.lit(n1) - a, F.lit(n0) - b
-    chi = F.lit(float(n0 + n1)) * F.pow(a * d - b * c, F.lit(2.0)) / ((a + b) * (c + d) * F.lit(float(n1)) * F.lit(float(n0)))
-    tested = counted.withColumn("chi", F.when(c + d > 0, chi).otherwise(0.0))
-    m = max(1, tested.count())
-    # the normal tail bound exp(-chi / 2) is no less than the chance of such a value
-    limit = 2 * np.log(m / ALPHA)
-    often = a * F.lit(n0 / n1) >= F.lit(LIFT) * b
-    top = tested.where((F.col("chi") > F.lit(float(limit))) & often).orderBy(F.desc("chi"), "term").limit(terms).select("term", (F.col("n0") + F.col("n1")).alias("df")).collect()
-    term = np.array([r["term"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(term)
-    term = term[order]
-    idf = np.log((1 + n0 + n1) / (1 + np.array([r["df"] for r in top], np.float64)[order])) + 1
-    rows = sorted((r["doc_id"], r["toxic"], r["terms"], r["times"]) for r in texts.mapInArrow(vectors(term), "doc_id long, toxic long, terms array<int>, times array<int>").collect())
-    first = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int64)
-    flat = lambda k: np.array([x for r in rows for x in r[k]], np.int64)
-    return Index(term, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), first, flat(2), flat(3), votes)
+    rows = texts.mapInArrow(vectors, "doc_id long, toxic long, terms binary, times binary").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in rows.column_names]).combine_chunks()
+    flat = lambda c, kind: np.concatenate([np.frombuffer(b"".join(x.to_pylist()), kind) for x in rows.column(c).chunks])
+    ids, toxic = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    size = pc.binary_length(rows.column(2)).to_numpy() // 8
+    times = flat(3, "<u4")
+    term, back = np.unique(flat(2, "<u8"), return_inverse=True)
+    back = back.astype(np.int32)
+    del rows
+    df = np.bincount(back, minlength=len(term))
+    in_toxic = np.bincount(back[np.repeat(toxic, size) == 1], minlength=len(term))
+    idf = (np.log((1 + n0 + n1) / (1 + df)) + 1) * label_weights(df, in_toxic, n0, n1)
+    return Index(term, idf, ids, toxic, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), back, times, votes)
 
 
 def judge(shared, keep: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for rows, texts in batches(it):
-            first, term, times = found_terms(words_of(texts), index.terms)
-            got = [index.score(term[a:b], times[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            first, term, times, other = found_terms(words_of(texts), index.terms)
+            got = index.score(first, term, times, other)
             yield pa.RecordBatch.from_arrays(
                 [*[rows.column(rows.schema.get_field_index(c)) for c in keep], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 [*keep, "score", "evidence", "cosines"],
