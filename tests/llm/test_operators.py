@@ -213,6 +213,21 @@ def test_token_ids_odd(spark, odd, none):
     assert ids.tolist() == t.encode(text).ids + t.encode(text[5:]).ids and n[1] == 0
 
 
+def test_token_ids_white_space():
+    """Runs of white space before words of each kind, in the middle, at the start and at the end of neighbouring texts."""
+    from itertools import product
+
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    runs = ["\n" * k for k in range(1, 6)] + ["".join(x) for k in (2, 3) for x in product("\n \t\u00a0\r", repeat=k)]
+    texts = [f"{a}{run}{b}" for run in runs for a in ("", "x", "x.", "7", "'", "é", "\u3000") for b in ("", "Two", "2", "(", "'s", '"q', "é", "日")]
+    ids, n = wavelet.Encoder(path).encode(*common.text_bytes(pa.array(texts)))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)

@@ -1,8 +1,8 @@
 """Token ids as wavelet matrices: a file for each shard, read without unpacking it.
 
 Texts are tokenised by the ``tokenizers`` library. Its pre-tokeniser never joins
-across some places (before white space, between letters, digits and symbols), so
-texts are cut there and each different piece goes through the library once for
+across some places (before white space, before the last of a run of it that does
+not end the text, between letters, digits and symbols), so texts are cut there and each different piece goes through the library once for
 a worker; pieces are told apart by 64-bit hashes. An end id follows each text.
 
 A shard holds the ids of consecutive rows in order of doc_id: bit planes of
@@ -71,7 +71,16 @@ def pieces(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     cut = np.zeros(n, bool)
     cut[1:] = _CUT[kind[:-1], kind[1:]]
     starts = at[:-1]
-    cut[starts[starts < n]] = True
+    first = np.zeros(n, bool)
+    first[starts[starts < n]] = True
+    if n > 2:
+        # white space of several bytes may stand before the one that a word follows
+        cut[2:] &= ~((kind[:-2] == _ELSE) & (kind[1:-1] == _WHITE) & ~first[1:-1])
+        # of several white-space characters before a word the last one is not the others' token
+        white = (kind == _SPACE) | (kind == _WHITE)
+        word = (kind <= _QUOTE) & ~first
+        cut[1:-1] |= white[:-2] & white[1:-1] & word[2:]
+    cut |= first
     return np.flatnonzero(cut)
 
 
