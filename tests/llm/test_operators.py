@@ -228,6 +228,22 @@ def test_token_ids_white_space():
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
 
 
+def test_token_ids_added_token(spark):
+    """The query's encoder gives added tokens their ids, as the library does where only add_special_tokens is off."""
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["plain one", "x <|endoftext|> y", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\nb", "<|endof", "text|> z", "", "<|endoftext|", "tail é <|endoftext|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 50256 in want[1] and 50256 not in want[4] + want[5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["ids_crc32"] for r in wavelet.shard_digests(wavelet.encode_shards(df, path)).collect()}
+    assert got == {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in enumerate(want)}
+    ids, n = wavelet.Encoder(path, added=True).encode(*common.text_bytes(pa.array(texts)))
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)

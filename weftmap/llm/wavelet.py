@@ -3,7 +3,9 @@
 Texts are tokenised by the ``tokenizers`` library. Its pre-tokeniser never joins
 across some places (before white space, before the last of a run of it that does
 not end the text, between letters, digits and symbols), so texts are cut there and each different piece goes through the library once for
-a worker; pieces are told apart by 64-bit hashes. An end id follows each text.
+a worker; pieces are told apart by 64-bit hashes. A text that holds an added token
+of the tokeniser (``<|endoftext|>``) is one piece, so the library finds the token
+and gives its id, as it does by default. An end id follows each text.
 
 A shard holds the ids of consecutive rows in order of doc_id: bit planes of
 a wavelet matrix with a rank directory, and ids and lengths of its documents.
@@ -85,23 +87,45 @@ def pieces(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts, with the pieces seen so far."""
+    """Ids of whole texts, with the pieces seen so far.
 
-    def __init__(self, path: str):
+    With ``added`` the tokeniser's added tokens get their ids, else special ones are text like any other.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.clear()
 
     def clear(self) -> None:
         self.index, self.rows = HashIndex(18), Rows(np.uint32)
 
+    def _join(self, start: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The starts of pieces without those inside texts that hold an added token."""
+        data, whole = raw.tobytes(), set()
+        for token in self.added:
+            found = data.find(token)
+            while found >= 0:
+                k = int(np.searchsorted(at, found, "right")) - 1
+                whole.add(k)
+                found = data.find(token, int(at[k + 1]))  # the next text
+        if not whole:
+            return start
+        inside = np.zeros(len(at) - 1, bool)
+        inside[list(whole)] = True
+        text = np.searchsorted(at, start, "right") - 1
+        return start[~inside[text] | (start == at[text])]
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
         if not len(raw):
             return np.empty(0, np.uint32), np.zeros(len(at) - 1, np.int64)
         start = pieces(raw, at)
+        if self.added:
+            start = self._join(start, raw, at)
         end = np.append(start[1:], len(raw))
         h = H.mix(H._ranges(H._TABLE[raw], H._BASE, start, end))
         row = self.index.find(h)
@@ -128,7 +152,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """A worker's encoder; workers are reused, so pieces are kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 
