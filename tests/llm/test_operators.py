@@ -104,6 +104,18 @@ def test_cutoffs_keep_their_promise(spark):
     assert 0.22 <= row["cutoff"] < 0.9 and row["rejected"] == 0 and row["p"] <= 0.05 / 8
 
 
+def test_quality_every_stratum(spark):
+    """70 languages and a null one all get their cutoff, whatever their labels' number is among the others."""
+    langs = [f"l{k}" for k in range(70)] + [None]
+    words = " ".join(f"w{i}" for i in range(60))
+    data = [(100 * k + i, words + (" !" * 400 if i >= 28 else ""), lang) for k, lang in enumerate(langs) for i in range(32)]
+    df = spark.createDataFrame([(i, " ".join(f"{w}{j}" for j, w in enumerate(x.split())) if "!" in x else x, lang) for i, x, lang in data], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, int("!" not in x), 0) for i, x, _ in data], "doc_id long, quality int, toxic int")
+    got = quality.judge(df, known, ["doc_id"], alpha=0.98, delta=0.5).collect()
+    assert len(got) == len(data) and not any(r["wm_f"]["base_failed"] for r in got)
+    assert {r["doc_id"]: r["wm_kept"] for r in got} == {i: "!" not in x for i, x, _ in data}
+
+
 def test_quality_odd(spark, odd, none):
     for known in (labels(spark), empty_labels(spark)):
         assert quality.judge(odd, known, ["doc_id"]).count() == len(ODD)

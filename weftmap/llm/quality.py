@@ -27,7 +27,7 @@ from .common import materialize
 GRID = (4.0, 3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)
 RULES = ("symbols_per_word", "bangs_per_word", "dup_line_share", "repeat_share")
 MIN_WORDS = 50
-#: Strata that are tested at most: those with the most labels. The others keep all.
+#: Strata that the SQL tests at most; here all are.
 MAX_STRATA = 64
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -114,7 +114,6 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05
     """
     sums = [F.sum(F.when((F.col("quality") == q) & (F.col(r) > c), 1).otherwise(0)).alias(f"{r}_{q}_{i}") for r in RULES for i, c in enumerate(GRID) for q in (0, 1)]
     by = labelled.groupBy("stratum").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("n"), *sums)
-    by = by.orderBy(F.desc("n"), F.col("stratum").asc_nulls_first()).limit(MAX_STRATA)
     cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}_1_{i}").alias("rejected"), F.col(f"{r}_0_{i}").alias("caught")) for r in RULES for i, c in enumerate(GRID)])
     cells = by.select("stratum", "n", F.explode(cells).alias("c")).select("stratum", "n", "c.*")
     share = F.lit(alpha / len(RULES))
@@ -132,15 +131,17 @@ def judge(docs: DataFrame, labels: DataFrame, columns: list[str], alpha: float =
     """``columns`` of ``docs``, the struct ``wm_f`` and the boolean ``wm_kept``.
 
     Counts are made once, in one pass over the texts, and written to the shared
-    folder. The cutoffs (at most MAX_STRATA x rules rows) become literals.
+    folder. The cutoffs, a row for each stratum that has one, are broadcast.
     """
     own = [c for c in dict.fromkeys(columns)]
     made = features(docs.select(*own, F.col("text").alias("wm_text"), F.col("doc_id").alias("wm_id"), F.col(stratum).cast("string").alias("wm_stratum")), "wm_text").drop("wm_text")
     made = materialize(made, "quality")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("wm_label_id")).agg(F.min("quality").alias("quality"))
     labelled = made.where(~F.col("wm_f.base_failed")).join(known, F.col("wm_id") == F.col("wm_label_id")).select(F.col("wm_stratum").alias("stratum"), "quality", *[F.col(f"wm_f.{r}").alias(r) for r in RULES])
-    chosen = choose_cutoffs(labelled, alpha, delta).collect()
+    chosen = choose_cutoffs(labelled, alpha, delta).groupBy(F.col("stratum").alias("wm_cut_stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"wm_cut_{r}") for r in RULES])
+    chosen = materialize(chosen, "cutoffs")
     bad = F.lit(False)
-    for row in chosen:
-        bad = bad | (F.col("wm_stratum").eqNullSafe(F.lit(row["stratum"])) & (F.col(f"wm_f.{row['rule']}") > F.lit(row["cutoff"])))
-    return made.withColumn("wm_kept", ~F.col("wm_f.base_failed") & ~bad).drop("wm_id", "wm_stratum")
+    for r in RULES:
+        bad = bad | F.coalesce(F.col(f"wm_f.{r}") > F.col(f"wm_cut_{r}"), F.lit(False))
+    judged = made.join(F.broadcast(chosen), F.col("wm_stratum").eqNullSafe(F.col("wm_cut_stratum")), "left")
+    return judged.withColumn("wm_kept", ~F.col("wm_f.base_failed") & ~bad).drop("wm_id", "wm_stratum", *chosen.columns)
