@@ -595,6 +595,16 @@ def test_spread(spark):
         assert np.allclose([got[h][col] for h in hosts], r, atol=1e-9)
 
 
+def test_spread_goes_on_until_it_settles(spark):
+    """A host 33 links from the seed gets its rank; too few rounds are an error."""
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(33)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r["host"]: r["trust"] for r in urls.spread(links, seeds, tolerance=1e-3).collect()}
+    assert np.allclose([got[f"h{i}"] for i in range(34)], got["h0"] * 0.85 ** np.arange(34), atol=1e-3) and got["h33"] > 0
+    with pytest.raises(RuntimeError):
+        urls.spread(links, seeds, rounds=2)
+
+
 def test_links_spread_to_pages(spark):
     page = lambda i, u, to: (i, u, "".join(f"<a href='https://{x}/p'>x</a>" for x in to))
     data = [page(i, "http://bad.com/en/1", ["evil.info"]) for i in range(3)] + [page(10, "http://evil.info/a", ["bad.com"]), page(11, "http://good.net/de/1", ["fine.info"]), page(12, "http://fine.info/x", ["good.net"])]

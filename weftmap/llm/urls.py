@@ -52,12 +52,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 120, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) from links (src, dst, n) and seeds (host, trust, distrust weights).
 
     Both kinds run in one loop, as rows (kind, host). A round is one join and one
     sum; the driver gets two sums a round. Mass that has nowhere to go returns to
-    the seeds.
+    the seeds. What moves shrinks by ``damping`` a round; if ``rounds`` end before it is
+    less than ``tolerance``, that is an error (a tolerance of 0 asks for just so many rounds).
     """
     steps = materialize(
         links.select(F.lit(0).alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).alias("l"),
@@ -83,6 +84,9 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
         state = new.select("kind", "host", "seed", F.col("next").alias("r"))
         if delta < tolerance:
             break
+    else:
+        if rounds and tolerance > 0:
+            raise RuntimeError(f"ranks still move by {delta:g} after {rounds} rounds")
     return state.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r"))).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("r"))).alias("distrust"))
 
 
