@@ -533,6 +533,16 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_of_every_label(spark):
+    """Each of 70 languages is trained on, from fewer texts each."""
+    data = [(10 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20, f"l{k}") for k in range(70) for i in range(6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    learned = {lang for i, _, lang in data if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(learned) == 70 and langid.fit(df).langs == sorted(learned)
+    got = Counter(r["lang"] for r in langid.sample(df, docs_each=2, full_langs=35))
+    assert set(got) == learned and set(got.values()) == {1}
+
+
 def test_language_odd(spark, odd, none):
     net = langid.fit(odd)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, ["doc_id"], net).collect()}

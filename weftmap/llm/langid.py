@@ -5,8 +5,9 @@ a window and classified by softmax. A whole text is cut into windows of fixed
 length that overlap by the widest filter, all of them are judged in batches, and
 the text's probabilities are the windows' means, weighted by their bytes.
 
-Training takes at most ``TRAIN_DOCS`` labelled texts for each of at most
-``MAX_LANGS`` languages (the most frequent), chosen by hash, and at most
+Training takes labelled texts of every language, chosen by hash: at most
+``TRAIN_DOCS`` of each, or fewer of each where there are more than ``FULL_LANGS``
+languages, so that all together are about as many (one of each at least); and at most
 ``TRAIN_WINDOWS`` windows of each, drawn with a fixed seed; everything else runs
 over all texts. The weights are a few thousand numbers whatever the input.
 
@@ -27,7 +28,7 @@ from pyspark.sql import Window
 from .common import batches, held_out, text_bytes
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
-TRAIN_DOCS, TRAIN_WINDOWS, MAX_LANGS, EPOCHS = 250, 8, 64, 6
+TRAIN_DOCS, TRAIN_WINDOWS, FULL_LANGS, EPOCHS = 250, 8, 64, 6
 UND = "und"
 
 
@@ -130,15 +131,15 @@ def rows_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = W
     return np.where(place < end[:, None], raw[np.minimum(place, max(0, len(raw) - 1))], np.uint8(0))
 
 
-def sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, most_langs: int = MAX_LANGS) -> list:
-    """(lang, windows as bytes) of at most docs_each x most_langs texts; windows are drawn on the executors, so no whole text comes to the driver."""
+def sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, full_langs: int = FULL_LANGS) -> list:
+    """(lang, windows as bytes) of texts of all languages; windows are drawn on the executors, so no whole text comes to the driver."""
     may = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
-    names = [r["lang"] for r in langs.collect()]
+    langs = may.select("lang").distinct().count()
+    each = min(docs_each, max(1, docs_each * full_langs // max(1, langs)))
     w = Window.partitionBy("lang").orderBy("wm_h", "doc_id")
-    chosen = may.where(F.col("lang").isin(names)).select("doc_id", "lang", F.xxhash64("doc_id").alias("wm_h")).withColumn("wm_n", F.row_number().over(w)).where(F.col("wm_n") <= docs_each)
+    chosen = may.select("doc_id", "lang", F.xxhash64("doc_id").alias("wm_h")).withColumn("wm_n", F.row_number().over(w)).where(F.col("wm_n") <= each)
     ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]
-    texts = may.where(F.col("doc_id").isin(ids) & F.col("lang").isin(names)).select("doc_id", "lang", "text")
+    texts = may.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text")
 
     def draw(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, column in batches(it):
