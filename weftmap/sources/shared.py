@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a local one that goes at exit."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a local one that goes at exit, or on a cluster an error, as executors couldn't share that."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset, and {master} needs a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="weftmap-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = f"file://{own}"
