@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins over the edges; no neighbour list
-is ever collected, so a vertex with very many edges is only a skewed join key.
+is ever collected, so a vertex with very many edges is only a skewed join key. The
+aggregated side of a join is written first: both sides are then dealt anew for the
+join, and Spark can split a skewed one. Rounds go on until nothing changes.
 """
 
 from __future__ import annotations
@@ -17,20 +19,18 @@ def _print(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every vertex of ``edges`` (u, v); root is the least vertex of its component."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every vertex of ``edges`` (u, v); root is the least vertex of its component. Loops count for nothing."""
     now = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = _print(now)
-    for _ in range(most_rounds if seen[0] else 0):
+    before, seen = None, _print(now)
+    while seen[0] and before != seen:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         linked = large.join(least, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u != v").distinct(), "edges")
         before, seen = seen, _print(now)
-        if before == seen:
-            break
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,20 +1,25 @@
 """N-gram Jaccard join: MinHash bands find pairs, full n-gram sets decide.
 
-A class is a group of texts with the same words in the same order. Classes that
-share a band's bucket are joined to the bucket's least class (a star, never all
-pairs), and the components of these stars are the candidate groups. Each group's
-full sets then meet: in one task, or where they are more than ``BLOCK`` shingles,
-dealt over blocks by hash, each pair of blocks in a task of its own. There every
-pair of a group is verified by matrix products over the shingles that two texts
-share, so no pair is ever a row, and a group of any size is only more blocks.
+A class is a group of texts with the same words in the same order. The classes
+that share a band's bucket meet with their full sets: in one task, or where they are
+more than ``BLOCK`` shingles, dealt over blocks by hash, each pair of blocks in a
+task of its own. There every pair is verified by matrix products over the shingles
+that two texts share, so no pair is ever a row, and a bucket of any size is only
+more blocks. A pair of several buckets counts in that of the first band that the two
+share, which their band hashes tell. A bucket whose members all share an earlier
+bucket has no pair of its own and is left out, so a small group of near copies meets
+once. Texts that only a chain of buckets connects never meet: the work grows with
+the pairs of buckets, not with the groups that chains would make. Groups are the
+components of the verified links.
 
 Bands and rows are chosen so that a pair at the threshold is found with
-probability ``recall``, and groups widen that: any chain of buckets will do.
+probability ``recall``.
 
 Defined results: texts with fewer than n words have one shingle, all their
 words; a text without words is linked to nothing; repeated rows are links of
 each other; a null doc_id is a row like others (class_id is null only where no
-row of the class has an id).
+row of the class has an id); an empty table gives an empty one. ``keep_first`` keeps,
+of the rows of a group, one of least id, and of equal ids one of least text hash.
 """
 
 from __future__ import annotations
@@ -97,7 +102,7 @@ def signatures(n: int, bands: int, rows: int, key: pa.DataType):
 
 
 def sets(n: int):
-    """Partition of (comp, nb, s, w, text) -> (comp, nb, s, w, set): the sorted different shingles as bytes."""
+    """Partition of (s, w, bands, buckets, text) -> (s, w, bands, buckets, set): the sorted different shingles as bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in batches(it):
@@ -105,8 +110,8 @@ def sets(n: int):
             g, first = shingles(words, n)
             keys = text_keys(words).view(np.int64)
             own = [np.unique(g[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            same = pa.array(keys == rows.column(2).to_numpy())
-            out = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), rows.column(3), pa.array(own, pa.binary())], ["comp", "nb", "s", "w", "set"])
+            same = pa.array(keys == rows.column(0).to_numpy())
+            out = pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(own, pa.binary())], ["s", "w", "bands", "buckets", "set"])
             yield out.filter(same)
 
     return run
@@ -136,28 +141,38 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     return out
 
 
+def met_before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of a and b (a column for each earlier band) share an earlier bucket."""
+    out = np.zeros((len(a), len(b)), bool)
+    for k in range(a.shape[1]):
+        out |= a[:, k][:, None] == b[:, k][None, :]
+    return out
+
+
 def verify(threshold: float):
-    """Sorted rows (comp, bi, bj, side, s, w, set) -> (s, links, root): links by copies, and the least text reached in this task."""
+    """Sorted rows (band, h, bi, bj, side, s, w, bands, set) -> (s, links, root): links by copies that count in this bucket, and the least text reached along links in this task."""
 
-    def group(rows: list[tuple]) -> tuple[list, list, list]:
+    def group(band: int, apart: bool, rows: list[tuple]) -> tuple[list, list, list]:
         a = [r for r in rows if r[0] == 0]
         b = [r for r in rows if r[0] == 1]
-        if not a or rows[0][4] and not b or len(a) < 2 and not b:
+        if not a or apart and not b or len(a) < 2 and not b:
             return [], [], []
         one, two = [r[3] for r in a], [r[3] for r in b] or None
         na = np.array([len(x) for x in one], np.float64)
         nb = na if two is None else np.array([len(x) for x in two], np.float64)
         shared = overlaps(one, two)
         link = shared >= threshold * (na[:, None] + nb[None, :] - shared) - 1e-6
+        early = np.array([r[4][:band] for r in a], np.int64).reshape(len(a), band)
         wa = np.array([r[2] for r in a], np.int64)
         if two is None:
             np.fill_diagonal(link, False)
-            links = link @ wa
+            links = (link & ~met_before(early, early)) @ wa
             key = np.array([r[1] for r in a], np.int64)
             x, y = np.nonzero(np.triu(link))
         else:
             wb = np.array([r[2] for r in b], np.int64)
-            links = np.concatenate([link @ wb, wa @ link])
+            new = link & ~met_before(early, np.array([r[4][:band] for r in b], np.int64).reshape(len(b), band))
+            links = np.concatenate([new @ wb, wa @ new])
             key = np.array([r[1] for r in [*a, *b]], np.int64)
             x, y = np.nonzero(link)
             y = y + len(a)
@@ -177,7 +192,7 @@ def verify(threshold: float):
         out: tuple[list, list, list] = ([], [], [])
 
         def close() -> None:
-            for k, v in zip(out, group(rows), strict=True):
+            for k, v in zip(out, group(at[0], at[2] != at[3], rows), strict=True):
                 k.extend(v)
 
         def made() -> pa.RecordBatch:
@@ -187,13 +202,13 @@ def verify(threshold: float):
             return batch
 
         for batch in it:
-            comp, bi, bj, side, s, w = (batch.column(i).to_pylist() for i in range(6))
-            for i, key in enumerate(zip(comp, bi, bj, strict=True)):
+            band, h, bi, bj, side, s, w = (batch.column(i).to_pylist() for i in range(7))
+            for i, key in enumerate(zip(band, h, bi, bj, strict=True)):
                 if key != at:
                     if rows:
                         close()
                     at, rows = key, []
-                rows.append((side[i], s[i], w[i], np.frombuffer(batch.column(6)[i].as_py(), np.uint64), key[1] != key[2]))
+                rows.append((side[i], s[i], w[i], np.frombuffer(batch.column(8)[i].as_py(), np.uint64), batch.column(7)[i].values.to_numpy()))
             if len(out[0]) > 10000:
                 yield made()
         if rows:
@@ -204,6 +219,22 @@ def verify(threshold: float):
     return run
 
 
+def meetings(classes: DataFrame, bands: int, block: int = BLOCK) -> DataFrame:
+    """(s, buckets) from classes (s, n_shingles, bands): the buckets (band, h, nb blocks) that a class's set goes to; classes that meet no other are left out."""
+    cells = classes.select("s", F.posexplode("bands").alias("band", "h"))
+    # tables of what is counted: the joins below then deal both sides anew, and Spark can split a bucket of very many rows
+    shared = materialize(cells.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared")
+    met = materialize(cells.join(shared, ["band", "h"]).select("s", "band", "h"), "met")
+    # the hashes of a member's earlier bands; a bucket where all members have one in common has no pair of its own
+    of = met.join(classes.select("s", "n_shingles", "bands"), "s")
+    early = [F.when((F.col("band") > k) & (F.min(F.get("bands", F.lit(k))) == F.max(F.get("bands", F.lit(k)))), True).otherwise(False) for k in range(bands - 1)]
+    size = F.greatest(F.ceil(F.sum("n_shingles") / F.lit(block)), F.ceil(F.count(F.lit(1)) / F.lit(TEXTS))).cast("int")
+    buckets = of.groupBy("band", "h").agg(size.alias("nb"), *[e.alias(f"e{k}") for k, e in enumerate(early)])
+    buckets = materialize(buckets.where(~F.greatest(F.lit(False), F.lit(False), *[F.col(f"e{k}") for k in range(bands - 1)])).select("band", "h", "nb"), "buckets")
+    # at most one for each band
+    return met.join(buckets, ["band", "h"]).groupBy("s").agg(F.collect_list(F.struct("band", "h", "nb")).alias("buckets"))
+
+
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, th, s, n_links, class_id, n_shingles, first): for each row of ``docs`` the rows linked to it (Jaccard similarity of at least ``threshold``), its class (least doc_id of those reached along links) and whether it is the row to keep. th is xxhash64 of the text, s the hash of its words."""
     bands, rows = bands_for(threshold, recall)
@@ -212,21 +243,17 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     key = pa.int32() if kind == "int" else pa.int64()
     light = materialize(own.mapInArrow(signatures(n, bands, rows, key), f"doc_id {kind}, th long, s long, n_shingles long, bands array<long>"), "signatures")
     classes = materialize(light.where("n_shingles > 0").groupBy("s").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
-    cells = classes.select("s", F.posexplode("bands").alias("band", "h"))
-    buckets = cells.groupBy("band", "h").agg(F.min("s").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = cells.join(buckets, ["band", "h"]).where("s != root").select(F.col("s").alias("u"), F.col("root").alias("v"))
-    groups = components(stars)
-    met = materialize(classes.drop("bands").join(groups, F.col("s") == F.col("node")).select("s", "w", "rep", "n_shingles", F.col("root").alias("comp")), "groups")
-    blocks = met.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n_shingles") / F.lit(block)), F.ceil(F.count(F.lit(1)) / F.lit(TEXTS))).cast("int").alias("nb"))
-    reps = met.join(blocks, "comp").select("comp", "nb", "s", "w", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    todo = meetings(classes, bands, block)
+    reps = todo.join(classes.select(F.col("s").alias("of_s"), "w", "bands", "rep"), F.col("s") == F.col("of_s")).select("s", "w", "bands", "buckets", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     # always by a shuffle: how many texts there are decides nothing else about the plan
-    texts = own.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("comp", "nb", "s", "w", "text")
-    full = texts.mapInArrow(sets(n), "comp long, nb int, s long, w long, set binary")
+    texts = own.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("s", "w", "bands", "buckets", "text")
+    full = texts.mapInArrow(sets(n), "s long, w long, bands array<long>, buckets array<struct<band:int,h:long,nb:int>>, set binary")
+    at = full.select("s", "w", "bands", "set", F.explode("buckets").alias("at")).select("s", "w", "bands", "set", "at.*")
     b = F.pmod(F.xxhash64("s"), F.col("nb")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.struct(F.least(i, F.col("b")).alias("bi"), F.greatest(i, F.col("b")).alias("bj"), (i < F.col("b")).cast("int").alias("side")))
-    dealt = full.withColumn("b", b).withColumn("p", F.explode(places)).select("comp", "p.bi", "p.bj", "p.side", "s", "w", "set")
+    dealt = at.withColumn("b", b).withColumn("p", F.explode(places)).select("band", "h", "p.bi", "p.bj", "p.side", "s", "w", "bands", "set")
     # repeated rows bring a text more than once
-    dealt = dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side", "s")
+    dealt = dealt.repartition("band", "h", "bi", "bj").sortWithinPartitions("band", "h", "bi", "bj", "side", "s")
     links = materialize(dealt.mapInArrow(distinct_rows, dealt.schema).mapInArrow(verify(threshold), "s long, links long, root long"), "links")
     linked = links.groupBy("s").agg(F.sum("links").alias("links"))
     roots = components(links.where("s != root").select(F.col("s").alias("u"), F.col("root").alias("v")))
@@ -248,10 +275,10 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
 
 def distinct_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops rows that equal the one before in all but the set (the input is sorted)."""
+    """Drops rows of the text, bucket and block of the one before (the input is sorted)."""
     last = None
     for batch in it:
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
         keep = [k != p for k, p in zip(keys, [last, *keys[:-1]], strict=True)]
         if keys:
             last = keys[-1]
