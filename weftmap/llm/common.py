@@ -1,46 +1,54 @@
-"""What the operators share: the cluster's shared folder, batches, row keys."""
+"""What the operators share: columns that are carried along, batches, row keys, and the tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import sys
-import tempfile
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.shared import materialize, shared_dir
+
+__all__ = ["CHUNK_BYTES", "as_strings", "batches", "carry", "chunks", "columns", "crc", "held_out", "materialize", "quoted", "shared_dir", "text_bytes", "trim"]
 
 #: Bytes of text that a Python worker handles at a time (a longer text is handled alone).
 CHUNK_BYTES = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a local one that goes at exit."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        own = tempfile.mkdtemp(prefix="weftmap-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        where = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back.
+def carry(docs: DataFrame, keep: Iterable[str], made: str | StructType, needs: Iterable[str] = ("text",)) -> tuple[DataFrame, list[str], list[str], StructType]:
+    """What a function over rows is given, and the schema of what it gives back.
 
-    This cuts the lineage: a lost executor costs the tasks that it ran, not the
-    steps before. The table keeps row counts, so later joins are planned on them.
+    ``docs`` with the columns ``keep``, each once, and the columns ``needs``; the names
+    of both; and the schema of ``keep`` followed by ``made``. A kept column
+    whose name is that of a made one, whatever the case, comes back with ``_in`` at the end.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftmap/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = made if isinstance(made, StructType) else StructType.fromDDL(made) if made else StructType([])
+    taken = {f.name.lower() for f in made.fields}
+    names: dict[str, str] = {}
+    for column in dict.fromkeys(keep):
+        name = column
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        names[column] = name
+    given = [names.get(n, f"wm_{n}") for n in needs]
+    extra = [quoted(n).alias(f"wm_{n}") for n in needs if n not in names]
+    own = docs.select(*[quoted(c).alias(n) for c, n in names.items()], *extra)
+    return own, list(names.values()), given, StructType([*[own.schema[n] for n in names.values()], *made.fields])
+
+
+def columns(rows: pa.RecordBatch, names: Iterable[str]) -> list[pa.Array]:
+    return [rows.column(rows.schema.get_field_index(n)) for n in names]
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -1,20 +1,28 @@
 """Benchmark decontamination: shared q-grams in diagonal bands, then banded alignment.
 
-A passage of m characters that a text holds with at most e edits shares at least
-m + 1 - q (e + 1) q-grams with it, all within e diagonals of its start (q-gram
-lemma). A text's q-grams are looked up in those of the benchmark; hits are
-counted in bands of 2 (2 e + 1) diagonals that overlap by half, so some band
-holds any such match whole; bands that meet the bound are aligned.
-
-Texts are compared in lower case with any white space as one space, as one byte
-a character for the q-grams (a byte may stand for several characters, which only
-adds candidates) and by whole characters in the alignment.
-
-Defined results: null and empty texts, and items shorter than the bound allows
-(fewer than q characters), match nothing or only as a whole substring; equal
-items match alike; repeated rows match alike. The benchmark comes to the driver
-in blocks of at most ``BLOCK_CHARS`` characters (a longer item is a block), each
-of which is sent to the executors; more blocks are more passes over the texts.
+A passage that a text holds with at most e edits shares at least m + 1 - q (e + 1)
+q-grams with an item of m characters, all within e diagonals of its start (q-gram
+lemma). Every item has the whole budget e = floor(share m), and the largest q, up
+to ``Q``, that keeps this bound above 0; items of one q form an index. A text's
+q-grams are looked up in it; hits are counted in bands of 2 (2 e + 1) diagonals
+that overlap by half, so some band holds any such match whole; bands that meet the
+bound are aligned. So exactly the items within their budget are found.
+
+Texts and items are compared in lower case (the final sigma as the other), with
+every run of white space as one space and items without white space at their ends;
+as one byte a character for the q-grams (a byte may stand for several characters,
+which only adds candidates) and by whole characters in the alignment. ``start`` and
+``end`` are places in the text as it was given.
+
+Defined results: null and empty texts match nothing; null items and items of white
+space alone are matched by nothing; equal items match alike; of equally near
+places of one item the first counts; repeated rows match alike; a kept column named
+like one that is made comes back with ``_in`` at the end of its name.
+
+The benchmark comes to the driver in blocks of at most ``BLOCK_CHARS`` characters (a
+longer item is a block), and a task holds the index of one block: more blocks are
+more passes over the texts. Hits are expanded ``PAIRS`` at a time, so a text that
+repeats one q-gram is bounded too.
 """
 
 from __future__ import annotations
@@ -24,20 +32,44 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batches
+from .common import batches, carry, columns, materialize
 
 Q, EDIT_SHARE = 10, 0.08
 BLOCK_CHARS = 1 << 23
+#: Pairs of a place in a text and one in an item that are made at a time.
+PAIRS = 1 << 21
+#: Bands that are aligned together.
+JOINED = 8
 _TABLE_BITS = 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
-def points(text: str) -> np.ndarray:
-    """The characters compared: lower case, white space as a space."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    white = (cp == 10) | (cp == 9) | (cp == 13) | (cp == 11) | (cp == 12) | (cp == 0xA0)
-    return np.where(white, np.uint32(32), cp) if white.any() else cp
+_WHITE = np.array(sorted(c for c in range(0x10000) if chr(c).isspace()), np.uint32)
+
+
+def _lower(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """Code points in lower case, and for each its place in ``text`` if they aren't one to one."""
+    low = text.lower().replace("ς", "σ")
+    place = None
+    if len(low) != len(text):
+        each = [c.lower().replace("ς", "σ") for c in text]
+        low, place = "".join(each), np.repeat(np.arange(len(each)), [len(c) for c in each])
+    return np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32), place
+
+
+def points(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """The characters compared, and for each its place in ``text`` (None: the same place)."""
+    cp, place = _lower(text)
+    white = np.isin(cp, _WHITE)
+    if not white.any():
+        return cp, place
+    again = np.zeros(len(cp), bool)
+    again[1:] = white[1:] & white[:-1]
+    cp = np.where(white, np.uint32(32), cp)
+    if again.any():
+        place = (np.arange(len(cp)) if place is None else place)[~again]
+        cp = cp[~again]
+    return cp, place
 
 
 def fold(cp: np.ndarray) -> np.ndarray:
@@ -58,40 +90,103 @@ def qgrams(b: np.ndarray, q: int) -> np.ndarray:
     return (g[:n] ^ (g[:n] >> np.uint64(29))) * _MUL
 
 
-class Index:
-    """Postings of the benchmark's q-grams, and each item's bound."""
+class Part:
+    """Postings of the q-grams of some items, all of one q."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, share: float):
+    def __init__(self, q: int, items: np.ndarray, points: list[np.ndarray], m: np.ndarray, e: np.ndarray):
         self.q = q
-        self.ids = [i for i, _ in items]
-        self.points = [points(t) for _, t in items]
-        self.m = np.array([len(p) for p in self.points], np.int64)
-        self.e = np.floor(self.m * share).astype(np.int64)
-        # an item too short for its budget gets the largest that leaves one q-gram; below that only whole matches
-        self.e = np.maximum(np.minimum(self.e, (self.m + 1) // q - 2), 0)
-        self.bound = np.maximum(self.m + 1 - q * (self.e + 1), 1)
-        g = [qgrams(fold(p), q) for p in self.points]
-        gram = np.concatenate(g) if g else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(g)), [len(x) for x in g]).astype(np.int32)
-        pos = np.concatenate([np.arange(len(x)) for x in g]).astype(np.int32) if g else np.empty(0, np.int32)
+        self.bound = m + 1 - q * (e + 1)
+        g = [qgrams(fold(points[i]), q) for i in items.tolist()]
+        gram = np.concatenate(g)
+        item = np.repeat(items, [len(x) for x in g]).astype(np.int32)
+        pos = np.concatenate([np.arange(len(x)) for x in g]).astype(np.int32)
         order = np.argsort(gram, kind="stable")
         gram, self.item, self.pos = gram[order], item[order], pos[order]
         self.gram, self.start = np.unique(gram, return_index=True)
         self.start = np.append(self.start, len(gram))
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        self.least = int(self.bound[self.m >= q].min()) if (self.m >= q).any() else 1
-        self.reach = int((self.m + 2 * self.e).max()) if len(self.m) else 0
+        self.least = int(self.bound[items].min())
+        self.reach = int((m + 2 * e)[items].max())
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose gram the benchmark has, and its number."""
+        """Places whose gram an item has, and its number."""
         at = np.flatnonzero(self.table[(grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-        if not len(at) or not len(self.gram):
-            return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
         same = self.gram[k] == grams[at]
         return at[same], k[same]
 
+    def regions(self, grams: np.ndarray, m: np.ndarray, e: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first, last diagonal) of the bands of a text that meet the bound; bands that follow each other are one region, up to ``JOINED``."""
+        at, k = self.hits(grams)
+        if len(at) < self.least:
+            return []
+        # a match has ``least`` hits within ``reach`` places: drop hits that have fewer around them
+        around = np.searchsorted(at, at + self.reach, "right") - np.searchsorted(at, at - self.reach)
+        dense = around >= self.least
+        at, k = at[dense], k[dense]
+        if len(at) < self.least:
+            return []
+        size = self.start[k + 1] - self.start[k]
+        done = np.cumsum(size)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PAIRS, "right")))
+            new, n = self._bands(at[a:b], k[a:b], size[a:b], m, e)
+            if len(keys):
+                both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                keys, counts = both, np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
+            else:
+                keys, counts = new, n
+            a = b
+        item = keys >> 40
+        good = counts >= self.bound[item]
+        out, of, first, last = [], -1, 0, 0
+        for i, b in zip(item[good].tolist(), (keys[good] & ((1 << 40) - 1)).tolist(), strict=True):
+            if i == of and b == last and last - first < JOINED:
+                last += 1
+            else:
+                of, first, last = i, b, b + 1
+                out.append([])
+            w, off = 2 * int(e[i]) + 1, int(m[i] + e[i])
+            out[-1] = (i, first * w - off, (last + 1) * w - off)
+        return out
+
+    def _bands(self, at: np.ndarray, k: np.ndarray, size: np.ndarray, m: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) as one number and how many hits it has. Band b has the diagonals from b w up to (b + 2) w."""
+        post = np.repeat(self.start[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        item = self.item[post].astype(np.int64)
+        diagonal = np.repeat(at, size) - self.pos[post] + m[item] + e[item]  # not negative
+        band = diagonal // (2 * e[item] + 1)
+        key = (item << 40) + band
+        return np.unique(np.concatenate([key, key[band > 0] - 1]), return_counts=True)
+
+
+class Index:
+    """The items of a block, their budgets, and an index for each q."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, share: float = EDIT_SHARE):
+        self.ids, self.points = [], []
+        for i, text in items:
+            cp = points(text)[0]
+            cp = cp[int(len(cp) > 0 and cp[0] == 32) : len(cp) - int(len(cp) > 1 and cp[-1] == 32)]
+            if len(cp):
+                self.ids.append(i), self.points.append(cp)
+        self.raw = [p.tobytes() for p in self.points]
+        self.m = np.array([len(p) for p in self.points], np.int64)
+        self.e = np.floor(self.m * share).astype(np.int64)
+        own = np.minimum(q, self.m // (self.e + 1))  # m + 1 - q (e + 1) is then 1 at least
+        self.parts = [Part(int(x), np.flatnonzero(own == x), self.points, self.m, self.e) for x in np.unique(own)]
+
+
+def _find(text: bytes, item: bytes) -> int:
+    """Where ``item`` begins in ``text``, both in four bytes a character; -1 if nowhere."""
+    at = text.find(item)
+    while at > 0 and at % 4:
+        at = text.find(item, at + 1)
+    return at // 4 if at >= 0 else -1
+
 
 def align(text: np.ndarray, item: np.ndarray, first: int, last: int, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best match of ``item`` with a part of ``text`` on diagonals first..last - 1, if at most ``most`` edits.
@@ -122,82 +217,48 @@ def align(text: np.ndarray, item: np.ndarray, first: int, last: int, most: int)
     return (cost, begin, first + k + m) if cost <= most else None
 
 
-def regions(index: Index, grams: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, first, last start) of the bands of a text that meet the bound."""
-    at, k = index.hits(grams)
-    if len(at) < index.least:
-        return []
-    # a match has ``least`` hits within ``reach`` places: drop hits that have fewer around them
-    around = np.searchsorted(at, at + index.reach, "right") - np.searchsorted(at, at - index.reach)
-    dense = around >= index.least
-    at, k = at[dense], k[dense]
-    if len(at) < index.least:
-        return []
-    n = index.start[k + 1] - index.start[k]
-    post = np.repeat(index.start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item = index.item[post].astype(np.int64)
-    at = np.repeat(at, n)
-    diagonal = at - index.pos[post] + index.m[item] + index.e[item]  # not negative
-    width = 2 * index.e[item] + 1
-    band = diagonal // width
-    key = np.concatenate([(item << 40) + band, (item << 40) + np.maximum(band - 1, 0)])  # band b: diagonals [b w, (b + 2) w)
-    key, count = np.unique(key, return_counts=True)
-    item = key >> 40
-    good = count >= index.bound[item]
+def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, edits): the best match of each item that the text holds."""
+    cp, place = points(text)
+    b = fold(cp)
+    best: dict[int, tuple[int, int, int]] = {}
+    for part in index.parts:
+        for i, first, last in part.regions(qgrams(b, part.q), index.m, index.e):
+            m, e = int(index.m[i]), int(index.e[i])
+            most = best[i][0] - 1 if i in best else e  # regions come in order of place, so of equals the first stays
+            if most < 0:
+                continue
+            lo, hi = max(0, first - e), min(len(cp), last + m + e)
+            whole = _find(cp[lo:hi].tobytes(), index.raw[i])
+            got = (0, lo + whole, lo + whole + m) if whole >= 0 else align(cp, index.points[i], first - e, last + e, most)
+            if got:
+                best[i] = got
     out = []
-    for i, b in zip(item[good].tolist(), (key[good] & ((1 << 40) - 1)).tolist(), strict=True):
-        w, off = 2 * int(index.e[i]) + 1, int(index.m[i] + index.e[i])
-        out.append((i, b * w - off, (b + 2) * w - off))
+    for i, (e, s, t) in sorted(best.items()):
+        if place is not None:
+            s, t = int(place[s]) if s < len(place) else len(text), int(place[t - 1]) + 1 if t > s else int(place[min(s, len(place) - 1)])
+        out.append((i, s, t, e))
     return out
 
 
-def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) in characters: the best match of each item that the text holds."""
-    cp = points(text)
-    best: dict[int, tuple[int, int, int]] = {}
-    done: dict[int, list[tuple[int, int]]] = {}
-    for i, a, b in regions(index, qgrams(fold(cp), index.q)):
-        m, e = int(index.m[i]), int(index.e[i])
-        lo, hi = max(0, a - e), min(len(cp), b + m + e)
-        if (i in best and best[i][0] == 0) or any(x <= lo and hi <= y for x, y in done.get(i, ())):
-            continue
-        done.setdefault(i, []).append((lo, hi))
-        part = cp[lo:hi]
-        whole = part.tobytes().find(index.points[i].tobytes())
-        while whole > 0 and whole % 4:
-            whole = part.tobytes().find(index.points[i].tobytes(), whole + 1)
-        got = (0, lo + whole // 4, lo + whole // 4 + m) if whole >= 0 else align(cp, index.points[i], a - e, b + e, e)
-        if got and (i not in best or got < best[i]):
-            best[i] = got
-    short = [i for i in range(len(index.m)) if 0 < index.m[i] < index.q]
-    for i in short:
-        k = cp.tobytes().find(index.points[i].tobytes())
-        while k > 0 and k % 4:
-            k = cp.tobytes().find(index.points[i].tobytes(), k + 1)
-        if k >= 0:
-            best[i] = (0, k // 4, k // 4 + int(index.m[i]))
-    return [(i, s, t, e) for i, (e, s, t) in sorted(best.items())]
-
-
-def find(shared, keep: list[str]):
+def find(shared, keep: list[str], text: str, kind: pa.DataType):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for rows, texts in batches(it):
+        for rows, texts in batches(it, text):
             row, item, start, end, edits = [], [], [], [], []
-            for r, text in enumerate(texts.to_pylist()):
-                for i, s, t, e in matches(index, text):
-                    row.append(r), item.append(index.ids[i]), start.append(s), end.append(t), edits.append(e)
+            for r, t in enumerate(texts.to_pylist()):
+                for i, s, last, e in matches(index, t):
+                    row.append(r), item.append(index.ids[i]), start.append(s), end.append(last), edits.append(e)
             if row:
-                pick = pa.array(row, pa.int64())
-                own = [rows.column(rows.schema.get_field_index(c)).take(pick) for c in keep]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], [*keep, "item_id", "start", "end", "edits"])
+                own = [c.take(pa.array(row, pa.int64())) for c in columns(rows, keep)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(item, kind), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], [*keep, "item_id", "start", "end", "edits"])
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def benchmark_blocks(benchmark: DataFrame, most: int | None = None) -> Iterator[list[tuple[int, str]]]:
     """Items with text, in blocks of bounded size."""
-    block, held = [], 0
+    block, held, most = [], 0, most or BLOCK_CHARS
     for row in benchmark.where("text is not null and length(text) > 0").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         if block and held + len(row["text"]) > most:
             yield block
@@ -208,32 +269,37 @@ def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, share: float = EDIT_SHARE, block: int | None = None) -> DataFrame:
     """``keep`` columns with item_id, start, end (characters) and edits: a row for each text and item that it holds."""
     spark = docs.sparkSession
-    own = docs.select(*keep, "text")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in keep]
-    schema = ", ".join([*kinds, "item_id long", "start long", "end long", "edits int"])
+    own, names, (text,), schema = carry(docs, keep, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, start long, end long, edits int")
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
-    for block in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(block, q, share))
-        found = own.mapInArrow(find(shared, keep), schema)
+    for items in benchmark_blocks(benchmark, block):
+        shared = spark.sparkContext.broadcast(Index(items, q, share))
+        found = own.mapInArrow(find(shared, names, text, kind), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(shared_blocks: list, columns: list[str]):
+def clean(shared, text: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in batches(it):
-            keep = [not any(matches(s.value, t) for s in shared_blocks) for t in texts.to_pylist()]
-            yield rows.filter(pa.array(keep, pa.bool_()))
+        index = shared.value
+        for rows, texts in batches(it, text):
+            yield rows.filter(pa.array([not matches(index, t) for t in texts.to_pylist()], pa.bool_()))
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
-    """``columns`` of the rows that hold no benchmark item. One pass over the texts, without a shuffle."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], q: int = Q, share: float = EDIT_SHARE, block: int | None = None) -> DataFrame:
+    """``columns`` of the rows that hold no benchmark item, without a shuffle. A pass over the texts for each block; what a pass leaves is written for the next, so a task holds one block."""
     spark = docs.sparkSession
-    own = docs.select(*columns)
-    blocks = [spark.sparkContext.broadcast(Index(b, q, share)) for b in benchmark_blocks(benchmark)]
-    return own.mapInArrow(clean(blocks, columns), own.schema) if blocks else own
+    own, names, (text,), _ = carry(docs, columns, "")
+    blocks = benchmark_blocks(benchmark, block)
+    items = next(blocks, None)
+    while items is not None:
+        more = next(blocks, None)
+        own = own.mapInArrow(clean(spark.sparkContext.broadcast(Index(items, q, share)), text), own.schema)
+        own = own if more is None else materialize(own, "clean")
+        items = more
+    return own.select(*names)
