@@ -39,8 +39,8 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    text = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], given.schema)
+    added = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": F.when(F.col("id") == 0, "user").otherwise("assistant"), "text": F.lit("</s>[INST] ok [/INST]")}
+    own = spark.range(2).select(*[added[f.name].cast(f.dataType).alias(f.name) for f in given.schema])
     return chat.digests(chat.read_back(chat.format_conversations(given.unionByName(own))))
 
 
