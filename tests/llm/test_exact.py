@@ -1,13 +1,15 @@
 """Queries against brute force, and what the operators do at their edges."""
 
 import re
+import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftmap.llm import common, decontam, ngram_join
+from weftmap.llm import chat, common, decontam, ngram_join, spm
 from weftmap.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -149,3 +151,56 @@ def test_pairs_of_many_buckets_count_once(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     for block in (1000, 1 << 20):
         assert {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(df, block=block).collect()} == {i: links[i] for i in range(90)}
+
+
+# --- SentencePiece
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    import sentencepiece
+
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    return spm.model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_sentencepiece_query_rows(spark, rows, pieces):
+    want = {d: zlib.crc32(np.array(pieces[1].encode(t or ""), "<u4").tobytes()) for d, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in Q.op8_sentencepiece(spark, SF).collect()} == want
+
+
+def test_runs_of_spaces(pieces):
+    texts = [a + " " * k + b for k in range(40) for a in ("", "x", "\n") for b in ("", "word", "日本", "😀", "\n", "\n  ")]
+    rng = np.random.default_rng(1)
+    parts = ["a", "b", " ", "  ", "     ", "\n", "the", "日", "😀", "0x", "\t", "▁", "é", " ∂"]
+    texts += ["".join(rng.choice(parts, int(rng.integers(0, 40)))) for _ in range(800)]
+    assert pieces[0].encode_texts(texts) == pieces[1].encode(texts)
+
+
+def test_long_units(pieces):
+    rng = np.random.default_rng(2)
+    texts = ["a" * 70_000, "_" * 2000 + " tail", "ab😀" * 1000, "".join(rng.choice(list("abcdefgh"), 140_000)), "日本語" * 1000]
+    assert pieces[0].encode_texts(texts) == pieces[1].encode(texts)
+    for text in (" " * 1_000_000, "a" * 1_000_000):
+        began = time.time()
+        got = pieces[0].encode_texts([text])
+        assert time.time() - began < 20 and got == pieces[1].encode([text])
+
+
+# --- chat
+
+
+def test_many_turns_of_one_conversation(spark):
+    n = 5000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 7 < 3, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<é\\["), F.col("id")).alias("text"), F.lit("x").alias("formatted"))
+    r = chat.read_back(chat.format_conversations(df)).first()
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [("user" if i % 7 < 3 else "assistant", f"<é\\[{i}") for i in range(n)]
+    assert r["loss_text"] == "".join(f"<é\\[{i}" for i in range(n) if i % 7 >= 3)
+
+
+def test_chat_ties_and_repeats(spark):
+    data = [(1, 2, "user", "b"), (1, 2, "user", "a"), (1, 2, "assistant", "z"), (1, None, None, None), (1, 2, "user", "a"), (None, 1, "assistant", ""), (None, 1, "assistant", "")]
+    df = spark.createDataFrame(data, "conv_id int, turn int, role string, text string")
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert got == {1: [("", ""), ("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")], None: [("assistant", ""), ("assistant", "")]}
+    assert chat.format_conversations(df.limit(0)).count() == 0

@@ -1,20 +1,28 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 For BPE models with byte fallback and without normalisation (others are refused).
-Text is cut where no piece reaches over (before a run of spaces; around line
-breaks), and the different cuts that a worker hasn't met are encoded together:
-their characters are indexed by a suffix array as deep as the longest piece,
-each piece's occurrences are a range found by binary search, and the occurrences
-are edges, sorted by position and relaxed from left to right: an edge extends
-the encoding that ends at its start if BPE, given both pieces' characters, would
-leave just these two. Encodings of prefixes nest in that way, so at each place
-one edge at most holds, and the last places give the ids.
+Text is cut where no piece reaches over (around a run of spaces, but its last, which
+stays with what follows; around line breaks), and the different cuts that a worker
+hasn't met are encoded together: their characters are indexed by a suffix array as
+deep as the longest piece, each piece's occurrences are a range found by binary
+search, and the occurrences are edges, sorted by position and relaxed from left to
+right: an edge extends the encoding that ends at its start if BPE, given both
+pieces' characters, would leave just these two. Encodings of prefixes nest in that
+way, so at each place one edge at most holds, and the last places give the ids. A
+cut of more than ``LONG`` characters is indexed and relaxed in blocks.
+
+Pieces of spaces alone share one rank, below all others, so a run of spaces settles
+after all else and by its length alone: the leftmost two that make a piece join,
+again and again. Runs are settled that way, not through the suffix array; a run takes
+in the space that the next cut begins with where that cut leaves it alone.
 
 Decoding joins the pieces' bytes; ``encode`` followed by ``decode`` returns the
 text, but that U+2581 comes back as a space.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded
-alike; a text of any length is handled whole.
+alike; a text of any length, of any one letter or of spaces, is handled whole and in
+time in proportion to it; a kept column named like one that is made comes back with
+``_in`` at the end of its name.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import wordhash as H
-from .common import batches, crc, text_bytes
+from .common import batches, carry, columns, crc, text_bytes
 from .hashindex import HashIndex, Rows, take
 
 BAR = "▁"
@@ -35,6 +43,8 @@ BAR = "▁"
 KEPT = 1 << 19
 #: Bytes of unmet cuts that are indexed together, about.
 INDEXED = 1 << 18
+#: Characters of a cut beyond which it is taken block by block, and of a block.
+LONG, LONG_BLOCK = 1 << 10, 1 << 16
 _CHARS_A_KEY = 4
 _NONE, _FIRST, _BYTES = -1, -2, -3
 
@@ -99,17 +109,19 @@ class Model:
         self.left = np.full(self.size, -1, np.int64)
         self.right = np.full(self.size, -1, np.int64)
         self.when = np.full(self.size, -1, np.int64)
-        reach = []
+        reach, spaces = [], {len(p) for _, p, _ in normal if len(p) > 1 and not p.strip(BAR)}
+        if spaces and (len(own := {self.rank[BAR * k] for k in spaces}) > 1 or max(own) <= max((self.rank[p] for _, p, _ in normal if len(p) > 1 and p.strip(BAR)), default=-1)):
+            raise ValueError("pieces of spaces don't rank below all others")
+        self.space_lengths = spaces
         for i, p, _ in sorted(normal, key=lambda x: len(x[1])):
             if len(p) > 1:
-                if p.strip(BAR):
-                    made = merge_slowly(list(p), self.rank)
-                    if len(made) > 1:
-                        continue
-                    a, b = made[0][1]
-                    self.left[i], self.right[i] = self.id[a], self.id[b]
-                else:
-                    continue  # runs of spaces: see encode_units
+                if not p.strip(BAR):
+                    continue  # see ``spaces``
+                made = merge_slowly(list(p), self.rank)
+                if len(made) > 1:
+                    continue
+                a, b = made[0][1]
+                self.left[i], self.right[i] = self.id[a], self.id[b]
                 self.when[i] = self.rank[p]
             reach.append((p, i))
         pair, r = [], []
@@ -142,7 +154,14 @@ class Model:
         self.length = np.ones(self.size, np.int64)
         self.length[self.piece_id] = self.piece_len
         self.known = HashIndex(16)  # pairs that were judged
+        self.known_pairs: dict[int, bool] = {}
+        self.steps: tuple[list, list, list, dict] | None = None
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets the cuts met so far."""
         self.index, self.rows = HashIndex(18), Rows(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.space_row: dict[int, int] = {}
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
@@ -199,6 +218,17 @@ class Model:
         order = np.lexsort([keys[:, k] for k in range(self.keys - 1, -1, -1)])
         return order, grid[order].view(f"S{2 * wide}").ravel()
 
+    def codes(self, cp: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(self.code, cp), len(self.code) - 1)
+        return np.where(self.code[k] == cp, k + 1, self.unknown).astype(np.uint16)
+
+    def edges(self, code: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number of the piece) of all occurrences of pieces."""
+        order, keys = self.suffixes(code, left)
+        lo, hi = np.searchsorted(keys, self.low), np.searchsorted(keys, self.high, "right")
+        count = hi - lo
+        return order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())], np.repeat(np.arange(len(lo)), count)
+
     def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units, one after another, and how many each has."""
         texts = [u.decode().replace(" ", BAR) for u in units]
@@ -209,19 +239,9 @@ class Model:
         first = end - size
         place = np.arange(n) - np.repeat(first, size)
         left = np.repeat(size, size) - place
-        k = np.minimum(np.searchsorted(self.code, cp), len(self.code) - 1)
-        code = np.where(self.code[k] == cp, k + 1, self.unknown).astype(np.uint16)
-        order, keys = self.suffixes(code, left)
-        lo, hi = np.searchsorted(keys, self.low), np.searchsorted(keys, self.high, "right")
-        count = hi - lo
-        piece = np.repeat(np.arange(len(lo)), count)
-        start = order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        # units with a run of spaces: their pieces share one score, so pairs alone don't settle them
-        runs = np.array([t.startswith(BAR + BAR) for t in texts], bool)
-        if runs.any():
-            fine = ~np.repeat(runs, size)[start]
-            piece, start = piece[fine], start[fine]
-        stranger = np.flatnonzero((code == self.unknown) & ~np.repeat(runs, size))
+        code = self.codes(cp)
+        start, piece = self.edges(code, left)
+        stranger = np.flatnonzero(code == self.unknown)
         edge_start = np.concatenate([start, stranger])
         edge_id = np.concatenate([self.piece_id[piece], np.full(len(stranger), _BYTES)])
         edge_end = edge_start + np.concatenate([self.piece_len[piece], np.ones(len(stranger), np.int64)])
@@ -241,8 +261,7 @@ class Model:
             last[e[good]] = t[good]
         # back from the units' ends
         chosen = np.zeros(n + 1, bool)
-        plain = np.flatnonzero(~runs)
-        at, begin = end[plain], first[plain]
+        at, begin = end, first
         while len(at):
             chosen[at] = True
             piece = last[at]
@@ -252,40 +271,134 @@ class Model:
         ends = np.flatnonzero(chosen)
         ids = last[ends]
         unit = np.searchsorted(end, ends)
-        special = runs.any() or (ids == _BYTES).any()
-        if not special:
+        if not (ids == _BYTES).any():
             return ids, np.bincount(unit, minlength=len(units))
         out: list[list[int]] = [[] for _ in units]
         for u, i, e in zip(unit.tolist(), ids.tolist(), ends.tolist(), strict=True):
             out[u] += [i] if i >= 0 else self.byte[list(chr(cp[e - 1]).encode())].tolist()
-        for u in np.flatnonzero(runs).tolist():
-            for s, _ in merge_slowly(list(texts[u]), self.rank):
-                out[u] += [self.id[s]] if s in self.id else self.byte[list(s.encode())].tolist()
         return np.array([i for x in out for i in x], np.int64), np.array([len(x) for x in out], np.int64)
 
+    def apart(self, a: int, b: int) -> bool:
+        """``judge`` for one pair, without arrays."""
+        key = a << 20 | b
+        got = self.known_pairs.get(key)
+        if got is not None:
+            return got
+        if self.steps is None:
+            self.steps = self.left.tolist(), self.right.tolist(), self.when.tolist(), dict(zip(self.pair.tolist(), self.pair_rank.tolist(), strict=True))
+        if len(self.known_pairs) > KEPT:
+            self.known_pairs.clear()
+        left, right, when, rank = self.steps
+        limit = 1 << 39
+        while (r := rank.get(a << 20 | b)) is None or 2 * r >= limit:
+            x, y = 2 * when[a] if left[a] >= 0 else -1, 2 * when[b] + 1 if left[b] >= 0 else -1
+            if x < 0 and y < 0:
+                self.known_pairs[key] = True
+                return True
+            limit = max(x, y)
+            a, b = (right[a], b) if x > y else (a, left[b])
+        self.known_pairs[key] = False
+        return False
+
+    def encode_long(self, unit: bytes, block: int = LONG_BLOCK) -> np.ndarray:
+        """Ids of one long unit: its edges are found and relaxed block by block."""
+        cp = np.frombuffer(unit.decode().replace(" ", BAR).encode("utf-32-le"), np.uint32)
+        n = len(cp)
+        code = self.codes(cp)
+        last = np.full(n + 1, _NONE, np.int32)
+        for a in range(0, n, block):
+            part = code[a : a + block + self.longest]
+            start, piece = self.edges(part, len(part) - np.arange(len(part)))
+            own = start < min(block, n - a)
+            start, piece = start[own], piece[own]
+            strange = np.flatnonzero(part[:block] == self.unknown)
+            start = np.concatenate([start, strange])
+            ids = np.concatenate([self.piece_id[piece], np.full(len(strange), _BYTES)])
+            size = np.concatenate([self.piece_len[piece], np.ones(len(strange), np.int64)])
+            by = np.argsort(start, kind="stable")
+            near = last[a : a + block + self.longest + 1].tolist()
+            if not a:
+                near[0] = _FIRST
+            for s, t, k in zip(start[by].tolist(), ids[by].tolist(), size[by].tolist(), strict=True):
+                before = near[s]
+                if before != _NONE and (before < 0 or t < 0 or self.apart(before, t)):
+                    near[s + k] = t
+            last[a : a + len(near)] = near
+        out, at = [], n
+        while at > 0:
+            i = int(last[at])
+            out.append([i] if i >= 0 else self.byte[list(chr(cp[at - 1]).encode())].tolist())
+            at -= int(self.length[i]) if i >= 0 else 1
+        return np.array([i for x in reversed(out) for i in x], np.int64)
+
+    def spaces(self, n: int) -> list[int]:
+        """Ids of a run of n spaces: of equally ranked pairs the leftmost joins, so what lies to the left is settled first."""
+        made: list[int] = []
+        while n:
+            if made and made[-1] + 1 in self.space_lengths:
+                made[-1] += 1
+                n -= 1
+            elif n > 1 and 2 in self.space_lengths:
+                made.append(2)
+                n -= 2
+            else:
+                made.append(1)
+                n -= 1
+            while len(made) > 1 and made[-2] + made[-1] in self.space_lengths:
+                made[-2:] = [made[-2] + made[-1]]
+        return [self.id[BAR * k] for k in made]
+
+    def space_rows(self, lengths: np.ndarray) -> np.ndarray:
+        own, back = np.unique(lengths, return_inverse=True)
+        for k in own.tolist():
+            if k not in self.space_row:
+                ids = self.spaces(k)
+                self.space_row[k] = self.rows.n
+                self.rows.append(np.array([len(ids)], np.int64), np.array(ids, np.int64))
+        return np.array([self.space_row[k] for k in own.tolist()], np.int64)[back]
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (with their leading space, if the model adds one) and how many each has."""
         if not len(raw):
             return np.empty(0, self.rows.data.dtype), np.zeros(len(at) - 1, np.int64)
-        start = units_of(raw, at)
+        start, run = units_of(raw, at)
         end = np.append(start[1:], len(raw))
-        h = H.mix(H._ranges(H._TABLE[raw], H._BASE, start, end))
-        row = self.index.find(h)
-        if (row < 0).any():
-            if len(self.index) > KEPT:
-                self.index, self.rows = HashIndex(18), Rows(self.rows.data.dtype)
-                row[:] = -1
-            new, one = np.unique(h[row < 0], return_index=True)
-            one = np.flatnonzero(row < 0)[one]
-            self.index.add(new, np.arange(self.rows.n, self.rows.n + len(new), dtype=np.int32))
+        if len(self.index) > KEPT:
+            self.clear()
+        row = np.zeros(len(start), np.int64)
+        word = np.flatnonzero(~run)
+        h = H.mix(H._ranges(H._TABLE[raw], H._BASE, start[word], end[word]))
+        row[word] = self.index.find(h)
+        unmet = np.flatnonzero(row[word] < 0)
+        if len(unmet):
+            new, one = np.unique(h[unmet], return_index=True)
+            one = word[unmet[one]]
             data = raw.tobytes()
-            part = np.cumsum(end[one] - start[one]) // INDEXED
-            for some in np.split(one, np.flatnonzero(np.diff(part)) + 1):
-                ids, n = self.encode_units([data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            size = end[one] - start[one]
+            long = size > LONG
+            new, one, size = np.concatenate([new[~long], new[long]]), np.concatenate([one[~long], one[long]]), np.concatenate([size[~long], size[long]])
+            self.index.add(new, np.arange(self.rows.n, self.rows.n + len(new), dtype=np.int32))
+            unit = lambda i: data[start[i] : end[i]]
+            short = one[size <= LONG]
+            part = np.cumsum(size[: len(short)]) // INDEXED
+            for some in np.split(short, np.flatnonzero(np.diff(part)) + 1) if len(short) else ():
+                ids, n = self.encode_units([unit(i) for i in some.tolist()])
                 self.rows.append(n, ids)
-            row = self.index.find(h)
-        ids, n = self.rows.take(row)
+            for i in one[size > LONG].tolist():
+                ids = self.encode_long(unit(i))
+                self.rows.append(np.array([len(ids)], np.int64), ids)
+            row[word] = self.index.find(h)
+        # a run of spaces takes in the next cut's space where that stands alone
+        drop = np.zeros(len(start), np.int64)
+        runs = np.flatnonzero(run)
+        if len(runs):
+            alone = self.rows.data[self.rows.start[row[runs + 1]]] == self.id[BAR]
+            drop[runs + 1] = alone
+            row[runs] = self.space_rows(end[runs] - start[runs] + alone)
+        first = self.rows.start[row] + drop
+        n = self.rows.start[row + 1] - first
         done = np.concatenate([[0], np.cumsum(n)])
+        ids = self.rows.data[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
         return ids, np.diff(done[np.searchsorted(start, at)])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,14 +423,23 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def units_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where units begin: at a text's start, before a run of spaces, before and after a line break."""
-    space, line = raw == 0x20, raw == 0x0A
-    cut = np.zeros(len(raw), bool)
-    cut[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
-    starts = at[:-1]
-    cut[starts[starts < len(raw)]] = True
-    return np.flatnonzero(cut)
+def units_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where units begin, and which are all of a run of spaces but its last: units begin at a text's start, at a run of spaces, at the last of several, before and after a line break."""
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    first[at] = True
+    space = raw == 0x20
+    after = np.zeros(n, bool)  # the next place has a space of the same run
+    after[:-1] = space[1:] & ~first[1:-1]
+    after &= space
+    before = np.zeros(n, bool)
+    before[1:] = after[:-1]
+    line = raw == 0x0A
+    cut = first[:-1] | space & ~(before & after)
+    cut |= line
+    cut[1:] |= line[:-1]
+    starts = np.flatnonzero(cut)
+    return starts, after[starts]
 
 
 _MODELS: dict[str, Model] = {}
@@ -329,10 +451,13 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
-def encode_partition(path: str, keep: list[str], with_ids: bool):
+_MADE = "n_tokens long, n_byte_tokens long, ids_crc32 long, decoded boolean"
+
+
+def encode_partition(path: str, keep: list[str], text: str, with_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for rows, texts in batches(it):
+        for rows, texts in batches(it, text):
             given = m.prepared(texts)
             if isinstance(given, pa.ChunkedArray):
                 given = given.combine_chunks()
@@ -355,16 +480,15 @@ def encode_partition(path: str, keep: list[str], with_ids: bool):
             }
             if with_ids:
                 made["ids"] = pa.array([ids[a:b].astype("<u2" if m.size <= 1 << 16 else "<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in keep], *made.values()], [*keep, *made])
+            yield pa.RecordBatch.from_arrays([*columns(rows, keep), *made.values()], [*keep, *made])
 
     return run
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], with_ids: bool = True) -> DataFrame:
     """``keep`` columns with n_tokens, n_byte_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), decoded (whether the ids give the text back) and, if asked, ids (as little-endian 16-bit numbers; 32-bit for models of over 65536 pieces). No shuffle."""
-    own = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in keep]
-    return own.mapInArrow(encode_partition(path, keep, with_ids), ", ".join([*kinds, "n_tokens long", "n_byte_tokens long", "ids_crc32 long", "decoded boolean", *(["ids binary"] if with_ids else [])]))
+    own, names, (text,), schema = carry(docs, keep, _MADE + (", ids binary" if with_ids else ""))
+    return own.mapInArrow(encode_partition(path, names, text, with_ids), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
