@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftmap.llm import chat, common, decontam, ngram_join, spm
+from weftmap.llm import chat, common, decontam, ngram_join, spm, wavelet
 from weftmap.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -204,3 +204,51 @@ def test_chat_ties_and_repeats(spark):
     got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_conversations(df)).collect()}
     assert got == {1: [("", ""), ("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")], None: [("assistant", ""), ("assistant", "")]}
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+# --- token ids
+
+
+@pytest.mark.parametrize("n", [wavelet.RANK_STEP * 3, wavelet.BLOCK * 8 + 5, 300_000])
+def test_wavelet_blocks(n):
+    """Several deflated blocks a plane; only those that are asked for are opened."""
+    rng = np.random.default_rng(n)
+    ids = (rng.zipf(1.3, n) % 50_000).astype(np.uint32)
+    data = wavelet.WaveletMatrix.build(ids).to_bytes()
+    m = wavelet.WaveletMatrix.from_bytes(data)
+    at = np.append(rng.integers(0, n, 500), [0, n - 1])
+    assert (m.access(at) == ids[at]).all()
+    for c in (1, 2, 77, int(ids[-1])):
+        where = np.flatnonzero(ids == c)
+        assert m.rank(c, n) == m.count(c) == len(where) and m.rank(c, n // 2) == (where < n // 2).sum()
+        assert (m.occurrences(c) == where).all() and (not len(where) or m.select(c, len(where) - 1) == where[-1])
+    assert (m.to_ids() == ids).all()
+    assert n < 1000 or len(data) < 0.95 * n * 2
+    one = wavelet.WaveletMatrix.from_bytes(data)
+    one.access(np.array([n // 2]))
+    assert all(len(p.kept) <= 1 for p in one.planes)
+
+
+def test_shards_are_files_of_their_own(spark, tmp_path):
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    texts = {f"id{i:03d}": f"text number {i} " * (i % 9) for i in range(60)}
+    df = spark.createDataFrame([*texts.items(), (None, "none")], "doc_id string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        shards = wavelet.encode_shards(df, path, most=200)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [f.removeprefix("file://") for f in shards.inputFiles()]
+    assert len(files) == shards.count() > 3
+    code = wavelet.Encoder(path, added=True).tokenizer
+    met = {}
+    for f in files:
+        docs, lengths, matrix = wavelet.open_file(f)
+        ends = np.cumsum(lengths)
+        for i, (doc, n, e) in enumerate(zip(docs.to_pylist(), lengths.tolist(), ends.tolist(), strict=True)):
+            met[doc] = matrix.access(np.arange(e - n, e)).tolist()
+        word = code.encode(" number").ids[0]
+        assert matrix.count(word) == len(matrix.occurrences(word)) == sum(x.count(word) for d, x in met.items() if d in docs.to_pylist())
+    assert met == {d: [*code.encode(t).ids, 0] for d, t in [*texts.items(), (None, "none")]}
+    got = wavelet.shard_digests(shards, "string").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, *sorted(texts)] and sum(r["n_tokens"] for r in got) == got[-1]["start"] + got[-1]["n_tokens"]

@@ -201,7 +201,6 @@ def test_token_ids(spark, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(Q.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = {r["doc_id"]: r for r in Q.op3_token_ids(spark, SF).collect()}
     at = 0
     for i, text in sorted(rows):
@@ -215,13 +214,12 @@ def test_token_ids_odd(spark, odd, none):
 
     path = Q.tokenizer_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = wavelet.shard_digests(wavelet.encode_shards(odd, path, most=1000)).collect()
     assert len(got) == len(ODD) and wavelet.shard_digests(wavelet.encode_shards(none, path)).count() == 0
     want = Counter((i, zlib.crc32(np.array(t.encode(x or "").ids + [0], "<u4").tobytes())) for i, x, _ in ODD)
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
     text = "it's  a\u00a0b\u0085 c\x1c d'll''s 12ab <|endoftext|>\r\n\r\n  x\ty ÷é×é\u3000z ...'re é's\n 'S \n\n"
-    ids, n = wavelet.Encoder(path).encode(*common.text_bytes(pa.array([text, "", text[5:]])))
+    ids, n = wavelet.Encoder(path, added=True).encode(*common.text_bytes(pa.array([text, "", text[5:]])))
     assert ids.tolist() == t.encode(text).ids + t.encode(text[5:]).ids and n[1] == 0
 
 

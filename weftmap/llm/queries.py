@@ -33,8 +33,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = wavelet.encode_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return wavelet.shard_digests(shards)
+    docs = table(spark, sf_dir, "documents")
+    shards = wavelet.encode_shards(docs, tokenizer_path("byte_bpe_50k.json"))
+    return wavelet.shard_digests(shards, dict(docs.dtypes)["doc_id"])
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,31 +7,36 @@ a worker; pieces are told apart by 64-bit hashes. A text that holds an added tok
 of the tokeniser (``<|endoftext|>``) is one piece, so the library finds the token
 and gives its id, as it does by default. An end id follows each text.
 
-A shard holds the ids of consecutive rows in order of doc_id: bit planes of
-a wavelet matrix with a rank directory, and ids and lengths of its documents.
-The file is a value of a binary column, so Spark's committers write it to any
-store, and a task that is lost is written again. ``WaveletMatrix`` opens it.
+A shard holds the ids of consecutive rows in order of doc_id: the bit planes of
+a wavelet matrix, cut into blocks that are deflated one by one, their rank directories,
+and ids and lengths of its documents. Access, rank, count, select and occurrences
+open the blocks that they meet and no others; reading a shard from end to end opens
+each block once. Every shard is one file: a Parquet file of one row, whose binary
+column holds it, so Spark's committers write it to any store, a task that is lost is
+written again, and ``open_file`` reads a file on its own.
 
 Defined results: a null text is empty (the end id alone); rows of one doc_id are
-ordered by their text's hash; rows with a null doc_id come first; an empty table
-makes no shard.
+ordered by their text's hash; rows with a null doc_id come first; ids may be of any
+type that can be sorted; an empty table makes no shard.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import wordhash as H
-from .common import batches, materialize, text_bytes
+from .common import batches, shared_dir, text_bytes
 from .hashindex import HashIndex, Rows
 
 END = 0
@@ -40,7 +45,11 @@ SHARD = 1 << 21
 #: Different pieces that a worker keeps; beyond it starts anew.
 KEPT = 1 << 21
 RANK_STEP = 512
-MAGIC = b"WMX1"
+#: Bytes of a plane that are deflated together; a multiple of a rank step.
+BLOCK = 1 << 13
+#: Blocks that an open plane keeps.
+OPEN_BLOCKS = 64
+MAGIC = b"WMX2"
 
 _LETTER, _DIGIT, _OTHER, _QUOTE, _SPACE, _WHITE, _ELSE = range(1, 8)
 _CLASS = np.full(256, _ELSE, np.uint8)
@@ -156,6 +165,56 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+_ROW = RANK_STEP // 8
+#: For each place in a rank step, the bits before it.
+_BEFORE = np.packbits(np.arange(RANK_STEP)[None, :] < np.arange(RANK_STEP)[:, None], axis=1, bitorder="little")
+
+
+class Plane:
+    """Bits, packed, in blocks that are deflated unless that makes them longer."""
+
+    def __init__(self, size: int, ends: np.ndarray, data: bytes | memoryview):
+        self.size, self.ends, self.data = size, ends, data
+        self.kept: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, packed: np.ndarray) -> Plane:
+        parts = []
+        for a in range(0, len(packed), BLOCK):
+            raw = packed[a : a + BLOCK].tobytes()
+            small = zlib.compress(raw, 1)
+            parts.append(small if len(small) < len(raw) else raw)
+        return cls(len(packed), np.cumsum([len(x) for x in parts], dtype=np.uint32), b"".join(parts))
+
+    def block(self, k: int) -> np.ndarray:
+        """The bytes of a block."""
+        a, b = int(self.ends[k - 1]) if k else 0, int(self.ends[k])
+        data = self.data[a:b]
+        whole = min(BLOCK, self.size - k * BLOCK)
+        return np.frombuffer(data if b - a == whole else zlib.decompress(data), np.uint8)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The bytes of some rank steps."""
+        own = at * _ROW // BLOCK
+        out = np.zeros((len(at), _ROW), np.uint8)
+        for k in np.unique(own).tolist():
+            full = self.kept.get(k)
+            if full is None:
+                full = np.zeros(BLOCK, np.uint8)
+                got = self.block(k)
+                full[: len(got)] = got
+                full = full.reshape(-1, _ROW)
+                if len(self.kept) >= OPEN_BLOCKS:
+                    self.kept.clear()
+                self.kept[k] = full
+            mine = own == k
+            out[mine] = full[at[mine] - k * (BLOCK // _ROW)]
+        return out
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.block(k) for k in range(len(self.ends))]) if len(self.ends) else np.empty(0, np.uint8)
+
+
 class WaveletMatrix:
     """A sequence of ids with access, rank, count, select and occurrences.
 
@@ -163,7 +222,7 @@ class WaveletMatrix:
     above leave: stably parted, zeros first.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int], ranks: list[np.ndarray]):
         self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
 
     @classmethod
@@ -176,63 +235,70 @@ class WaveletMatrix:
             bit = (now >> now.dtype.type(k)) & now.dtype.type(1)
             one = bit.astype(bool)
             plane = np.packbits(one, bitorder="little")
-            planes.append(plane)
+            planes.append(Plane.of(plane))
             left = now[~one]
             zeros.append(len(left))
-            ranks.append(cls._ranks(plane))
+            ranks.append(cls._ranks(cls._ones_a_step(plane)))
             now = np.concatenate([left, now[one]])
         return cls(len(ids), planes, zeros, ranks)
 
     @staticmethod
-    def _ranks(plane: np.ndarray) -> np.ndarray:
-        """Ones before every RANK_STEP bits."""
-        step = RANK_STEP // 8
-        padded = np.zeros(-(-len(plane) // step) * step, np.uint8)
+    def _ones_a_step(plane: np.ndarray) -> np.ndarray:
+        padded = np.zeros(-(-len(plane) // _ROW) * _ROW, np.uint8)
         padded[: len(plane)] = plane
-        ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, step // 8).sum(1, dtype=np.uint32)
+        return np.bitwise_count(padded.view(np.uint64)).reshape(-1, _ROW // 8).sum(1, dtype=np.uint16)
+
+    @staticmethod
+    def _ranks(ones: np.ndarray) -> np.ndarray:
+        """Ones before every RANK_STEP bits."""
         return np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)])
 
     def to_bytes(self) -> bytes:
         parts = [struct.pack("<QI", self.n, len(self.planes))]
         for plane, zero, rank in zip(self.planes, self.zeros, self.ranks, strict=True):
-            parts += [struct.pack("<QQ", zero, len(rank)), rank.astype("<u4").tobytes(), plane.tobytes()]
+            steps = zlib.compress(np.diff(rank).astype("<u2").tobytes(), 1)
+            parts += [struct.pack("<QIII", zero, len(steps), len(plane.ends), len(plane.data)), steps, plane.ends.astype("<u4").tobytes(), bytes(plane.data)]
         return b"".join(parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        """Opens a matrix; the planes stay where they are."""
+        """Opens a matrix; the planes stay as they are until they are asked for."""
         n, bits = struct.unpack_from("<QI", data)
+        view = memoryview(data)
         at, planes, zeros, ranks = 12, [], [], []
         for _ in range(bits):
-            zero, m = struct.unpack_from("<QQ", data, at)
-            ranks.append(np.frombuffer(data, "<u4", m, at + 16))
-            at += 16 + 4 * m
-            planes.append(np.frombuffer(data, np.uint8, -(-n // 8), at))
-            at += -(-n // 8)
+            zero, steps, blocks, size = struct.unpack_from("<QIII", data, at)
+            at += 20
+            ranks.append(cls._ranks(np.frombuffer(zlib.decompress(view[at : at + steps]), "<u2")))
+            ends = np.frombuffer(data, "<u4", blocks, at + steps)
+            at += steps + 4 * blocks
+            planes.append(Plane(-(-n // 8), ends, view[at : at + size]))
+            at += size
             zeros.append(zero)
         return cls(n, planes, zeros, ranks)
 
-    def _ones(self, k: int, i: np.ndarray) -> np.ndarray:
-        """Ones before places i of plane k."""
-        block = i // RANK_STEP
-        out = self.ranks[k][block].astype(np.int64)
-        plane, step = self.planes[k], RANK_STEP // 8
-        byte, first = i >> 3, block * step
-        width = int((byte - first).max(initial=0))
-        for j in range(width):
-            inside = first + j < byte
-            out += np.where(inside, np.bitwise_count(plane[np.minimum(first + j, len(plane) - 1)]), 0)
-        part = i & 7
-        last = plane[np.minimum(byte, len(plane) - 1)] & ((1 << part) - 1).astype(np.uint8)
-        return out + np.where(part > 0, np.bitwise_count(last), 0)
+    def _look(self, k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits at places i of plane k (0 beyond the end), and ones before them."""
+        bit, ones = np.zeros(len(i), np.uint8), self.ranks[k][i // RANK_STEP].astype(np.int64)
+        inside = np.flatnonzero(i < self.n)
+        for a in range(0, len(inside), 1 << 14):
+            some = inside[a : a + (1 << 14)]
+            step, place = i[some] // RANK_STEP, i[some] % RANK_STEP
+            own, back = np.unique(step, return_inverse=True)
+            rows = self.planes[k].rows(own)[back]
+            ones[some] += np.bitwise_count(rows & _BEFORE[place]).sum(1, dtype=np.int64)
+            bit[some] = rows[np.arange(len(some)), place >> 3] >> (place & 7).astype(np.uint8) & 1
+        past = np.flatnonzero(i >= self.n)
+        if len(past) and self.n % RANK_STEP:
+            ones[past] = int(self.ranks[k][-1])
+        return bit, ones
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at some places."""
         i = np.asarray(at, np.int64).copy()
         out = np.zeros(len(i), np.uint32)
-        for k, plane in enumerate(self.planes):
-            bit = (plane[i >> 3] >> (i & 7).astype(np.uint8)) & 1
-            ones = self._ones(k, i)
+        for k in range(len(self.planes)):
+            bit, ones = self._look(k, i)
             out = (out << np.uint32(1)) | bit
             i = np.where(bit == 1, self.zeros[k] + ones, i - ones)
         return out
@@ -243,7 +309,7 @@ class WaveletMatrix:
         if token >> bits:
             return 0, 0
         for k in range(bits):
-            a, b = self._ones(k, np.array([lo, hi]))
+            a, b = self._look(k, np.array([lo, hi]))[1]
             one = token >> (bits - 1 - k) & 1
             lo, hi = (self.zeros[k] + int(a), self.zeros[k] + int(b)) if one else (lo - int(a), hi - int(b))
         return lo, hi
@@ -286,14 +352,11 @@ class WaveletMatrix:
         ranks = self.ranks[k].astype(np.int64)
         before = ranks if one else np.arange(len(ranks)) * RANK_STEP - ranks
         block = np.searchsorted(before, j, "right") - 1
-        step = RANK_STEP // 8
-        plane = np.zeros(-(-len(self.planes[k]) // step) * step, np.uint8)
-        plane[: len(self.planes[k])] = self.planes[k]
         own, back = np.unique(block, return_inverse=True)
         out = np.empty(len(j), np.int64)
         for lo in range(0, len(own), 4096):
             some = own[lo : lo + 4096]
-            bits = np.unpackbits(plane.reshape(-1, step)[some], axis=1, bitorder="little") == one
+            bits = np.unpackbits(self.planes[k].rows(some), axis=1, bitorder="little") == one
             total = np.cumsum(bits, axis=1, dtype=np.int32)
             mine = np.flatnonzero((back >= lo) & (back < lo + 4096))
             for row in np.unique(back[mine]):
@@ -306,7 +369,7 @@ class WaveletMatrix:
         bits = len(self.planes)
         now = np.zeros(self.n, np.uint32)
         for k in range(bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").astype(bool)
             before = np.empty(self.n, np.uint32)
             before[~one] = now[: self.zeros[k]]
             before[one] = now[self.zeros[k] :] | np.uint32(1 << (bits - 1 - k))
@@ -314,22 +377,34 @@ class WaveletMatrix:
         return now
 
 
-def pack_shard(ids: np.ndarray, docs: list, lengths: np.ndarray) -> bytes:
-    """A shard's file: the documents (compressed), then the matrix."""
-    known = np.array([d is not None for d in docs], bool)
-    head = zlib.compress(known.tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes(), 1)
-    return MAGIC + struct.pack("<II", len(docs), len(head)) + head + WaveletMatrix.build(ids).to_bytes()
+def pack_shard(ids: np.ndarray, docs: pa.Array, lengths: np.ndarray) -> bytes:
+    """A shard's file: the documents (deflated), then the matrix."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([docs, pa.array(lengths, pa.uint32())], ["doc_id", "n_tokens"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    head = zlib.compress(sink.getvalue(), 1)
+    return MAGIC + struct.pack("<I", len(head)) + head + WaveletMatrix.build(ids).to_bytes()
 
 
-def open_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
+def open_shard(data: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
     """Document ids, lengths and the matrix."""
     if data[:4] != MAGIC:
         raise ValueError("not a shard file")
-    n, size = struct.unpack_from("<II", data, 4)
-    head = zlib.decompress(data[12 : 12 + size])
-    known = np.frombuffer(head, bool, n)
-    docs = [d if k else None for d, k in zip(np.frombuffer(head, "<i8", n, n).tolist(), known.tolist(), strict=True)]
-    return docs, np.frombuffer(head, "<u4", n, 9 * n), WaveletMatrix.from_bytes(data[12 + size :])
+    (size,) = struct.unpack_from("<I", data, 4)
+    head = pa.ipc.open_stream(zlib.decompress(data[8 : 8 + size])).read_all().combine_chunks()
+    return as_one(head.column(0)), as_one(head.column(1)).to_numpy(), WaveletMatrix.from_bytes(data[8 + size :])
+
+
+def as_one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    if isinstance(column, pa.Array):
+        return column
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def open_file(path: str) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
+    """``open_shard`` for one of the table's files."""
+    return open_shard(pq.read_table(path, columns=["file"], partitioning=None).column("file")[0].as_py())
 
 
 def write_shards(path: str, end: int, most: int):
@@ -337,12 +412,12 @@ def write_shards(path: str, end: int, most: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, k = encoder(path), TaskContext.get().partitionId(), 0
-        ids, docs, lengths, held = [], [], [], 0
+        ids, docs, lengths, held = [], [], [], 0  # docs: arrays of ids
 
         def close() -> pa.RecordBatch:
             whole, n = np.concatenate(ids), np.concatenate(lengths)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([pack_shard(whole, docs, n)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([pack_shard(whole, pa.concat_arrays(docs), n)], pa.binary())],
                 ["part", "k", "n_docs", "n_tokens", "file"],
             )
 
@@ -354,7 +429,7 @@ def write_shards(path: str, end: int, most: int):
             whole[inside] = got
             ids.append(whole)
             lengths.append(n + 1)
-            docs += rows.column(0).to_pylist()
+            docs.append(rows.column(0))
             held += len(whole)
             if held >= most:
                 yield close()
@@ -367,10 +442,14 @@ def write_shards(path: str, end: int, most: int):
 
 
 def encode_shards(docs: DataFrame, path: str, end: int = END, most: int = SHARD) -> DataFrame:
-    """The shard table (part, k, n_docs, n_tokens, file), written to the shared folder; (part, k) is in order of doc_id."""
+    """The shard table (part, k, n_docs, n_tokens, file), a file for each row, written to the shared folder; (part, k) is in order of doc_id."""
+    spark = docs.sparkSession
     own = docs.select("doc_id", "text").withColumn("wm_th", F.xxhash64("text"))
     dealt = own.repartitionByRange(F.col("doc_id").asc_nulls_first(), "wm_th").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "wm_th")
-    return materialize(dealt.select("doc_id", "text").mapInArrow(write_shards(path, end, most), "part int, k int, n_docs long, n_tokens long, file binary"), "shards")
+    made = dealt.select("doc_id", "text").mapInArrow(write_shards(path, end, most), "part int, k int, n_docs long, n_tokens long, file binary")
+    at = f"{shared_dir(spark)}/weftmap/shards-{uuid.uuid4().hex}"
+    made.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(at)
+    return spark.read.schema(made.schema).parquet(at)
 
 
 def read_shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,14 +463,19 @@ def read_shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             n = len(docs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(docs, pa.int64()), pa.array(starts), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())],
+                [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, k, np.int32)), docs, pa.array(starts), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())],
                 ["part", "k", "doc_id", "at", "n_tokens", "ids_crc32"],
             )
 
 
-def shard_digests(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read back. The running total is over shards, not documents, and files are not shuffled."""
-    w = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("part", "k", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(w), F.lit(0).cast("long"))).drop("n_tokens")
-    read = shards.select("part", "k", "file").mapInArrow(read_shards, "part int, k int, doc_id long, at long, n_tokens long, ids_crc32 long")
+def shard_digests(shards: DataFrame, kind: str = "bigint") -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back; ``kind`` is the type of the ids.
+
+    Running totals are made within each part and over the parts, whose number is that of the partitions written; files are not shuffled.
+    """
+    sizes = shards.select("part", "k", "n_tokens")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("first"))
+    bases = sizes.withColumn("base", before(Window.partitionBy("part").orderBy("k"))).join(parts, "part").select("part", "k", (F.col("first") + F.col("base")).alias("base"))
+    read = shards.select("part", "k", "file").mapInArrow(read_shards, f"part int, k int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
     return read.join(bases, ["part", "k"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
