@@ -12,15 +12,16 @@ cosine, with ``PRIOR`` votes at the base rate, which makes the score calibrated:
 a text without a word of any example gets the share of toxic examples among
 those without a word. Evidence: the nearest examples' ids and cosines.
 
-Examples are the different texts of at most ``EXAMPLES`` labelled documents of each
-label, chosen by hash, and votes weigh by the share of the labelled documents that
-their label's examples stand for. The index is broadcast; it grows with the words
-of the examples, not with the input. Texts are all scored, whole.
+Examples are different texts, at most ``EXAMPLES`` of each label, chosen and put in
+order by a hash of the text, so ids have no part in a score; votes weigh by how many
+texts of their label an example stands for. The index is broadcast; it grows with the
+words of the examples, not with the input. Texts are all scored, whole.
 
 Defined results: null and empty texts have no terms; an id labelled more than
-once counts with its highest label; rows with a null label or id are no examples;
-without examples of both labels every score is 0; ties among examples go to the
-lower place in the index; repeated rows are scored alike.
+once, and a text with several labels, counts with its highest label; rows with a null
+label or id are no examples; without examples of both labels every score is 0; ties
+among examples go to the lower place in the index; repeated rows are scored alike; a
+kept column named like one that is made comes back with ``_in`` at the end of its name.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import batches, held_out, materialize, text_bytes
+from .common import batches, carry, columns, held_out, materialize, text_bytes
 
 EXAMPLES, MIN_DOCS = 6000, 5
 K, PRIOR, BLOCK = 25, 1.0, 64
@@ -61,12 +62,12 @@ def doc_terms(words: H.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, text) -> (doc_id, toxic, terms, times): the words of each text, as 64-bit and 32-bit numbers."""
+    """(th, doc_id, toxic, text) -> (th, doc_id, toxic, terms, times): the words of each text, as 64-bit and 32-bit numbers."""
     for rows, texts in batches(it):
         first, term, times = doc_terms(words_of(texts))
         cut = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
         to_bytes = lambda x: pa.array([x[a:b].tobytes() for a, b in cut], pa.binary())
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), to_bytes(term.astype("<u8")), to_bytes(times.astype("<u4"))], ["doc_id", "toxic", "terms", "times"])
+        yield pa.RecordBatch.from_arrays([*columns(rows, ("th", "doc_id", "toxic")), to_bytes(term.astype("<u8")), to_bytes(times.astype("<u4"))], ["th", "doc_id", "toxic", "terms", "times"])
 
 
 def found_terms(words: H.Words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,50 +228,57 @@ class Index:
         return out
 
 
+def examples(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame | None, tuple[float, float]]:
+    """(th, doc_id, toxic, text) of the example texts, and what a vote of each label weighs. At most twice ``most`` hashes come to the driver."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("wm_label_id")).agg(F.max("toxic").cast("long").alias("toxic"))
+    known = known.where(~held_out("wm_label_id"))
+    light = docs.select("doc_id", F.xxhash64("text").alias("th"))
+    found = light.join(known, F.col("doc_id") == F.col("wm_label_id")).groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    found = materialize(found, "labelled")
+    of = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(of) < 2:
+        return None, (1.0, 1.0)
+    some = [found.where(F.col("toxic") == t).orderBy("th").limit(most) for t in (0, 1)]
+    chosen = [(r["th"], r["doc_id"], r["toxic"]) for r in some[0].unionByName(some[1]).collect()]
+    stands = [of[t] / min(of[t], most) for t in (0, 1)]
+    mean = sum(of.values()) / len(chosen)
+    label = F.broadcast(docs.sparkSession.createDataFrame(chosen, found.schema).withColumnsRenamed({"th": "wm_th", "doc_id": "wm_id"}))
+    texts = docs.select("doc_id", "text").join(label, (F.col("doc_id") == F.col("wm_id")) & (F.xxhash64("text") == F.col("wm_th")))
+    one = texts.groupBy(F.col("wm_th").alias("th")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    return materialize(one, "examples"), (stands[0] / mean, stands[1] / mean)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index:
     """The index from documents that aren't held out and have a label."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("wm_label_id")).agg(F.max("toxic").alias("toxic"))
-    known = known.where(~held_out("wm_label_id")).withColumn("wm_h", F.xxhash64("wm_label_id"))
-    some = [known.where(F.col("toxic") == t).orderBy("wm_h", "wm_label_id").limit(most) for t in (0, 1)]
-    chosen = {r["wm_label_id"]: r["toxic"] for r in some[0].unionByName(some[1]).collect()}
-    of = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    taken = {t: max(1, sum(v == t for v in chosen.values())) for t in (0, 1)}
-    mean = max(1, sum(of.values())) / max(1, len(chosen))
-    votes = tuple(of.get(t, 0) / taken[t] / mean for t in (0, 1))
     none = np.empty(0, np.int64)
-    if not chosen or len(set(chosen.values())) < 2:
-        return Index(np.empty(0, np.uint64), np.empty(0), none, none, np.zeros(1, np.int64), none, none)
-    spark = docs.sparkSession
-    label = F.broadcast(spark.createDataFrame([(i, int(t)) for i, t in chosen.items()], "wm_label_id long, toxic long"))
-    texts = docs.join(label, F.col("doc_id") == F.col("wm_label_id")).groupBy(F.xxhash64("text").alias("th")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    texts = materialize(texts.select("doc_id", "toxic", "text"), "examples")
-    n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
+    texts, votes = examples(docs, labels, most)
+    if texts is None:
         return Index(np.empty(0, np.uint64), np.empty(0), none, none, np.zeros(1, np.int64), none, none)
-    rows = texts.mapInArrow(vectors, "doc_id long, toxic long, terms binary, times binary").toArrow()
-    rows = rows.sort_by([(c, "ascending") for c in rows.column_names]).combine_chunks()
+    rows = texts.mapInArrow(vectors, "th long, doc_id long, toxic long, terms binary, times binary").toArrow()
+    rows = rows.sort_by("th").combine_chunks()
     flat = lambda c, kind: np.concatenate([np.frombuffer(b"".join(x.to_pylist()), kind) for x in rows.column(c).chunks])
-    ids, toxic = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    size = pc.binary_length(rows.column(2)).to_numpy() // 8
-    times = flat(3, "<u4")
-    term, back = np.unique(flat(2, "<u8"), return_inverse=True)
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
+    size = pc.binary_length(rows.column("terms")).to_numpy() // 8
+    times = flat("times", "<u4")
+    term, back = np.unique(flat("terms", "<u8"), return_inverse=True)
     back = back.astype(np.int32)
     del rows
+    n1 = int(toxic.sum())
+    n0 = len(toxic) - n1
     df = np.bincount(back, minlength=len(term))
     in_toxic = np.bincount(back[np.repeat(toxic, size) == 1], minlength=len(term))
     idf = (np.log((1 + n0 + n1) / (1 + df)) + 1) * label_weights(df, in_toxic, n0, n1)
     return Index(term, idf, ids, toxic, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), back, times, votes)
 
 
-def judge(shared, keep: list[str]):
+def judge(shared, keep: list[str], text: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for rows, texts in batches(it):
+        for rows, texts in batches(it, text):
             first, term, times, other = found_terms(words_of(texts), index.terms)
             got = index.score(first, term, times, other)
             yield pa.RecordBatch.from_arrays(
-                [*[rows.column(rows.schema.get_field_index(c)) for c in keep], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
+                [*columns(rows, keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 [*keep, "score", "evidence", "cosines"],
             )
 
@@ -279,7 +287,5 @@ def judge(shared, keep: list[str]):
 
 def score(docs: DataFrame, keep: list[str], index: Index) -> DataFrame:
     """``keep`` columns with score, evidence (ids of the nearest examples) and cosines. No shuffle."""
-    own = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in keep]
-    return own.mapInArrow(judge(shared, keep), ", ".join([*kinds, "score double", "evidence array<long>", "cosines array<double>"]))
+    own, names, (text,), schema = carry(docs, keep, "score double, evidence array<long>, cosines array<double>")
+    return own.mapInArrow(judge(docs.sparkSession.sparkContext.broadcast(index), names, text), schema)
