@@ -5,14 +5,16 @@ a window and classified by softmax. A whole text is cut into windows of fixed
 length that overlap by the widest filter, all of them are judged in batches, and
 the text's probabilities are the windows' means, weighted by their bytes.
 
-Training takes labelled texts of every language, chosen by hash: at most
-``TRAIN_DOCS`` of each, or fewer of each where there are more than ``FULL_LANGS``
-languages, so that all together are about as many (one of each at least); and at most
-``TRAIN_WINDOWS`` windows of each, drawn with a fixed seed; everything else runs
-over all texts. The weights are a few thousand numbers whatever the input.
+Training takes different labelled texts of every language, chosen by a hash of the
+text, so ids have no part: at most ``TRAIN_DOCS`` of each, or fewer of each where there
+are more than ``FULL_LANGS`` languages, so that all together are about as many (one of
+each at least); and at most ``TRAIN_WINDOWS`` windows of each, drawn with the hash as
+seed; everything else runs over all texts. The weights are a few thousand numbers
+whatever the input.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-without any labelled text all are ``und``; repeated rows are judged alike.
+without any labelled text all are ``und``; repeated rows are judged alike; a kept
+column named like one that is made comes back with ``_in`` at the end of its name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import batches, held_out, text_bytes
+from .common import batches, carry, columns, held_out, text_bytes
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 TRAIN_DOCS, TRAIN_WINDOWS, FULL_LANGS, EPOCHS = 250, 8, 64, 6
@@ -133,13 +135,19 @@ def rows_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = W
 
 def sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, full_langs: int = FULL_LANGS) -> list:
     """(lang, windows as bytes) of texts of all languages; windows are drawn on the executors, so no whole text comes to the driver."""
-    may = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    may = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    light = may.select("doc_id", F.col("lang").alias("wm_lang"), F.xxhash64("text").alias("wm_h"))
+    kinds = light.groupBy("wm_lang", "wm_h").agg(F.min("doc_id").alias("wm_id"))
     langs = may.select("lang").distinct().count()
     each = min(docs_each, max(1, docs_each * full_langs // max(1, langs)))
-    w = Window.partitionBy("lang").orderBy("wm_h", "doc_id")
-    chosen = may.select("doc_id", "lang", F.xxhash64("doc_id").alias("wm_h")).withColumn("wm_n", F.row_number().over(w)).where(F.col("wm_n") <= each)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]
-    texts = may.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text")
+    # Spark cuts each partition to its first ones before it brings a language together
+    w = Window.partitionBy("wm_lang").orderBy("wm_h")
+    chosen = kinds.withColumn("wm_n", F.row_number().over(w)).where(F.col("wm_n") <= each).select("wm_lang", "wm_h", "wm_id").collect()
+    if not chosen:
+        return []
+    given = F.broadcast(docs.sparkSession.createDataFrame(chosen, kinds.schema))
+    met = may.join(given, (F.col("doc_id") == F.col("wm_id")) & (F.col("lang") == F.col("wm_lang")) & (F.xxhash64("text") == F.col("wm_h")))
+    texts = met.dropDuplicates(["wm_lang", "wm_h"]).select("wm_h", "lang", "text")
 
     def draw(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, column in batches(it):
@@ -148,12 +156,12 @@ def sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, full_langs: int = FULL_
             langs, out = [], []
             for d, (i, lang) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
                 own = start[doc == d]
-                own = own[np.random.default_rng(abs(i)).permutation(len(own))[:TRAIN_WINDOWS]]
+                own = own[np.random.default_rng(i & 0xFFFFFFFFFFFFFFFF).permutation(len(own))[:TRAIN_WINDOWS]]
                 for row in rows_of(raw, own, np.full(len(own), at[d + 1])):
                     langs.append(lang), out.append(row.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
 
-    return texts.mapInArrow(draw, "lang string, window binary").collect() if ids else []
+    return texts.mapInArrow(draw, "lang string, window binary").collect()
 
 
 def fit(docs: DataFrame) -> Net | None:
@@ -166,10 +174,10 @@ def fit(docs: DataFrame) -> Net | None:
     return Net(langs).train(windows, np.searchsorted(langs, [lang for lang, _ in rows]))
 
 
-def judge(shared, keep: list[str]):
+def judge(shared, keep: list[str], text: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for rows, texts in batches(it):
+        for rows, texts in batches(it, text):
             raw, at = text_bytes(texts)
             n = len(at) - 1
             start, doc, new = cut(raw, at)
@@ -183,16 +191,14 @@ def judge(shared, keep: list[str]):
             known = np.array([any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
             lang = [net.langs[b] if k else UND for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, total[np.arange(n), best], 0.0).clip(0, 1)
-            yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns(rows, keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, keep: list[str], net: Net | None) -> DataFrame:
     """``keep`` columns with lang_pred and score. No shuffle."""
-    own = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    own, names, (text,), schema = carry(docs, keep, "lang_pred string, score double")
     if net is None:
-        return own.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in keep]
-    return own.mapInArrow(judge(shared, keep), ", ".join([*kinds, "lang_pred string", "score double"]))
+        return own.select(*names, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return own.mapInArrow(judge(docs.sparkSession.sparkContext.broadcast(net), names, text), schema)
