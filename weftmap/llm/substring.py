@@ -9,12 +9,14 @@ Its size, 2 x 2**bits bits, is fixed; a fuller sketch only lets more windows
 through, and loses none.
 
 Pass 2 counts the windows estimated repeated exactly, by a 96-bit hash: partial
-counts first, then a join with those found twice or more, which Spark can split
-where one window is very frequent.
+counts first, whose repeated windows are written as a table, then a join with that
+table. Both sides of the join are dealt anew for it, so Spark can split a window that
+very many texts hold.
 
 Defined results: a null text has no words; texts shorter than a window, and
 empty tables, come back whole; repeated rows (same id, same text) repeat each
-other's windows and are removed alike.
+other's windows and are removed alike; a kept column named like one that is made comes
+back with ``_in`` at the end of its name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import batches, text_bytes
+from .common import batches, carry, columns, materialize, quoted, text_bytes
 
 WINDOW = 35
 ANCHOR = 16
@@ -172,11 +174,11 @@ def candidate_windows(sketch, window: int, anchor: int, bits: int, key: pa.DataT
     return run
 
 
-def with_candidates(sketch, window: int, anchor: int, bits: int, want: bool):
+def with_candidates(sketch, window: int, anchor: int, bits: int, want: bool, text: str):
     """The rows whose texts have (or, not ``want``, haven't) a window estimated repeated."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in batches(it):
+        for rows, texts in batches(it, text):
             words = H.Words(*text_bytes(texts))
             ok, least = windows_of(words, window, anchor)
             at = np.flatnonzero(ok)
@@ -194,7 +196,7 @@ def repeated_windows(docs: DataFrame, sketch, window: int = WINDOW, anchor: int
     key = pa.int32() if dict(own.dtypes)["doc_id"] == "int" else pa.int64()
     run = candidate_windows(sketch, window, anchor, bits, key)
     found = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, th long, pos int, h long, h2 int")
-    again = found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2")
+    again = materialize(found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2"), "repeated")
     return found.join(again, ["h", "h2"], "left_semi").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("starts"))
 
 
@@ -207,11 +209,11 @@ def cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def cut(window: int, spans: bool):
-    """(text, starts) -> counts, and what is kept."""
+def cut(window: int, spans: bool, keep: list[str], text_name: str):
+    """Rows with a text and, maybe, wm_starts -> ``keep``, counts, and what is left."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in batches(it):
+        for rows, texts in batches(it, text_name):
             n_words, n_removed, digest, kept = [], [], [], []
             at = rows.schema.get_field_index("wm_starts")
             starts = rows.column(at) if at >= 0 else pa.nulls(rows.num_rows, pa.list_(pa.int32()))
@@ -228,10 +230,9 @@ def cut(window: int, spans: bool):
                     kept.append(out.decode() if len(left) < len(words) else None)
                 else:
                     digest.append(hashlib.sha256(out).hexdigest())
-            keep = [c for c in rows.schema.names if c not in ("text", "wm_starts")] if not spans else [c for c in rows.schema.names if c != "wm_starts"]
             more = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
             more |= {"kept_text": pa.array(kept, pa.string())} if spans else {"kept_sha256": pa.array(digest, pa.string())}
-            yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in keep], *more.values()], [*keep, *more])
+            yield pa.RecordBatch.from_arrays([*columns(rows, keep), *more.values()], [*keep, *more])
 
     return run
 
@@ -241,18 +242,13 @@ def remove_repeats(docs: DataFrame, columns: list[str], digest: bool, window: in
 
     Texts without a window that the sketch lets through are done where they are read; only the others are shuffled.
     """
-    keep = [c for c in dict.fromkeys(columns) if c != "text"] if digest else list(dict.fromkeys([*columns, "text"]))
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, window, anchor, bits))
     found = repeated_windows(docs, sketch, window, anchor, bits).select(F.col("doc_id").alias("wm_id"), F.col("th").alias("wm_found"), F.col("starts").alias("wm_starts"))
-    own = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in keep]
-    out = ", ".join([*kinds, "n_words long", "n_removed long", "kept_sha256 string" if digest else "kept_text string"])
-    given = dict.fromkeys([*keep, "text"])
-
-    whole = with_candidates(sketch, window, anchor, bits, False)
-    make = cut(window, not digest)
-    done = own.select(*given).mapInArrow(lambda it: make(whole(it)), out)
-    rest = own.mapInArrow(with_candidates(sketch, window, anchor, bits, True), own.schema).withColumn("wm_th", F.xxhash64("text"))
+    own, names, (row_id, text), out = carry(docs, columns, "n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept_text string"), ("doc_id", "text"))
+    make = cut(window, not digest, names, text)
+    whole = with_candidates(sketch, window, anchor, bits, False, text)
+    done = own.drop(*{row_id} - set(names)).mapInArrow(lambda it: make(whole(it)), out)
+    rest = own.mapInArrow(with_candidates(sketch, window, anchor, bits, True, text), own.schema).withColumn("wm_th", F.xxhash64(quoted(text)))
     # always by a shuffle, whatever the number of texts with repeats
-    met = rest.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wm_id")) & (F.col("wm_th") == F.col("wm_found")), "left")
-    return done.unionByName(met.select(*given, "wm_starts").mapInArrow(make, out))
+    met = rest.join(found.hint("merge"), quoted(row_id).eqNullSafe(F.col("wm_id")) & (F.col("wm_th") == F.col("wm_found")), "left")
+    return done.unionByName(met.select(*map(quoted, dict.fromkeys([*names, text])), "wm_starts").mapInArrow(make, out))
