@@ -9,10 +9,14 @@ stratum do the rules together reject more than ``alpha`` of the good documents
 that pass the base rule (fixed-sequence tests within a rule, Bonferroni across
 rules and strata). A stratum with too few labels gets no cutoff and keeps all.
 
+All labels are the holdout, as nothing else is learned from them. The same labels may
+pick among the cutoffs that hold: the probability is bounded for all of these at once.
+
 Defined results: a null text counts as empty, so it fails the base rule; a row
 whose label is null, or whose id has no label, takes no part in the choice; an
 id labelled more than once counts with its lowest quality; repeated rows are
-judged one by one; a null language is a stratum of its own.
+judged one by one; a null language is a stratum of its own; a kept column whose name
+begins with wm_ comes back with ``_in`` at the end of it.
 """
 
 from __future__ import annotations
@@ -21,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize
+from .common import carry, materialize, quoted
 
 #: Rules by name: the ratio, and cutoffs from lenient to strict.
 GRID = (4.0, 3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)
 RULES = ("symbols_per_word", "bangs_per_word", "dup_line_share", "repeat_share")
 MIN_WORDS = 50
-#: Strata that the SQL tests at most; here all are.
-MAX_STRATA = 64
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -133,8 +135,9 @@ def judge(docs: DataFrame, labels: DataFrame, columns: list[str], alpha: float =
     Counts are made once, in one pass over the texts, and written to the shared
     folder. The cutoffs, a row for each stratum that has one, are broadcast.
     """
-    own = [c for c in dict.fromkeys(columns)]
-    made = features(docs.select(*own, F.col("text").alias("wm_text"), F.col("doc_id").alias("wm_id"), F.col(stratum).cast("string").alias("wm_stratum")), "wm_text").drop("wm_text")
+    own, names, (text, row_id, group), _ = carry(docs, columns, "", ("text", "doc_id", stratum))
+    own = own.select(*map(quoted, names), quoted(text).alias("wm_text"), quoted(row_id).alias("wm_id"), quoted(group).cast("string").alias("wm_stratum"))
+    made = features(own, "wm_text").drop("wm_text")
     made = materialize(made, "quality")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("wm_label_id")).agg(F.min("quality").alias("quality"))
     labelled = made.where(~F.col("wm_f.base_failed")).join(known, F.col("wm_id") == F.col("wm_label_id")).select(F.col("wm_stratum").alias("stratum"), "quality", *[F.col(f"wm_f.{r}").alias(r) for r in RULES])

@@ -30,7 +30,7 @@ b AS (SELECT r, doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratios} FROM b),
 k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 l AS (SELECT f.*, quality FROM f JOIN k USING (doc_id) WHERE NOT base_failed),
-s AS (SELECT lang, count(*) FILTER (quality = 1) AS n FROM l GROUP BY lang ORDER BY n DESC, lang NULLS FIRST LIMIT {quality.MAX_STRATA}),
+s AS (SELECT lang, count(*) FILTER (quality = 1) AS n FROM l GROUP BY lang),
 c AS (SELECT l.lang, rule, i, cutoff, count(*) FILTER (quality = 1 AND {value} > cutoff) AS rejected, count(*) FILTER (quality = 0 AND {value} > cutoff) AS caught FROM l, ({cells}) GROUP BY ALL),
 p AS (SELECT c.*, s.n, CASE WHEN rejected <= floor(n * {share}) THEN list_sum(list_transform(range(0, rejected + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) ELSE 1 END AS p FROM c JOIN s ON c.lang IS NOT DISTINCT FROM s.lang),
 h AS (SELECT *, min((p <= 0.05 / ((SELECT count(*) FROM s) * {n_rules}))::INT) OVER (PARTITION BY lang, rule ORDER BY i) AS holds FROM p),
