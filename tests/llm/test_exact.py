@@ -3,13 +3,13 @@
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftmap.llm import chat, common, decontam, ngram_join, spm, wavelet
+from weftmap.llm import chat, common, components, decontam, langid, ngram_join, quality, spm, substring, toxicity, urls, wavelet
 from weftmap.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +31,42 @@ def test_carried_names(spark):
     assert common.carry(df, ["text"], "")[1:3] == (["text"], ["text"])
 
 
+CLASHING = ["n_words", "Score", "evidence", "lang_pred", "n_tokens", "ids", "decoded", "item_id", "start", "end", "edits", "kept_sha256", "kept_text", "wm_f", "wm_id", "wm_th", "wm_starts", "wm_text", "wm_doc_id", "th", "s", "file", "part", "host", "turns", "bands"]
+
+
+def test_clashing_columns_in_every_operator(spark):
+    """Columns named like made ones, or like those used inside, come back whole under a name of their own."""
+    texts = ["one two three " * 40, "Some other words here in English, for a change.", None, "", "one two three " * 40]
+    df = spark.createDataFrame([(i, t, "en", *[i * 100 + k for k in range(len(CLASHING))]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    known = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some other words here in English")], "item_id long, text string")
+    keep = ["doc_id", *CLASHING, "text"]
+    path = Q.tokenizer_path("piece_bpe_32k.model")
+    made = {
+        "quality": quality.judge(df, known, keep),
+        "toxicity": toxicity.score(df, keep, toxicity.fit(df, known)),
+        "substring": substring.remove_repeats(df, keep, digest=False),
+        "substring digest": substring.remove_repeats(df, keep, digest=True),
+        "join": ngram_join.keep_first(df, keep),
+        "decontam": decontam.contaminated(df, bench, keep),
+        "clean": decontam.drop_contaminated(df, bench, keep),
+        "pieces": spm.encode(df, path, keep),
+        "language": langid.identify(df, keep, langid.fit(df)),
+    }
+    for name, out in made.items():
+        got = out.collect()
+        assert len({c.lower() for c in out.columns}) == len(out.columns), name
+        for r in got:
+            values = r.asDict()
+            for k, c in enumerate(CLASHING):
+                assert values[f"{c}_in" if f"{c}_in" in values else c] == r["doc_id"] * 100 + k, (name, c)
+        assert len(got) == {"join": 4, "decontam": 1, "clean": 4}.get(name, 5), name
+    shards = wavelet.encode_shards(df, Q.tokenizer_path("byte_bpe_50k.json"))
+    assert wavelet.shard_digests(shards).count() == 5 and ngram_join.near_duplicates(df).count() == 5
+    assert chat.format_conversations(df.withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(1), "role": F.lit("user"), "formatted": F.lit(1), "t": F.lit(2)})).count() == 5
+    assert urls.judge_pages(df.withColumns({"page_id": F.col("doc_id"), "url": F.lit("http://a.b/c"), "html": F.lit("<a href='//d.e/f'>"), "rule": F.lit(3)}), Q.URL_RULES).count() == 5
+
+
 def test_shared_folder_is_asked_for(spark):
     class Context:
         master = "spark://somewhere:7077"
@@ -252,3 +288,220 @@ def test_shards_are_files_of_their_own(spark, tmp_path):
     assert met == {d: [*code.encode(t).ids, 0] for d, t in [*texts.items(), (None, "none")]}
     got = wavelet.shard_digests(shards, "string").orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, *sorted(texts)] and sum(r["n_tokens"] for r in got) == got[-1]["start"] + got[-1]["n_tokens"]
+
+
+# --- quality rules
+
+
+def test_cutoffs_reject_as_the_sql_does(spark, tmp_path):
+    """Enough labels for cutoffs to hold: the query against its SQL on a table of its own."""
+    import duckdb
+
+    from weftmap.llm import sql
+
+    rng = np.random.default_rng(5)
+    docs, known = [], []
+    for i in range(7000):
+        bad = i % 5 == 0
+        words = [f"w{int(x)}" for x in rng.integers(0, 5000, 55)]
+        for k in rng.integers(0, 55, int(rng.integers(20, 60)) if bad else int(rng.integers(0, 3))):
+            words[k] += "##!"
+        text = " ".join(words) + ("\nsame line here\nsame line here\nsame line here" if i % 7 == 0 and bad else "")
+        docs.append((i, text, ["en", "de", None][i % 3 if i % 50 else 2]))
+        known.append((i, 0 if bad else 1, 0))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    made = con.execute(sql.op1())
+    names = [c[0] for c in made.description]
+    want = sorted(made.fetchall())
+    got = sorted(tuple(r) for r in Q.op1_quality_rules(spark, str(tmp_path)).select(*names).collect())
+    assert got == want
+    quality_of = {i: q for i, q, _ in known}
+    gone = [r[0] for r in got if not r[names.index("kept")] and not r[names.index("base_failed")]]
+    assert sum(quality_of[i] == 0 for i in gone) > 500 and sum(quality_of[i] for i in gone) < 0.02 * 5600
+
+
+# --- toxicity
+
+
+def test_toxicity_query_is_exact(spark, rows):
+    """Scores and cosines against dense TF-IDF vectors of all words."""
+    word = re.compile(r"[a-z\u0080-\U0010ffff]+")
+    docs = Q.table(spark, SF, "documents")
+    held = {r["doc_id"] for r in docs.where(common.held_out()).select("doc_id").collect()}
+    known = {r["doc_id"]: r["toxic"] for r in Q.table(spark, SF, "labels").collect() if r["toxic"] is not None and r["doc_id"] not in held}
+    texts = dict(rows)
+    label = {}
+    for i, toxic in known.items():
+        if i in texts:
+            label[texts[i]] = max(toxic, label.get(texts[i], 0))
+    count = lambda t: Counter(word.findall((t or "").lower()))
+    base = [(count(t), y) for t, y in label.items()]
+    vocabulary = sorted({w for c, _ in base for w in c})
+    place = {w: k for k, w in enumerate(vocabulary)}
+    n1 = sum(y for _, y in base)
+    df = np.array([sum(w in c for c, _ in base) for w in vocabulary])
+    toxic = np.array([sum(w in c for c, y in base if y) for w in vocabulary])
+    idf = (np.log((1 + len(base)) / (1 + df)) + 1) * toxicity.label_weights(df, toxic, len(base) - n1, n1)
+    unseen = np.log(1 + len(base)) + 1 if len(base) else 0
+
+    def vector(c):
+        v = np.zeros(len(vocabulary))
+        for w, n in c.items():
+            if w in place:
+                v[place[w]] = (1 + np.log(n)) * idf[place[w]]
+        other = sum(((1 + np.log(n)) * unseen) ** 2 for w, n in c.items() if w not in place)
+        return v, np.sqrt((v**2).sum() + other)
+
+    full = [(c, y) for c, y in base if c]
+    matrix = np.array([vector(c)[0] / vector(c)[1] for c, _ in full])
+    y = np.array([y for _, y in full], float)
+    rate = n1 / len(base)
+    judged = 0
+    for r in Q.op2_toxicity(spark, SF).collect():
+        c = count(texts[r["doc_id"]])
+        v, size = vector(c)
+        if not (v > 0).any():
+            assert not r["evidence"]
+            continue
+        cosine = np.round(matrix @ v / size, 9)
+        order = np.argsort(-cosine, kind="stable")
+        order = order[cosine[order] > 0]
+        assert np.allclose(r["cosines"], cosine[order[:5]], atol=1e-6)
+        k = toxicity.K
+        last = cosine[order[k - 1]] if len(order) > k else -1
+        if len(order) > k and len(set(y[np.abs(cosine - last) < 1e-8])) > 1:
+            continue  # ties of both labels at the last place: either is nearest
+        top = order[:k]
+        score = ((cosine[top] * y[top]).sum() + toxicity.PRIOR * rate) / (cosine[top].sum() + toxicity.PRIOR)
+        assert abs(r["score"] - score) < 1e-5, r["doc_id"]
+        judged += 1
+    assert judged > 0.9 * len(rows)
+
+
+# --- language ID
+
+
+def test_language_query_is_the_plain_network(spark, rows):
+    """Windows, convolutions, pooling and softmax by their definitions, against the query's rows."""
+    net = langid.fit(Q.table(spark, SF, "documents").select("doc_id", "text", "lang"))
+    got = {r["doc_id"]: r for r in Q.op9_language_id(spark, SF).collect()}
+    step = langid.WINDOW - max(langid.WIDTHS) + 1
+    for i, text in rows[:60]:
+        raw = (text or "").encode()
+        if not any(map(str.isalpha, text or "")):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total, at = np.zeros(len(net.langs)), 0
+        while at == 0 or at + max(langid.WIDTHS) - 1 < len(raw):
+            window = np.zeros(langid.WINDOW, int)
+            part = np.frombuffer(raw[at : at + langid.WINDOW], np.uint8)
+            window[: len(part)] = part
+            seen = net.embed[window].astype(float)
+            top = []
+            for w, f, b in zip(langid.WIDTHS, net.filters, net.bias, strict=True):
+                out = np.array([np.tensordot(seen[p : p + w], f, ((0, 1), (0, 1))) for p in range(langid.WINDOW - w + 1)])
+                top.append(out.max(0) + b)
+            z = np.maximum(np.concatenate(top), 0) @ net.out + net.out_bias
+            z = np.exp(z - z.max())
+            total += z / z.sum() * min(step, len(raw) - at)
+            at += step
+        total /= total.sum()
+        assert got[i]["lang_pred"] == net.langs[int(total.argmax())] and abs(got[i]["score"] - total.max()) < 1e-3, i
+
+
+# --- URL filters
+
+
+def plain_verdicts(pages, rules, damping=0.85):
+    """Rules, seeds, both ranks and the line between them, page by page."""
+
+    def split(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+    def ruled(host, path):
+        fit = [(len(h + p), v == "block", v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2:] if fit else (None, None)
+
+    hosts, links = defaultdict(list), Counter()
+    for _, url, html in pages:
+        host, path = split(url)
+        if host:
+            hosts[host].append(ruled(host, path)[0])
+            for to in re.findall(r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)""", html or ""):
+                if to.lower() != host:
+                    links[host, to.lower()] += 1
+    names = sorted({*hosts, *(h for pair in links for h in pair)})
+    at = {h: k for k, h in enumerate(names)}
+    seeds = np.zeros((2, len(names)))
+    for h, verdicts in hosts.items():
+        a, b = verdicts.count("allow") / len(verdicts), verdicts.count("block") / len(verdicts)
+        seeds[0, at[h]], seeds[1, at[h]] = a * (a >= 0.5 and a >= b), b * (b >= 0.5 and b > a)
+    ranks = np.zeros_like(seeds)
+    for kind in (0, 1):
+        seed = seeds[kind] / (seeds[kind].sum() or 1)
+        flow = np.zeros((len(names), len(names)))
+        for (a, b), n in links.items():
+            flow[(at[a], at[b]) if kind == 0 else (at[b], at[a])] = n
+        flow /= np.maximum(flow.sum(1, keepdims=True), 1)
+        r = seed
+        for _ in range(300 if links else 0):
+            got = r @ flow
+            r = damping * got + (1 - damping * got.sum()) * seed
+        ranks[kind] = r
+    out = {}
+    for page, url, _ in pages:
+        host, path = split(url)
+        verdict, name = ruled(host, path)
+        trust, distrust = ranks[:, at[host]] if host else (0, 0)
+        out[page] = (host, path, name, verdict or ("block" if distrust > trust and distrust > 0.5 / len(names) else "allow"))
+    return out
+
+
+def test_url_query_and_linked_pages(spark):
+    given = [(r["page_id"], r["url"], r["html"]) for r in Q.table(spark, SF, "pages").select("page_id", "url", "html").collect()]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in Q.op10_url_filter(spark, SF).collect()}
+    assert got == plain_verdicts(given, Q.URL_RULES)
+    rng = np.random.default_rng(4)
+    hosts = [f"h{k}.{tld}" for k in range(40) for tld in ("com", "net", "org", "io")]
+    pages = []
+    for i in range(600):
+        to = " ".join(f'<a href="http://{hosts[int(k)].upper()}/x">y</a> <a href="/local">z</a>' for k in rng.zipf(1.5, 3) % len(hosts))
+        pages.append((i, f"HTTP://{hosts[int(rng.integers(0, 160))]}/{['en', 'de', 'es', 'xx'][i % 4]}/{i % 10}?q#f", to if i % 9 else None))
+    pages += [(600, None, "<a href='//h1.com'>"), (601, "no scheme", None), (602, pages[5][1], pages[5][2]), (602, pages[5][1], pages[5][2])]
+    rules = [*Q.URL_RULES, ("block", "h3.com", "/en/"), ("allow", "h3.com", "/de/1"), ("block", "io", "/xx/"), ("allow", "io", "/en/"), ("allow", "h3.com", "/xx/"), ("block", "h3.com", "/xx/")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    made = urls.judge_pages(df, rules).collect()
+    want = plain_verdicts(pages, rules)
+    assert len(made) == len(pages) and {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in made} == want
+    unruled = Counter(v for _, _, name, v in want.values() if name is None)
+    assert unruled["block"] > 10 and unruled["allow"] > 10
+
+
+# --- components
+
+
+def test_long_chains_settle(spark):
+    n = 3000
+    order = np.random.default_rng(6).permutation(n).tolist()
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "u long, v long")
+    got = components.components(edges).agg(F.count(F.lit(1)).alias("n"), F.max("root").alias("root")).first()
+    assert (got["n"], got["root"]) == (n, 0)
+
+
+# --- the pipeline
+
+
+def test_decontamination_stage_is_exact(spark):
+    import corpus_pipeline as cp
+
+    items = [flat(r["text"]).strip() for r in Q.table(spark, SF, "benchmark").collect()]
+    docs = Q.table(spark, SF, "documents").select(*cp.COLUMNS)
+    got = {r["doc_id"] for r in cp.benchmark_passages(spark, docs, SF).collect()}
+    want = {r["doc_id"] for r in docs.collect() if not any(near(flat(r["text"] or ""), b) is not None for b in items)}
+    assert got == want and len(want) < docs.count()

@@ -29,15 +29,16 @@ def carry(docs: DataFrame, keep: Iterable[str], made: str | StructType, needs: I
     """What a function over rows is given, and the schema of what it gives back.
 
     ``docs`` with the columns ``keep``, each once, and the columns ``needs``; the names
-    of both; and the schema of ``keep`` followed by ``made``. A kept column
-    whose name is that of a made one, whatever the case, comes back with ``_in`` at the end.
+    of both; and the schema of ``keep`` followed by ``made``. A kept column whose name
+    is that of a made one, or begins with ``wm_`` like those used inside, whatever the
+    case, comes back with ``_in`` at the end.
     """
     made = made if isinstance(made, StructType) else StructType.fromDDL(made) if made else StructType([])
     taken = {f.name.lower() for f in made.fields}
     names: dict[str, str] = {}
     for column in dict.fromkeys(keep):
         name = column
-        while name.lower() in taken:
+        while name.lower() in taken or name.lower().startswith("wm_") and not name.endswith("_in"):
             name += "_in"
         taken.add(name.lower())
         names[column] = name

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .common import batches, materialize, text_bytes
+from .common import batches, carry, materialize, quoted, text_bytes
 from .components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -289,7 +289,8 @@ def keep_first(docs: DataFrame, columns: list[str], **how) -> DataFrame:
     """``columns`` of the rows of ``docs`` that stay: one of each class, and all rows without words."""
     judged = near_duplicates(docs, **how)
     stay = materialize(judged.where("first").select(F.col("doc_id").alias("wm_id"), F.col("th").alias("wm_stay"), (F.col("n_shingles") == 0).alias("wm_empty")).distinct(), "stay")
-    own = docs.select(*columns, *[c for c in ("doc_id", "text") if c not in columns]).withColumn("wm_th", F.xxhash64("text"))
-    met = own.join(stay, F.col("doc_id").eqNullSafe(F.col("wm_id")) & (F.col("wm_th") == F.col("wm_stay")))
+    own, names, (row_id, text), _ = carry(docs, columns, "", ("doc_id", "text"))
+    own = own.withColumn("wm_th", F.xxhash64(quoted(text)))
+    met = own.join(stay, quoted(row_id).eqNullSafe(F.col("wm_id")) & (F.col("wm_th") == F.col("wm_stay"))).select(*map(quoted, names), "wm_id", "wm_th", "wm_empty")
     worded = met.where("not wm_empty").dropDuplicates(["wm_id", "wm_th"])
-    return worded.select(*columns).unionByName(met.where("wm_empty").select(*columns))
+    return worded.unionByName(met.where("wm_empty")).select(*map(quoted, names))
