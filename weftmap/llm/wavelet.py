@@ -8,7 +8,7 @@ of the tokeniser (``<|endoftext|>``) is one piece, so the library finds the toke
 and gives its id, as it does by default. An end id follows each text.
 
 A shard holds the ids of consecutive rows in order of doc_id: the bit planes of
-a wavelet matrix, cut into blocks that are deflated one by one, their rank directories,
+a wavelet matrix, cut into blocks that are compressed (zstd) one by one, their rank directories,
 and ids and lengths of its documents. Access, rank, count, select and occurrences
 open the blocks that they meet and no others; reading a shard from end to end opens
 each block once. Every shard is one file: a Parquet file of one row, whose binary
@@ -45,11 +45,12 @@ SHARD = 1 << 21
 #: Different pieces that a worker keeps; beyond it starts anew.
 KEPT = 1 << 21
 RANK_STEP = 512
-#: Bytes of a plane that are deflated together; a multiple of a rank step.
+#: Bytes of a plane that are compressed together; a multiple of a rank step.
 BLOCK = 1 << 13
 #: Blocks that an open plane keeps.
 OPEN_BLOCKS = 64
 MAGIC = b"WMX2"
+_CODEC = pa.Codec("zstd", 1)
 
 _LETTER, _DIGIT, _OTHER, _QUOTE, _SPACE, _WHITE, _ELSE = range(1, 8)
 _CLASS = np.full(256, _ELSE, np.uint8)
@@ -171,7 +172,7 @@ _BEFORE = np.packbits(np.arange(RANK_STEP)[None, :] < np.arange(RANK_STEP)[:, No
 
 
 class Plane:
-    """Bits, packed, in blocks that are deflated unless that makes them longer."""
+    """Bits, packed, in blocks that are compressed unless that makes them longer."""
 
     def __init__(self, size: int, ends: np.ndarray, data: bytes | memoryview):
         self.size, self.ends, self.data = size, ends, data
@@ -182,7 +183,7 @@ class Plane:
         parts = []
         for a in range(0, len(packed), BLOCK):
             raw = packed[a : a + BLOCK].tobytes()
-            small = zlib.compress(raw, 1)
+            small = _CODEC.compress(raw, asbytes=True)
             parts.append(small if len(small) < len(raw) else raw)
         return cls(len(packed), np.cumsum([len(x) for x in parts], dtype=np.uint32), b"".join(parts))
 
@@ -191,7 +192,7 @@ class Plane:
         a, b = int(self.ends[k - 1]) if k else 0, int(self.ends[k])
         data = self.data[a:b]
         whole = min(BLOCK, self.size - k * BLOCK)
-        return np.frombuffer(data if b - a == whole else zlib.decompress(data), np.uint8)
+        return np.frombuffer(data if b - a == whole else _CODEC.decompress(data, whole), np.uint8)
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """The bytes of some rank steps."""
@@ -236,10 +237,10 @@ class WaveletMatrix:
             one = bit.astype(bool)
             plane = np.packbits(one, bitorder="little")
             planes.append(Plane.of(plane))
-            left = now[~one]
+            left = np.compress(~one, now)  # much faster than an index of booleans
             zeros.append(len(left))
             ranks.append(cls._ranks(cls._ones_a_step(plane)))
-            now = np.concatenate([left, now[one]])
+            now = np.concatenate([left, np.compress(one, now)])
         return cls(len(ids), planes, zeros, ranks)
 
     @staticmethod
@@ -367,12 +368,12 @@ class WaveletMatrix:
     def to_ids(self) -> np.ndarray:
         """The whole sequence, from the last plane up."""
         bits = len(self.planes)
-        now = np.zeros(self.n, np.uint32)
+        now = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for k in range(bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").astype(bool)
-            before = np.empty(self.n, np.uint32)
-            before[~one] = now[: self.zeros[k]]
-            before[one] = now[self.zeros[k] :] | np.uint32(1 << (bits - 1 - k))
+            one = np.unpackbits(self.planes[k].whole(), count=self.n, bitorder="little").view(bool)
+            before = np.empty_like(now)
+            before[np.flatnonzero(~one)] = now[: self.zeros[k]]  # much faster than an index of booleans
+            before[np.flatnonzero(one)] = now[self.zeros[k] :] | now.dtype.type(1 << (bits - 1 - k))
             now = before
         return now
 
@@ -426,7 +427,7 @@ def write_shards(path: str, end: int, most: int):
             whole = np.full(len(got) + len(n), end, np.uint16 if code.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
             inside = np.ones(len(whole), bool)
             inside[np.cumsum(n + 1) - 1] = False
-            whole[inside] = got
+            whole[np.flatnonzero(inside)] = got
             ids.append(whole)
             lengths.append(n + 1)
             docs.append(rows.column(0))
