@@ -154,3 +154,8 @@ def test_ids_and_languages():
 def test_any_text_is_survived(parts, name):
     for n in extract(f"/p/{name}", "".join(parts)):
         assert n["kind"] in KINDS and n["start_line"] <= n["end_line"] and n["name"] is not None
+
+
+def test_function_expressions_are_no_scope():
+    source = "const a = function () { const SEEN_A = 1; };\nexport default function () { const SEEN_B = 1; }\nfunction f() { const HIDDEN_A = 1; const b = function () { const HIDDEN_B = 1; }; }\nrun(function () { let SEEN_C = 2; });\nconst c = () => { const HIDDEN_C = 1; };\n"
+    assert [n["name"] for n in extract("/p/a.ts", source)] == ["SEEN_A", "SEEN_B", "f", "SEEN_C", "c"]

@@ -16,32 +16,37 @@ def edge_table(spark, pairs):
     return spark.createDataFrame(list(pairs), "src string, dst string")
 
 
+#: (file, reference, known files, which of them is met)
 CASES = [
-    ("/project/src/a.ts", "lodash", [], None),
-    ("/project/src/a.ts", "node:path", [], None),
-    ("/project/src/a.ts", "./utils/b", ["/project/src/utils/b.ts"], 0),
-    ("/project/src/utils/a.ts", "../b", ["/project/src/b.ts"], 0),
-    ("/project/src/a.ts", "./foo", ["/project/src/foo/index.ts"], 0),
-    ("/project/src/a.ts", "./b", ["/project/src/b.tsx"], 0),
-    ("/project/src/a.ts", "./b", ["/project/src/b.py", "/project/src/b.tsx"], 1),
-    ("/project/src/a.ts", "./b.ts", ["/project/src/b.ts"], 0),
-    ("/project/src/a.ts", "./../b", ["/project/b.ts"], 0),
-    ("/project/src/api/views.py", ".models", ["/project/src/api/models.py"], 0),
-    ("/project/src/api/views.py", ".a.b", ["/project/src/api/a/b.py"], 0),
-    ("/project/src/api/views.py", "..core", ["/project/src/core.py"], 0),
-    ("/project/src/api/views.py", "...core", ["/project/core.py"], 0),
-    ("/project/pkg/sub/a.py", "..", ["/project/pkg/__init__.py"], 0),
-    ("/project/pkg/sub/a.py", "..", [], None),
-    ("/project/src/a.ts", "./nonexistent", ["/project/src/b.ts"], None),
-    ("/project/src/utils/a.ts", "../b.ts", ["/project/src/b.ts"], None),
-    ("/project/src/utils/a.ts", "../../x", ["/project/x.ts", "/project/src/x.ts"], 1),
-    ("/project/src/a.ts", "../", ["/project/index.ts"], 0),
-    ("/project/src/a.ts", "../", ["/project.ts"], None),
-    ("/project/src/a.ts", "./x.js", ["/project/src/x.ts"], None),
-    ("/project/src/a.py", ".", ["/project/src/__init__.py"], None),
-    ("/project/src/a.py", ".pkg", ["/project/src/pkg/__init__.py"], None),
-    ("/project/src/a.py", ".u", ["/project/src/u.py", "/project/src/u.ts"], 1),
-    ("/a.ts", "./b", ["/b.ts"], 0),
+    ("/w/app/main.ts", "react", [], None),
+    ("/w/app/main.ts", "fs:promises", ["/w/app/fs:promises"], None),
+    ("/w/app/main.ts", "./parts/menu", ["/w/app/parts/menu.ts"], 0),
+    ("/w/app/parts/menu.ts", "../theme", ["/w/app/theme.ts"], 0),
+    ("/w/app/main.ts", "./shop", ["/w/app/shop/index.ts"], 0),
+    ("/w/app/main.ts", "./shop", ["/w/app/shop/index.py", "/w/app/shop/index.cjs", "/w/app/shop/index.mjs"], 2),
+    ("/w/app/main.ts", "./shop", ["/w/app/shop/index.ts", "/w/app/shop.py"], 1),
+    ("/w/app/main.ts", "./view", ["/w/app/view.tsx"], 0),
+    ("/w/app/main.ts", "./view", ["/w/app/view.py", "/w/app/view.cjs", "/w/app/view.js"], 2),
+    ("/w/app/main.ts", "./view.tsx", ["/w/app/view.tsx"], 0),
+    ("/w/app/main.ts", "./view", ["/w/app/view", "/w/app/view.ts"], 0),
+    ("/w/app/main.ts", "./../boot", ["/w/boot.ts"], 0),
+    ("/w/api/urls.py", ".handlers", ["/w/api/handlers.py"], 0),
+    ("/w/api/urls.py", ".db.tables", ["/w/api/db/tables.py"], 0),
+    ("/w/api/urls.py", "..conf", ["/w/conf.py"], 0),
+    ("/w/api/v1/urls.py", "...conf", ["/w/conf.py"], 0),
+    ("/w/api/v1/urls.py", "..", ["/w/api/__init__.py"], 0),
+    ("/w/api/v1/urls.py", "..", [], None),
+    ("/w/app/main.ts", "./missing", ["/w/app/present.ts"], None),
+    ("/w/app/parts/menu.ts", "../theme.ts", ["/w/app/theme.ts"], None),
+    ("/w/app/parts/menu.ts", "../../boot", ["/w/boot.ts", "/w/app/boot.ts"], 1),
+    ("/w/app/main.ts", "../", ["/w/index.ts"], 0),
+    ("/w/app/main.ts", "../", ["/w.ts"], None),
+    ("/w/app/main.ts", "./view.js", ["/w/app/view.ts"], None),
+    ("/w/app/tool.py", ".", ["/w/app/__init__.py"], None),
+    ("/w/app/tool.py", ".sub", ["/w/app/sub/__init__.py"], None),
+    ("/w/app/tool.py", ".sub", ["/w/app/sub.py", "/w/app/sub.ts"], 1),
+    ("/top.ts", "./next", ["/next.ts"], 0),
+    ("/top.ts", "./", ["/index.ts"], 0),
 ]
 
 
@@ -70,6 +75,9 @@ def test_strict_resolution(spark):
         ("/p/src/a.py", ".pkg", ["/p/src/pkg/__init__.py"], 0),
         ("/p/src/a.py", "..core", ["/p/core.py"], 0),
         ("/p/src/a.ts", "lodash", ["/p/src/lodash.ts"], None),
+        ("/p/src/a.ts", "./x.js", ["/p/src/x.ts", "/p/src/x.js"], 1),
+        ("/p/src/a.ts", "./x.js", ["/p/src/x.tsx", "/p/src/x.ts", "/p/src/x.js/index.py"], 2),
+        ("/p/src/a.ts", "./x.mjs", ["/p/src/x.py"], None),
     ]
     got = resolved(spark, cases, "strict")
     assert {i: (f"/t{i}{k[w]}" if w is not None else None) for i, (_, _, k, w) in enumerate(cases)} == {i: got.get(i) for i in range(len(cases))}
@@ -104,7 +112,7 @@ GRAPHS = [
 @pytest.mark.parametrize("case", GRAPHS)
 def test_pagerank(spark, case):
     names, pairs, want, weights, iterations = case
-    made = rank.pagerank(vertices(spark, names), edge_table(spark, [tuple(p) for p in pairs.split()]), personalization=weights)
+    made = rank.pagerank(vertices(spark, names), edge_table(spark, [tuple(p) for p in pairs.split()]), personalization=weights, kernel_edges=rank.KERNEL_EDGES)
     got = {r["file_path"]: r["score"] for r in made.scores.collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and made.converged
     for k, v in want.items():
@@ -124,8 +132,8 @@ def test_loop_and_kernel_agree(spark, weights):
     names = [f"v{i}" for i in range(30)]
     pairs = {(names[a], names[b]) for a, b in rng.integers(0, 30, (50, 2))}
     given = vertices(spark, names), edge_table(spark, [*pairs, ("v1", "elsewhere")])
-    one = rank.pagerank(*given, personalization=weights, rounds=12, tolerance=1e-3)
-    two = rank.pagerank(*given, personalization=weights, rounds=12, tolerance=1e-3, kernel_edges=0)
+    one = rank.pagerank(*given, personalization=weights, rounds=12, tolerance=1e-3, kernel_edges=rank.KERNEL_EDGES)
+    two = rank.pagerank(*given, personalization=weights, rounds=12, tolerance=1e-3)
     a, b = ({r["file_path"]: r["score"] for r in x.scores.collect()} for x in (one, two))
     assert one.iterations == two.iterations and one.converged == two.converged
     assert set(a) == set(b) == set(names) and all(abs(a[k] - b[k]) < 1e-9 for k in a)

@@ -3,9 +3,10 @@
 new(v) = alpha (link(v) + dangling t(v)) + (1 - alpha) t(v), from 1 / N, all new
 scores from all old ones, until their L1 difference is below the tolerance.
 
-Two ways that give the same scores: a loop of DataFrame steps (a join, a sum and
-a written table a round; nothing grows on the driver), and for graphs of at most
-``kernel_edges`` edges one numpy task, which spares the rounds' scheduling.
+A round is a join with the edges, a sum, and a written table, of which the driver gets
+two sums: what moved, and what dangling files hold for the next round. Where it is asked
+for, graphs of at most ``kernel_edges`` files and edges go through one numpy task
+instead, which gives the same scores and spares a small graph the rounds' scheduling.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..sources.shared import materialize
 
 ALPHA, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 FOCUS_WEIGHT = 10.0
-#: Edges and files up to which one task holds the whole graph (some 100 MB).
+#: Files and edges up to which one task may well hold the whole graph (some 100 MB): for code bases on one disk.
 KERNEL_EDGES = 1_000_000
 
 
@@ -71,7 +72,7 @@ def _kernel(alpha: float, rounds: int, tolerance: float):
     return run
 
 
-def pagerank(files: DataFrame, edges: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE, personalization: DataFrame | dict[str, float] | None = None, kernel_edges: int = KERNEL_EDGES) -> Ranked:
+def pagerank(files: DataFrame, edges: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE, personalization: DataFrame | dict[str, float] | None = None, kernel_edges: int = 0) -> Ranked:
     """Scores of all files; edges between files that aren't known are left out. ``tolerance`` 0 runs all rounds."""
     spark = files.sparkSession
     known = files.select("file_path").distinct()
@@ -85,23 +86,22 @@ def pagerank(files: DataFrame, edges: DataFrame, alpha: float = ALPHA, rounds: i
         made = materialize(rows.groupBy().applyInArrow(_kernel(alpha, rounds, tolerance), "file_path string, score double, iterations int, converged boolean"), "scores")
         row = made.select("iterations", "converged").first()
         return Ranked(made.select("file_path", "score"), row["iterations"], row["converged"])
-    flows = materialize(edges.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "src"), "flows")
-    state = base.withColumn("score", F.lit(1.0 / n))
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    flows = materialize(edges.join(degree, "src"), "flows")
+    one = F.lit(1.0 / n)
+    state = materialize(base.join(degree, base.file_path == degree.src, "left").select("file_path", "t", F.col("k").isNull().alias("dangling"), one.alias("old"), one.alias("score")), "rank")
+    held = F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost")
+    lost = state.agg(held).first()["lost"]
     done, converged = 0, False
     for done in range(1, rounds + 1):  # noqa: B007
         link = state.join(flows, state.file_path == flows.src).groupBy("dst").agg(F.sum(F.col("score") / F.col("k")).alias("link"))
-        step = materialize(state.join(link, state.file_path == link.dst, "left").select("file_path", "t", "score", F.coalesce("link", F.lit(0.0)).alias("link")), "rank")
-        # what isn't passed along edges is the dangling files' share
-        sums = step.agg(F.sum("score").alias("all"), F.sum("link").alias("link")).first()
-        lost = F.lit(float(sums["all"]) - float(sums["link"]))
-        state = step.select("file_path", "t", "score", (F.lit(alpha) * (F.col("link") + lost * F.col("t")) + F.lit(1 - alpha) * F.col("t")).alias("new"))
-        if tolerance > 0:
-            delta = state.agg(F.sum(F.abs(F.col("new") - F.col("score")))).first()[0]
-            converged = delta < tolerance
-        state = state.select("file_path", "t", F.col("new").alias("score"))
+        new = F.lit(alpha) * (F.coalesce("link", F.lit(0.0)) + F.lit(float(lost)) * F.col("t")) + F.lit(1 - alpha) * F.col("t")
+        state = materialize(state.join(link, state.file_path == link.dst, "left").select("file_path", "t", "dangling", F.col("score").alias("old"), new.alias("score")), "rank")
+        sums = state.agg(held, F.sum(F.abs(F.col("score") - F.col("old"))).alias("delta")).first()
+        lost, converged = sums["lost"], tolerance > 0 and sums["delta"] < tolerance
         if converged:
             break
-    return Ranked(materialize(state.select("file_path", "score"), "scores"), done, converged)
+    return Ranked(state.select("file_path", "score"), done, converged)
 
 
 def top_files(files: DataFrame, scores: DataFrame, n: int = 10) -> DataFrame:

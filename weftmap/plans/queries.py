@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 from datetime import datetime
 
@@ -33,10 +34,9 @@ def inside(root: str, path: str) -> str | None:
 
 
 def checked_budget(value: str | int) -> int:
-    try:
-        budget = int(str(value).strip())
-    except ValueError:
-        budget = 0
+    """The whole number that the text begins with; what follows it counts for nothing."""
+    found = re.match(r"\s*[+-]?\d+", str(value))
+    budget = int(found.group()) if found else 0
     if budget < 1:
         raise WeftError("Invalid budget value", "Provide a positive integer for --budget", "INVALID_INPUT")
     return budget

@@ -4,6 +4,8 @@ The tables hold no code, so a code base is made of them: each part is a file
 ``/repo/pkg/p<key>.py``; in an order, each part needs the part before it in order
 of key (so the graph has as many edges as order lines at most and no cycle). Its
 definitions are a function named after the part and a constant after its brand.
+Each supplier is a script and a Python file with a definition of every kind, below
+as many lines of comment as the rest of its key by 4.
 """
 
 from __future__ import annotations
@@ -74,9 +76,77 @@ def sources(spark, sf_dir) -> DataFrame:
     return part.join(links, part.file_path == links.src, "left").select("file_path", F.concat(F.coalesce("head", F.lit("")), body).alias("source"))
 
 
-def scores(spark, sf_dir, focus: int | None = None) -> DataFrame:
+#: A script with every kind of node, {n} the supplier's nation, {a} and {b} what it needs.
+SCRIPT = """import main, {{ one as two, type Three }} from '{a}';
+import {{ map }} from 'lodash';
+export {{ x as y }} from '{b}';
+export const MAX_{n} = {n}, helper = (v: number) => {{ const HIDDEN = 1; return v; }};
+export type Key{n} = Foo | {{ name: Bar }};
+export enum Level{n} {{ Low = 'a;{{', High }}
+export interface Shape{n} {{
+  area(): number;
+}}
+@Injectable()
+export abstract class Store{n} {{
+  constructor(private n: number) {{ super(); }}
+  @log async load(key: string): Promise<void> {{
+    return /["'{{]/g;
+  }}
+}}
+export function greet{n}(name: string): string {{ return name; }}
+const made = function () {{ const IN_EXPRESSION = 1; }};
+"""
+MODULE = """import json as j, os
+from .m{a} import f as g
+
+@app.route("/x")
+class C{n}:
+    LIMIT_{n} = 1
+
+    @staticmethod
+    def run(self):
+        return 1
+
+def top{n}():
+    HIDDEN_X = 1
+    return HIDDEN_X
+"""
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """The template as a column."""
+    out = F.lit(template.replace("{{", "\x01").replace("}}", "\x02"))
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return F.translate(out, "\x01\x02", "{}")
+
+
+def script_path(key: Column) -> Column:
+    """A folder's index file, a .ts or a .tsx file."""
+    name = F.concat(F.lit(f"{ROOT}/web/s"), key.cast("string"))
+    return F.concat(name, F.when(key % 3 == 0, "/index.ts").when(key % 3 == 1, ".ts").otherwise(".tsx"))
+
+
+def _padded(key: Column, text: Column) -> Column:
+    return F.concat(F.repeat(F.lit("// { not code\n"), (key % 4).cast("int")), text)
+
+
+def scripts(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    to = lambda n: F.concat(F.when(k % 3 == 0, "../s").otherwise("./s"), (k - n).cast("string"))
+    text = _filled(SCRIPT, a=to(1), b=to(2), n=F.col("s_nationkey").cast("string"))
+    return table(spark, sf_dir, "supplier").select(script_path(k).alias("file_path"), _padded(k, text).alias("source"))
+
+
+def modules(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.replace(_padded(k, _filled(MODULE, a=F.when(k == 0, "none").otherwise((k - 1).cast("string")), n=F.col("s_nationkey").cast("string"))), F.lit("// {"), F.lit("# ("))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{ROOT}/web/m"), k.cast("string"), F.lit(".py")).alias("file_path"), text.alias("source"))
+
+
+def scores(spark, sf_dir, focus: int | None = None, kernel_edges: int = rank.KERNEL_EDGES) -> DataFrame:
     weights = {f"{ROOT}/pkg/p{focus}.py": rank.FOCUS_WEIGHT} if focus is not None else None
-    made = rank.pagerank(files(spark, sf_dir), edges(spark, sf_dir), rounds=20, tolerance=0.0, personalization=weights)
+    made = rank.pagerank(files(spark, sf_dir), edges(spark, sf_dir), rounds=20, tolerance=0.0, personalization=weights, kernel_edges=kernel_edges)
     return made.scores.withColumn("score", F.round("score", 6))
 
 
@@ -115,6 +185,26 @@ def corpus_definitions(spark, sf_dir):
     return _long(graph.definitions(nodes_of(parse_sources(sources(spark, sf_dir)))).select("file_path", "name", "kind", "start_line", "end_line"), "start_line", "end_line")
 
 
+def _told(df: DataFrame) -> DataFrame:
+    return _long(df.select("file_path", "name", "kind", "start_line", "end_line", F.array_join("references", ",").alias("refs"), "seq"), "start_line", "end_line", "seq")
+
+
+def script_nodes(spark, sf_dir):
+    """Every kind of node of a script, in order."""
+    return _told(nodes_of(parse_sources(scripts(spark, sf_dir))))
+
+
+def module_nodes(spark, sf_dir):
+    """Every kind of node of a Python file, in order."""
+    return _told(nodes_of(parse_sources(modules(spark, sf_dir))))
+
+
+def script_edges(spark, sf_dir):
+    """Relative imports of files and folders, re-exports, packages left out."""
+    parsed = parse_sources(scripts(spark, sf_dir).unionByName(modules(spark, sf_dir)))
+    return graph.build_edges(nodes_of(parsed), parsed.select("file_path"))
+
+
 def import_candidates(spark, sf_dir):
     """How each import is tried: the dotted branch, file before package index."""
     from ..operators.resolve import candidates
@@ -136,23 +226,43 @@ def impact_closure(spark, sf_dir):
     return _long(impact(materialize(edges(spark, sf_dir), "edges"), seed()), "depth")
 
 
+def cyclic_edges(spark, sf_dir) -> DataFrame:
+    """The edges, some of them both ways."""
+    known = table(spark, sf_dir, "part").select("p_partkey")
+    e = key_edges(spark, sf_dir)
+    e = e.join(known, e.a == known.p_partkey, "left_semi").join(known, e.b == known.p_partkey, "left_semi")
+    both = e.unionByName(e.where((F.col("a") + F.col("b")) % 5 == 0).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return both.select(path(F.col("a")).alias("src"), path(F.col("b")).alias("dst"))
+
+
+def impact_cyclic(spark, sf_dir):
+    """Dependents where files need each other."""
+    return _long(impact(materialize(cyclic_edges(spark, sf_dir), "edges"), seed()), "depth")
+
+
 def impact_ranked(spark, sf_dir):
     reached = impact(materialize(edges(spark, sf_dir), "edges"), seed())
     return _long(ranked(reached, scores(spark, sf_dir)), "depth")
 
 
 def pagerank_20(spark, sf_dir):
-    return scores(spark, sf_dir)
+    """By DataFrame rounds, the way for graphs of any size."""
+    return scores(spark, sf_dir, kernel_edges=0)
 
 
 def pagerank_focus_20(spark, sf_dir):
-    return scores(spark, sf_dir, FOCUS)
+    return scores(spark, sf_dir, FOCUS, kernel_edges=0)
 
 
-def pagerank_loop_20(spark, sf_dir):
-    """The same by DataFrame rounds, the way for graphs of any size."""
-    made = rank.pagerank(files(spark, sf_dir), edges(spark, sf_dir), rounds=20, tolerance=0.0, kernel_edges=0)
-    return made.scores.withColumn("score", F.round("score", 6))
+def pagerank_kernel_20(spark, sf_dir):
+    """The same in one task, the option for small graphs."""
+    return scores(spark, sf_dir)
+
+
+def pagerank_converged(spark, sf_dir):
+    """Rounds until the L1 difference is below the tolerance, and the scores then."""
+    made = rank.pagerank(files(spark, sf_dir), edges(spark, sf_dir), tolerance=1e-4)
+    return made.scores.select("file_path", F.round("score", 6).alias("score"), F.lit(made.iterations).cast("long").alias("rounds"), F.lit(made.converged).alias("converged"))
 
 
 def rank_top_files(spark, sf_dir):
@@ -169,7 +279,7 @@ def map_text(spark, sf_dir):
 
 
 def search_definitions(spark, sf_dir):
-    return _long(search(nodes(spark, sf_dir), "GREEN").select("file_path", "kind", "name", "start_line"), "start_line")
+    return _long(search(nodes(spark, sf_dir), "WIDGET").select("file_path", "kind", "name", "start_line"), "start_line")
 
 
 def search_by_kind(spark, sf_dir):
@@ -217,12 +327,12 @@ def page_links(spark, sf_dir):
 
 def corpus_index(spark, sf_dir):
     """End to end: text to ranked map."""
-    index = from_parsed(ROOT, materialize(parse_sources(sources(spark, sf_dir)), "parsed"))
+    index = from_parsed(ROOT, materialize(parse_sources(sources(spark, sf_dir)), "parsed"), kernel_edges=rank.KERNEL_EDGES)
     return render.render_map(index.files, index.nodes, index.scores, ROOT)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, import_candidates, forward_deps, reverse_deps, impact_closure, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_loop_20, rank_top_files, map_budgeted, map_text, search_definitions, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, screaming_constants, utf16_lengths, page_links, corpus_index)}
+    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, script_nodes, module_nodes, script_edges, import_candidates, forward_deps, reverse_deps, impact_closure, impact_cyclic, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_kernel_20, pagerank_converged, rank_top_files, map_budgeted, map_text, search_definitions, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, screaming_constants, utf16_lengths, page_links, corpus_index)}
 
 
 _P = f"'{ROOT}/pkg/p' || {{}} || '.py'"
@@ -236,16 +346,16 @@ _N = f"""own AS (SELECT {_P.format('p_partkey')} AS file_path, upper(regexp_repl
 _L = "'  ' || kind || ' ' || name || ' (L' || start_line || ')'"
 
 
-def _rank(teleport: str) -> str:
-    """Scores after 20 rounds; each vertex has an edge of weight 0 to itself, so that it stays."""
+def _rank(teleport: str, rounds: int = 20) -> str:
+    """Scores after some rounds; each vertex has an edge of weight 0 to itself, so that it stays."""
     return f"""nn AS (SELECT count(*)::DOUBLE AS c FROM f), deg AS (SELECT a, count(*)::DOUBLE AS k FROM e GROUP BY a),
  w AS (SELECT e.a, e.b, 1 / deg.k AS x FROM e JOIN deg USING (a) UNION ALL SELECT k, k, 0 FROM f),
  t AS (SELECT f.k, {teleport} AS t FROM f, nn),
  r AS (SELECT 0 AS i, f.k AS v, 1 / nn.c AS s FROM f, nn
   UNION ALL SELECT q.i + 1, w.b, 0.85 * (sum(q.s * w.x) + max(q.d) * max(t.t)) + 0.15 * max(t.t)
-  FROM (SELECT r.i, r.v, r.s, sum(CASE WHEN deg.a IS NULL THEN r.s ELSE 0 END) OVER () AS d FROM r LEFT JOIN deg ON deg.a = r.v WHERE r.i < 20) q
+  FROM (SELECT r.i, r.v, r.s, sum(CASE WHEN deg.a IS NULL THEN r.s ELSE 0 END) OVER () AS d FROM r LEFT JOIN deg ON deg.a = r.v WHERE r.i < {rounds}) q
   JOIN w ON w.a = q.v JOIN t ON t.k = w.b GROUP BY q.i, w.b),
- score AS (SELECT {_P.format('v')} AS file_path, round(s, 6) AS score FROM r WHERE i = 20)"""
+ score AS (SELECT {_P.format('v')} AS file_path, round(s, 6) AS score FROM r WHERE i = {rounds})"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -258,7 +368,26 @@ def oracle_sql() -> dict[str, str]:
     ndef = f"(SELECT string_agg({_L}, chr(10) ORDER BY start_line, seq) FROM own WHERE file_path = {seed_path})"
     dep = "(SELECT string_agg('  ' || substr({0}, {1}), chr(10) ORDER BY {0}) FROM e WHERE {2} = {3})"
     cands = " UNION ALL ".join(f"SELECT {k} AS place, '{s}' AS s" for k, s in enumerate(["", ".ts", ".tsx", ".js", ".mjs", ".cjs", ".py", *[f"/index{x}" for x in (".ts", ".tsx", ".js", ".mjs", ".cjs", ".py")]]))
+    at = f"'{ROOT}/web/s' || {{0}} || CASE {{0}} % 3 WHEN 0 THEN '/index.ts' WHEN 1 THEN '.ts' ELSE '.tsx' END"
+    up = "CASE s_suppkey % 3 WHEN 0 THEN '../s' ELSE './s' END || (s_suppkey - {})"
+    told = [(up.format(1), "import", 1, 1, "main,two,Three"), ("'lodash'", "import", 2, 2, "map"), (up.format(2), "export", 3, 3, "x"), ("'MAX_' || s_nationkey", "constant", 4, 4, ""), ("'helper'", "function", 4, 4, ""), ("'Key' || s_nationkey", "type", 5, 5, "Foo,name,Bar"), ("'Level' || s_nationkey", "enum", 6, 6, ""), ("'Shape' || s_nationkey", "interface", 7, 9, ""), ("'Store' || s_nationkey", "class", 11, 16, "Injectable"), ("'load'", "method", 13, 15, "log"), ("'greet' || s_nationkey", "function", 17, 17, ""), ("'IN_EXPRESSION'", "constant", 18, 18, "")]
+    module = [("'j'", "import", 1, 1, "j,os"), ("'.m' || CASE s_suppkey WHEN 0 THEN 'none' ELSE (s_suppkey - 1)::VARCHAR END", "import", 2, 2, "g"), ("'C' || s_nationkey", "class", 5, 10, "app.route"), ("'LIMIT_' || s_nationkey", "constant", 6, 6, ""), ("'run'", "method", 9, 10, "staticmethod"), ("'top' || s_nationkey", "function", 12, 14, "")]
+    rows = lambda path, nodes: " UNION ALL ".join(f"SELECT {path} AS file_path, {n} AS name, '{k}' AS kind, (s_suppkey % 4 + {a})::BIGINT AS start_line, (s_suppkey % 4 + {b})::BIGINT AS end_line, '{r}' AS refs, {i}::BIGINT AS seq FROM supplier" for i, (n, k, a, b, r) in enumerate(nodes))
+    cyclic = "c AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e WHERE (a + b) % 5 = 0)"
+    corpus = f"""{_F}, d AS (SELECT src, count(*) AS h FROM e GROUP BY src), g AS (SELECT file_path, coalesce(h, 0) AS h FROM f LEFT JOIN d ON d.src = f.file_path),
+ r0 AS (SELECT i, v, s FROM r), moved AS (SELECT x.i, sum(abs(x.s - y.s)) AS delta FROM r0 x JOIN r0 y ON y.v = x.v AND y.i = x.i - 1 GROUP BY x.i), stop AS (SELECT min(i) AS i FROM moved WHERE delta < {rank.TOLERANCE}),
+ last AS (SELECT {_P.format('v')} AS file_path, s AS score FROM r0, stop WHERE r0.i = stop.i),
+ bl AS (SELECT file_path, score, substr(file_path, {len(ROOT) + 2}) || ' [score: ' || printf('%.4f', score) || ']' || chr(10) || '  constant LIMIT (L' || (h + 1) || ')' || chr(10) || '  function f (L' || (h + 4) || ')' || chr(10) AS block FROM g JOIN last USING (file_path)),
+ cut AS (SELECT block, row_number() OVER o AS place, sum(length(block)) OVER o AS total FROM bl WINDOW o AS (ORDER BY score DESC, file_path ROWS UNBOUNDED PRECEDING)),
+ fit AS (SELECT * FROM cut WHERE total <= {2048 * 3})"""
+    moved = "d AS (SELECT x.i, sum(abs(x.s - y.s)) AS delta FROM r x JOIN r y ON y.v = x.v AND y.i = x.i - 1 GROUP BY x.i), stop AS (SELECT min(i) AS i FROM d WHERE delta < 1e-4)"
     return {
+        "script_nodes": rows(at.format("s_suppkey"), told),
+        "module_nodes": rows(f"'{ROOT}/web/m' || s_suppkey || '.py'", module),
+        "script_edges": f"SELECT {at.format('s_suppkey')} AS src, {at.format('(s_suppkey - n)')} AS dst FROM supplier, (VALUES (1), (2)) v(n) WHERE s_suppkey >= n UNION ALL SELECT '{ROOT}/web/m' || s_suppkey || '.py', '{ROOT}/web/m' || (s_suppkey - 1) || '.py' FROM supplier WHERE s_suppkey >= 1",
+        "impact_cyclic": f"WITH RECURSIVE {_E}, {cyclic}, z AS (SELECT {seed_path} AS p, 0 AS depth UNION SELECT c.src, z.depth + 1 FROM z JOIN c ON c.dst = z.p WHERE z.depth < 60) SELECT p AS file_path, min(depth)::BIGINT AS depth FROM z GROUP BY p",
+        "pagerank_converged": f"WITH RECURSIVE {_E}, {_F}, {_rank('1 / nn.c', 60)}, {moved} SELECT {_P.format('v')} AS file_path, round(s, 6) AS score, stop.i::BIGINT AS rounds, true AS converged FROM r, stop WHERE r.i = stop.i",
+        "corpus_index": f"WITH RECURSIVE {_E}, {_rank('1 / nn.c', 100).replace('nn AS (', _F + ', nn AS (', 1)}, {corpus.replace(_F + ', ', '')} SELECT string_agg(block, '' ORDER BY place) || '[~' || ceil(max(total) / 3.0)::BIGINT || ' tokens]' AS text FROM fit",
         "edges_distinct": f"{graph_sql} SELECT src, dst FROM e",
         "out_degree": f"{graph_sql} SELECT src AS file_path, count(*) AS out_degree FROM e GROUP BY src",
         "in_degree": f"{graph_sql} SELECT dst AS file_path, count(*) AS in_degree FROM e GROUP BY dst",
@@ -271,12 +400,12 @@ def oracle_sql() -> dict[str, str]:
         "impact_closure": f"WITH RECURSIVE {_E}, z AS (SELECT {seed_path} AS p, 0 AS depth UNION SELECT e.src, z.depth + 1 FROM z JOIN e ON e.dst = z.p) SELECT p AS file_path, min(depth)::BIGINT AS depth FROM z GROUP BY p",
         "impact_ranked": f"{with_rank}, z AS (SELECT {seed_path} AS p, 0 AS depth UNION SELECT e.src, z.depth + 1 FROM z JOIN e ON e.dst = z.p) SELECT p AS file_path, min(depth)::BIGINT AS depth, max(score) AS score FROM z JOIN score ON score.file_path = z.p GROUP BY p",
         "pagerank_20": f"{with_rank} SELECT file_path, score FROM score",
-        "pagerank_loop_20": f"{with_rank} SELECT file_path, score FROM score",
+        "pagerank_kernel_20": f"{with_rank} SELECT file_path, score FROM score",
         "pagerank_focus_20": f"WITH RECURSIVE {_E}, {_F}, {_rank(f'CASE WHEN f.k = {FOCUS} THEN 1.0 ELSE 0.0 END')} SELECT file_path, score FROM score",
         "rank_top_files": f"{with_rank} SELECT file_path, score FROM score ORDER BY score DESC, file_path LIMIT 10",
         "map_budgeted": f"{with_rank}, {blocks} SELECT file_path, header, length, place, total FROM fit",
         "map_text": f"{with_rank}, {blocks}, b AS (SELECT place, total, header || chr(10) || (SELECT string_agg({_L} || chr(10), '' ORDER BY start_line, seq) FROM own WHERE own.file_path = fit.file_path) AS block FROM fit) SELECT string_agg(block, '' ORDER BY place) || '[~' || ceil(max(total) / 3.0)::BIGINT || ' tokens]' AS text FROM b",
-        "search_definitions": f"{graph_sql}, {_N} SELECT file_path, kind, name, start_line::BIGINT AS start_line FROM n WHERE contains(lower(name), 'green')",
+        "search_definitions": f"{graph_sql}, {_N} SELECT file_path, kind, name, start_line::BIGINT AS start_line FROM n WHERE contains(lower(name), 'widget')",
         "search_by_kind": f"{graph_sql}, {_N} SELECT file_path, kind, name, start_line::BIGINT AS start_line FROM n WHERE kind = 'constant'",
         "summary_counts": f"{graph_sql}, {_N} SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM n) AS definitions, (SELECT count(*) FROM e) AS edges",
         "stats_counts": f"{graph_sql}, {_N} SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM own) AS definitions, (SELECT count(*) FROM e) AS edges",
