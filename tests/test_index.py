@@ -7,6 +7,7 @@ import time
 
 import pytest
 
+import weftmap
 from weftmap import cli
 from weftmap.errors import DiscoveryError, ParseError, WeftError, log
 from weftmap.plans import queries as q
@@ -18,9 +19,9 @@ from weftmap.sources.files import parse_files, parse_sources
 from weftmap.sources.ignore import Ignore
 
 FILES = {
-    "index.ts": "// start\nimport type { User, Config } from './types';\nimport { make, apply } from './utils';\n\nexport function list(config: Config): User[] {\n  return apply([make('1')], config);\n}\n",
-    "types.ts": "export interface User {\n  id: string;\n}\n\nexport interface Config {\n  most: number;\n}\n\nexport type UserId = string;\n",
-    "utils.ts": "import type { User, Config, UserId } from './types';\n\nexport function make(id: UserId): User {\n  return { id };\n}\n\nexport function apply(users: User[], config: Config): User[] {\n  return users;\n}\n",
+    "shop.ts": "import { Basket } from './model';\nimport { net } from './price';\n\n/** All that is paid. */\nexport async function total(basket: Basket) {\n  let sum = 0;\n  for (const item of basket.items) sum += net(item);\n  return sum;\n}\n",
+    "model.ts": "export enum Tax { Low, High }\n\nexport class Item {\n  price = 0;\n  tax = Tax.Low;\n}\n\nexport interface Basket {\n  items: Item[];\n}\n",
+    "price.ts": "import { Item, Tax } from './model';\n\nexport const RATE_HIGH = 19;\nexport const net = (item: Item) => item.price;\n",
     "package.json": '{"dependencies": {"lodash": "1"}, "devDependencies": {"vitest": "2"}}',
     "README.md": "text",
 }
@@ -62,7 +63,7 @@ def test_ignore_rules(rules, path, ignored):
 
 def test_parse(spark, project):
     rows = {os.path.basename(r["file_path"]): r for r in parse_files(spark, discover(project)).collect()}
-    assert {k: len(r["nodes"]) for k, r in rows.items()} == {"index.ts": 3, "types.ts": 3, "utils.ts": 3}
+    assert {k: len(r["nodes"]) for k, r in rows.items()} == {"shop.ts": 3, "model.ts": 3, "price.ts": 3}
     assert all(r["parse_time_ms"] >= 0 for r in rows.values())
     with pytest.raises(Exception, match="Failed to read"):
         parse_files(spark, [project + "/gone.ts"]).collect()
@@ -73,21 +74,21 @@ def test_parse(spark, project):
 
 def test_answers(spark, project):
     index = build_index(spark, project)
-    assert {(os.path.basename(r["src"]), os.path.basename(r["dst"])) for r in index.edges.collect()} == {("index.ts", "types.ts"), ("index.ts", "utils.ts"), ("utils.ts", "types.ts")}
+    assert {(os.path.basename(r["src"]), os.path.basename(r["dst"])) for r in index.edges.collect()} == {("shop.ts", "model.ts"), ("shop.ts", "price.ts"), ("price.ts", "model.ts")}
     scores = {os.path.basename(r["file_path"]): r["score"] for r in index.scores.collect()}
-    assert abs(scores["types.ts"] - 0.520869) < 2e-6 and abs(scores["utils.ts"] - 0.281551) < 2e-6 and abs(scores["index.ts"] - 0.197580) < 2e-6
+    assert abs(scores["model.ts"] - 0.520869) < 2e-6 and abs(scores["price.ts"] - 0.281551) < 2e-6 and abs(scores["shop.ts"] - 0.197580) < 2e-6
     assert index.ranked.iterations == 13
-    assert q.map_text(index) == "types.ts [score: 0.5209]\n  interface User (L1)\n  interface Config (L5)\n  type UserId (L9)\nutils.ts [score: 0.2816]\n  function make (L3)\n  function apply (L7)\nindex.ts [score: 0.1976]\n  function list (L5)\n[~68 tokens]"
-    assert q.search_text(index, "MAKE") == "1 match\n\nfunction make in utils.ts:L3" and q.search_text(index, "none at all") == "0 matches"
-    assert q.search_text(index, "./types").startswith("2 matches\n\nimport ./types in index.ts:L2")
-    assert search(index.nodes, "", "interface").count() == 2 and search(index.nodes, "", "nothing").count() == 0
-    assert q.impact_text(index, project + "/types.ts").split("\n")[0] == "3 files affected"
-    assert q.impact_text(index, project + "/index.ts") == "1 file affected\n\nindex.ts [score: 0.1976]"
+    assert q.map_text(index) == "model.ts [score: 0.5209]\n  enum Tax (L1)\n  class Item (L3)\n  interface Basket (L8)\nprice.ts [score: 0.2816]\n  constant RATE_HIGH (L3)\n  function net (L4)\nshop.ts [score: 0.1976]\n  function total (L5)\n[~67 tokens]"
+    assert q.search_text(index, "TOT") == "1 match\n\nfunction total in shop.ts:L5" and q.search_text(index, "none at all") == "0 matches"
+    assert q.search_text(index, "./model").startswith("2 matches\n\nimport ./model in price.ts:L1")
+    assert search(index.nodes, "", "interface").count() == 1 and search(index.nodes, "", "nothing").count() == 0
+    assert q.impact_text(index, project + "/model.ts").split("\n")[0] == "3 files affected"
+    assert q.impact_text(index, project + "/shop.ts") == "1 file affected\n\nshop.ts [score: 0.1976]"
     assert q.impact_text(index, project + "/no.ts") == "1 file affected\n\nno.ts [score: 0.0000]"
-    assert q.summary_text(index) == "## Project Stats\n  Files: 3\n  Definitions: 9\n  Edges: 3\n\n## Key Files\n  types.ts [score: 0.5209]\n  utils.ts [score: 0.2816]\n  index.ts [score: 0.1976]\n\n## Tech Stack\n  lodash\n  vitest"
+    assert q.summary_text(index) == "## Project Stats\n  Files: 3\n  Definitions: 9\n  Edges: 3\n\n## Key Files\n  model.ts [score: 0.5209]\n  price.ts [score: 0.2816]\n  shop.ts [score: 0.1976]\n\n## Tech Stack\n  lodash\n  vitest"
     assert "  Definitions: 6\n  Edges:       3\n  Cache:       " in q.stats_text(index)
     assert json.loads(q.json_text(index))["metadata"]["edgeCount"] == 3
-    focused = build_index(spark, project, focus="index.ts")
+    focused = build_index(spark, project, focus="shop.ts")
     assert focused.ranked.iterations == 28
     index.views()
     assert spark.sql("SELECT count(*) FROM edges JOIN scores ON dst = file_path").first()[0] == 3
@@ -116,14 +117,14 @@ def test_cache(spark, project, monkeypatch):
     again = build_index(spark, project)
     assert not parsed and sorted(map(tuple, again.nodes.drop("references").collect())) == want
     time.sleep(0.01)
-    put(project, {"utils.ts": FILES["utils.ts"] + "export function more() {}\n"})
+    put(project, {"price.ts": FILES["price.ts"] + "export function more() {}\n"})
     assert not cache.is_valid(entry, project, paths)
     partly = build_index(spark, project, incremental=True)
-    assert [os.path.basename(p) for p in parsed[0]] == ["utils.ts"] and partly.nodes.count() == 10 and partly.files.count() == 3
+    assert [os.path.basename(p) for p in parsed[0]] == ["price.ts"] and partly.nodes.count() == 10 and partly.files.count() == 3
     put(project, {"new.py": "X_Y = 1\n"})
     assert not cache.is_valid(cache.read(project), project, discover(project))
     os.remove(project + "/new.py")
-    os.remove(project + "/utils.ts")
+    os.remove(project + "/price.ts")
     assert not cache.is_valid(cache.read(project), project, discover(project))
     manifest = os.path.join(project, cache.FOLDER, "manifest.json")
     for broken in ("{", "[]", '{"version": "x"}', '{"no": 1}'):
@@ -148,14 +149,37 @@ def test_commands(spark, project, capsys):
         return cli.main(["--root", project, *args], spark, out), out.getvalue()
 
     assert run("map", "--budget", "10") == (0, "[~0 tokens]\n")
-    assert run("map")[1].startswith("types.ts [score: 0.5209]")
-    assert run("search", "User", "--kind", "interface")[1] == 'Search results for "User"\n1 match\n\n  interface User in types.ts:L1\n\n'
-    assert run("impact", "types.ts")[1].startswith("Impact analysis: types.ts\n3 affected files\n\n  types.ts [score: 0.5209]\n")
+    assert run("map")[1].startswith("model.ts [score: 0.5209]")
+    assert run("search", "Basket", "--kind", "interface")[1] == 'Search results for "Basket"\n1 match\n\n  interface Basket in model.ts:L8\n\n'
+    assert run("impact", "model.ts")[1].startswith("Impact analysis: model.ts\n3 affected files\n\n  model.ts [score: 0.5209]\n")
     assert run("stats")[1].startswith("Weftmap Stats\n\n  Files:       3\n")
     for bad in ("0", "-1", "x"):
         assert run("map", "--budget", bad) == (1, "")
     assert "Error: Invalid budget value\nHint: Provide a positive integer" in capsys.readouterr().err
     assert cli.main(["--root", project + "/none", "stats"], spark, io.StringIO()) == 1
+    assert run("map", "--budget", "12abc") == run("map", "--budget", "12.9") == run("map", "--budget", "12") and q.checked_budget(" +7.5x") == 7
+    focused = run("map", "--focus", "shop.ts")
+    assert focused[0] == 0 and focused[1].startswith("shop.ts [score: ") and focused == run("map", "shop.ts")
+    with pytest.raises(SystemExit) as e:
+        cli.main(["--version"])
+    assert e.value.code == 0 and capsys.readouterr().out.strip() == weftmap.__version__
+
+
+def test_unreadable_file_is_a_parse_error(spark, project, monkeypatch, capsys):
+    import weftmap.plans.index as plans
+
+    monkeypatch.setattr(plans, "discover", lambda root, extra: [f"{root}/shop.ts", f"{root}/gone.ts"])
+    monkeypatch.setattr(plans.cache, "changed", lambda *a: [])
+    with pytest.raises(ParseError) as e:
+        build_index(spark, project, use_cache=False)
+    assert e.value.message == f"Failed to read {project}/gone.ts: No such file or directory" and e.value.hint and e.value.code == "PARSE_ERROR"
+    assert cli.main(["--root", project, "stats"], spark, io.StringIO()) == 1
+    assert "Error: Failed to read" in capsys.readouterr().err
+
+
+def test_cache_without_fingerprints(project):
+    paths = discover(project)
+    assert cache.changed({"version": cache.VERSION}, project, paths) == paths and not cache.is_valid({"version": cache.VERSION}, project, paths)
 
 
 def test_log_goes_to_stderr(capsys):
@@ -169,10 +193,10 @@ def test_server(spark, project):
         {"id": 1, "method": "initialize"},
         {"method": "notifications/initialized"},
         {"id": 2, "method": "tools/list"},
-        {"id": 3, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "make"}}},
+        {"id": 3, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "total"}}},
         {"id": 4, "method": "tools/call", "params": {"name": "impact", "arguments": {"path": "../../etc/passwd"}}},
         {"id": 5, "method": "tools/call", "params": {"name": "map", "arguments": {"budget": 40000}}},
-        {"id": 6, "method": "resources/read", "params": {"uri": "weftmap://file/types.ts"}},
+        {"id": 6, "method": "resources/read", "params": {"uri": "weftmap://file/model.ts"}},
         {"id": 7, "method": "tools/call", "params": {"name": "context", "arguments": {"path": "nope.ts"}}},
         {"id": 8, "method": "nothing"},
         {"id": 9, "method": "tools/call", "params": {"name": "search", "arguments": {}}},
@@ -187,14 +211,37 @@ def test_server(spark, project):
     text = lambda i: by[i]["result"]["content"][0]["text"]
     assert by[None]["error"]["code"] == -32700 and len(got) == 13
     assert [t["name"] for t in by[2]["result"]["tools"]] == ["map", "context", "search", "impact", "summary"]
-    assert text(3) == "1 match\n\nfunction make in utils.ts:L3"
+    assert text(3) == "1 match\n\nfunction total in shop.ts:L5"
     assert text(4) == q.OUTSIDE and by[4]["result"]["isError"]
     assert by[5]["error"]["code"] == by[9]["error"]["code"] == -32602 and by[8]["error"]["code"] == -32601
-    assert by[6]["result"]["contents"][0]["text"].startswith("# types.ts [score: 0.5209]") and "(none)" in text(7)
+    assert by[6]["result"]["contents"][0]["text"].startswith("# model.ts [score: 0.5209]") and "(none)" in text(7)
     assert by[10]["result"]["contents"][0]["text"] == q.OUTSIDE
     assert by[11]["result"]["contents"][0]["mimeType"] == "text/plain" and "Definitions: 9" in text(12)
 
 
+def test_server_survives_any_request(spark, project):
+    def broken(spark, root, focus=None):
+        if focus:
+            raise DiscoveryError("no such place", "look elsewhere")
+        raise RuntimeError("job aborted\nand more")
+
+    server, out = Server(spark, project, broken), io.StringIO()
+    call = lambda name, **given: server.answer({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": given}})
+    assert call("summary")["result"] == {"content": [{"type": "text", "text": "Error: job aborted"}], "isError": True}
+    assert call("map", query="shop.ts")["result"]["content"][0]["text"] == "Error: no such place\nHint: look elsewhere"
+    assert server.answer({"id": 2, "method": "resources/read", "params": {"uri": "weftmap://map"}})["error"]["code"] == -32603
+    for bad in ([], 3, "x", None, {"id": 4}, {"id": 5, "method": 7}):
+        assert server.answer(bad)["error"]["code"] == -32600
+    for bad in ([1], "x"):
+        assert server.answer({"id": 6, "method": "ping", "params": bad})["error"]["code"] == -32602
+        assert server.answer({"id": 6, "method": "tools/call", "params": {"name": "search", "arguments": bad}})["error"]["code"] == -32602
+    serve(spark, project, ["[]\n", "{\n", '{"id": 9, "method": "ping"}\n'], out)
+    assert [json.loads(x).get("error", {}).get("code") for x in out.getvalue().splitlines()] == [-32600, -32700, None]
+    put(project, {"a b/c d.ts": "export const DEEP_DOWN = 1;\n"})
+    got = Server(spark, project).resource("weftmap://file/a%20b/c%20d.ts")["contents"][0]["text"]
+    assert got.startswith("# a b/c d.ts") and "constant DEEP_DOWN (L1)" in got
+
+
 def test_tool_schemas_are_small():
     assert len(json.dumps(TOOLS)) < 4000 and all(len(json.dumps(t)) < 1500 for t in TOOLS)
     assert Server

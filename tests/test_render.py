@@ -25,16 +25,25 @@ def text(spark, data, budget=2048):
     return render.render_map(files, nodes, scores, ROOT, budget).first()["text"]
 
 
-THREE = [("src/a.ts", 0.5, [("function", "doWork", 5), ("class", "MyClass", 25), ("import", "./b", 1)]), ("src/b.ts", 0.3, [("function", "helper", 2)]), ("src/c.ts", 0.1, [("interface", "Config", 1)])]
+THREE = [("lib/core.py", 0.42, [("class", "Engine", 3), ("method", "run", 9), ("import", "os", 1)]), ("lib/io.py", 0.31, [("function", "load_all", 4)]), ("main.py", 0.27, [("constant", "LIMIT", 2)])]
 
 
-def test_goldens(spark):
-    assert text(spark, THREE) == "src/a.ts [score: 0.5000]\n  function doWork (L5)\n  class MyClass (L25)\nsrc/b.ts [score: 0.3000]\n  function helper (L2)\nsrc/c.ts [score: 0.1000]\n  interface Config (L1)\n[~56 tokens]"
-    assert text(spark, [("src/c.ts", 0.15, []), ("src/a.ts", 0.6, []), ("src/b.ts", 0.25, [])]) == "src/a.ts [score: 0.6000]\nsrc/b.ts [score: 0.2500]\nsrc/c.ts [score: 0.1500]\n[~25 tokens]"
-    assert text(spark, [("src/main.ts", 1, [("function", "bootstrap", 1), ("interface", "AppConfig", 17), ("constant", "VERSION", 27)])]).endswith("\n[~36 tokens]")
-    small = [("src/a.ts", 0.5, [("function", "doWork", 1)]), ("src/b.ts", 0.3, [("function", "helper", 1)]), ("src/c.ts", 0.2, [("function", "util", 1)])]
-    assert text(spark, small, 20) == "src/a.ts [score: 0.5000]\n  function doWork (L1)\n[~16 tokens]"
-    assert text(spark, []) == "[~0 tokens]" and text(spark, THREE, 1) == "[~0 tokens]"
+def plain(data, budget=2048):
+    """The map by its rules: best first, whole blocks while they fit three characters a token, and a footer."""
+    out, used = "", 0
+    for f, s, defs in sorted(data, key=lambda x: (-x[1], x[0])):
+        block = f"{f} [score: {s:.4f}]\n" + "".join(f"  {k} {n} (L{line})\n" for k, n, line in sorted(defs, key=lambda d: d[2]) if k not in ("import", "export"))
+        if used + len(block) > budget * 3:
+            break
+        out, used = out + block, used + len(block)
+    return f"{out}[~{-(-used // 3)} tokens]"
+
+
+def test_maps_by_their_rules(spark):
+    alone = [("main.py", 1, [("function", "start", 1), ("type", "Options", 8)])]
+    for data, budget in ((THREE, 2048), (THREE, 25), (THREE, 10), (THREE, 1), (alone, 2048), ([], 2048), ([(f, s, []) for f, s, _ in reversed(THREE)], 2048)):
+        assert text(spark, data, budget) == plain(data, budget)
+    assert text(spark, THREE, 25) == "lib/core.py [score: 0.4200]\n  class Engine (L3)\n  method run (L9)\n[~22 tokens]"
 
 
 def test_ties_missing_scores_and_cut_at_first_overflow(spark):
@@ -55,20 +64,20 @@ def test_budget_is_kept(spark, budget):
 
 def test_context(spark):
     files, nodes, scores = index(spark, THREE)
-    edges = spark.createDataFrame([(f"{ROOT}/src/a.ts", f"{ROOT}/src/{x}.ts") for x in "cb"], "src string, dst string")
+    edges = spark.createDataFrame([(f"{ROOT}/lib/core.py", f"{ROOT}/{x}.py") for x in ("main", "lib/io")], "src string, dst string")
     of = lambda p: render.context_text(f"{ROOT}/{p}", nodes, edges, scores, ROOT).first()["text"]
-    assert of("src/a.ts") == "# src/a.ts [score: 0.5000]\n\n## Definitions\n  function doWork (L5)\n  class MyClass (L25)\n\n## Dependencies\n  src/b.ts\n  src/c.ts\n\n## Dependents\n(none)"
-    assert of("src/b.ts").endswith("## Dependencies\n(none)\n\n## Dependents\n  src/a.ts")
+    assert of("lib/core.py") == "# lib/core.py [score: 0.4200]\n\n## Definitions\n  class Engine (L3)\n  method run (L9)\n\n## Dependencies\n  lib/io.py\n  main.py\n\n## Dependents\n(none)"
+    assert of("lib/io.py").endswith("## Dependencies\n(none)\n\n## Dependents\n  lib/core.py")
     assert of("none.ts") == "# none.ts [score: 0.0000]\n\n## Definitions\n(none)\n\n## Dependencies\n(none)\n\n## Dependents\n(none)"
 
 
 def test_json(spark):
     files, nodes, scores = index(spark, [*THREE, ("src/d.ts", None, []), ("src/e.ts", 0.00000525, [])])
-    edges = spark.createDataFrame([(f"{ROOT}/src/a.ts", f"{ROOT}/src/b.ts")] * 2, "src string, dst string")
+    edges = spark.createDataFrame([(f"{ROOT}/lib/core.py", f"{ROOT}/lib/io.py")] * 2, "src string, dst string")
     out = render.render_json(files, nodes, edges, scores, ROOT)
     got = json.loads(out)
-    assert [f["filePath"] for f in got["files"]] == [f"src/{x}.ts" for x in "abced"] and got["files"][4]["definitions"] == []
-    assert got["files"][0]["definitions"] == [{"name": "doWork", "kind": "function", "startLine": 5, "endLine": 5}, {"name": "MyClass", "kind": "class", "startLine": 25, "endLine": 25}]
+    assert [f["filePath"] for f in got["files"]] == ["lib/core.py", "lib/io.py", "main.py", "src/e.ts", "src/d.ts"] and got["files"][4]["definitions"] == []
+    assert got["files"][0]["definitions"] == [{"name": "Engine", "kind": "class", "startLine": 3, "endLine": 3}, {"name": "run", "kind": "method", "startLine": 9, "endLine": 9}]
     n = got["metadata"].pop("tokenCount")
     assert got["metadata"] == {"fileCount": 5, "edgeCount": 1, "rootDir": ROOT}
     assert n == math.ceil((len(out) - len(str(n)) + 1) / 3)

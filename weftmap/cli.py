@@ -6,6 +6,7 @@ import argparse
 import os
 import sys
 
+from . import __version__
 from .errors import WeftError
 
 
@@ -19,11 +20,13 @@ def session():
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftmap")
+    p.add_argument("--version", action="version", version=__version__)
     p.add_argument("--root", default=".")
     p.add_argument("--resolution", choices=("compat", "strict"), default="compat")
     sub = p.add_subparsers(dest="command")
     m = sub.add_parser("map")
-    m.add_argument("focus", nargs="?")
+    m.add_argument("path", nargs="?", help="file to rank for, as --focus")
+    m.add_argument("--focus", help="file to rank for")
     m.add_argument("--budget", default="2048")
     sub.add_parser("stats")
     sub.add_parser("impact").add_argument("path")
@@ -48,7 +51,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
 
             serve(spark, root, sys.stdin, out)
             return 0
-        index = build_index(spark, root, getattr(args, "focus", None), args.resolution)
+        index = build_index(spark, root, (args.focus or args.path) if args.command == "map" else None, args.resolution)
         if args.command == "map":
             text = q.map_text(index, q.checked_budget(args.budget))
         elif args.command == "stats":

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from urllib.parse import unquote
 
+from . import __version__
 from .errors import WeftError, log
 from .plans import queries as q
 from .plans.index import build_index
@@ -75,39 +77,70 @@ class Server:
         if uri == "weftmap://map":
             text = q.map_text(self.build(self.spark, self.root), q.RESOURCE_BUDGET)
         elif uri.startswith("weftmap://file/"):
-            path = q.inside(self.root, uri.removeprefix("weftmap://file/"))
+            path = q.inside(self.root, unquote(uri.removeprefix("weftmap://file/")))
             text = q.OUTSIDE if path is None else q.file_text(self.build(self.spark, self.root), path)
         else:
             raise InvalidParams(f"Unknown resource: {uri}")
         return {"contents": [{"uri": uri, "text": text, "mimeType": "text/plain"}]}
 
     def answer(self, message: dict) -> dict | None:
-        method, params = message.get("method", ""), message.get("params") or {}
+        """The reply to a message; None for a notification. No request ends the server: a tool's failure is its answer, any other an error."""
+        if not isinstance(message, dict) or not isinstance(message.get("method"), str):
+            return _error(message.get("id") if isinstance(message, dict) else None, -32600, "Invalid request")
+        method, params = message["method"], message.get("params") or {}
         if "id" not in message:
             return None
         try:
+            if not isinstance(params, dict):
+                raise InvalidParams("params must be an object")
             if method == "initialize":
-                result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}, "resources": {}}, "serverInfo": {"name": "weftmap", "version": "1.0.0"}}
+                result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}, "resources": {}}, "serverInfo": {"name": "weftmap", "version": __version__}}
             elif method == "ping":
                 result = {}
             elif method == "tools/list":
                 result = {"tools": TOOLS}
             elif method == "tools/call":
-                result = self.call(params.get("name", ""), params.get("arguments") or {})
+                result = self.tool(params.get("name", ""), params.get("arguments") or {})
             elif method == "resources/list":
                 result = {"resources": [{"uri": "weftmap://map", "name": "map", "description": "Full ranked map"}]}
             elif method == "resources/templates/list":
                 result = {"resourceTemplates": [{"uriTemplate": "weftmap://file/{path}", "name": "file", "description": "A file with its dependencies"}]}
             elif method == "resources/read":
-                result = self.resource(params.get("uri", ""))
+                result = self.resource(str(params.get("uri", "")))
             else:
-                return {"jsonrpc": "2.0", "id": message["id"], "error": {"code": -32601, "message": f"Unknown method: {method}"}}
+                return _error(message["id"], -32601, f"Unknown method: {method}")
         except InvalidParams as e:
-            return {"jsonrpc": "2.0", "id": message["id"], "error": {"code": -32602, "message": str(e)}}
+            return _error(message["id"], -32602, str(e))
         except WeftError as e:
-            result = {"content": [{"type": "text", "text": f"Error: {e.message}\nHint: {e.hint}"}], "isError": True}
+            return _error(message["id"], -32603, e.message)
+        except Exception as e:  # a Spark or system failure of one request
+            log("error", "request failed", {"method": method, "error": type(e).__name__})
+            return _error(message["id"], -32603, _first_line(e))
         return {"jsonrpc": "2.0", "id": message["id"], "result": result}
 
+    def tool(self, name: str, given: dict) -> dict:
+        """A tool's answer, its failure included."""
+        if not isinstance(given, dict):
+            raise InvalidParams("arguments must be an object")
+        try:
+            return self.call(name, given)
+        except InvalidParams:
+            raise
+        except WeftError as e:
+            text = f"Error: {e.message}\nHint: {e.hint}"
+        except Exception as e:
+            log("error", "tool failed", {"tool": name, "error": type(e).__name__})
+            text = f"Error: {_first_line(e)}"
+        return {"content": [{"type": "text", "text": text}], "isError": True}
+
+
+def _first_line(e: Exception) -> str:
+    return (str(e).strip().splitlines() or [type(e).__name__])[0]
+
+
+def _error(request, code: int, message: str) -> dict:
+    return {"jsonrpc": "2.0", "id": request, "error": {"code": code, "message": message}}
+
 
 def serve(spark, root: str, lines, out) -> None:
     server = Server(spark, root)
@@ -116,9 +149,11 @@ def serve(spark, root: str, lines, out) -> None:
         if not line.strip():
             continue
         try:
-            reply = server.answer(json.loads(line))
+            message = json.loads(line)
         except ValueError:
-            reply = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "Parse error"}}
+            reply = _error(None, -32700, "Parse error")
+        else:
+            reply = server.answer(message)
         if reply is not None:
             out.write(json.dumps(reply) + "\n")
             out.flush()
