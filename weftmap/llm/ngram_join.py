@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     roots = components(links.where("s != root").select(F.col("s").alias("u"), F.col("root").alias("v")))
     of = classes.select("s", "w", "rep").join(linked, "s", "left").join(roots, F.col("s") == F.col("node"), "left")
     of = of.select("s", F.coalesce("root", "s").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "rep")
-    least = of.groupBy("root").agg(F.min("rep").alias("least"))
+    least = materialize(of.groupBy("root").agg(F.min("rep").alias("least")), "least")
     of = of.join(least, "root").select(F.col("s").alias("of_s"), "n_links", "least")
     out = light.select("doc_id", "th", "s", "n_shingles").join(of, (F.col("s") == F.col("of_s")) & (F.col("n_shingles") > 0), "left")
     lone = F.col("of_s").isNull()
