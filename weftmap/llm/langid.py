@@ -31,6 +31,8 @@ from .common import batches, carry, columns, held_out, text_bytes
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 TRAIN_DOCS, TRAIN_WINDOWS, FULL_LANGS, EPOCHS = 250, 8, 64, 6
+#: Parts of a language in which training texts are looked for.
+PARTS = 64
 UND = "und"
 
 
@@ -140,9 +142,10 @@ def sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, full_langs: int = FULL_
     kinds = light.groupBy("wm_lang", "wm_h").agg(F.min("doc_id").alias("wm_id"))
     langs = may.select("lang").distinct().count()
     each = min(docs_each, max(1, docs_each * full_langs // max(1, langs)))
-    # Spark cuts each partition to its first ones before it brings a language together
-    w = Window.partitionBy("wm_lang").orderBy("wm_h")
-    chosen = kinds.withColumn("wm_n", F.row_number().over(w)).where(F.col("wm_n") <= each).select("wm_lang", "wm_h", "wm_id").collect()
+    # the first of each part of a language, then of these, so no task sees all texts of one language
+    first = lambda df, *by: df.withColumn("wm_n", F.row_number().over(Window.partitionBy(*by).orderBy("wm_h"))).where(F.col("wm_n") <= each).drop("wm_n")
+    parts = first(kinds.withColumn("wm_part", F.pmod(F.shiftright("wm_h", 32), F.lit(PARTS))), "wm_lang", "wm_part")
+    chosen = first(parts, "wm_lang").select("wm_lang", "wm_h", "wm_id").collect()
     if not chosen:
         return []
     given = F.broadcast(docs.sparkSession.createDataFrame(chosen, kinds.schema))
