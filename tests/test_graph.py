@@ -1,11 +1,14 @@
 """Resolution, graph, ranks and closure on edges given directly."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from weftmap.operators import graph, rank
 from weftmap.operators.closure import impact, ranked
 from weftmap.operators.resolve import resolve
+from weftmap.sources.shared import shared_dir
 
 
 def vertices(spark, names):
@@ -159,3 +162,12 @@ def test_dependencies(spark):
     e = edge_table(spark, [("a", "b"), ("b", "c"), ("d", "b")])
     names = lambda df: {r["file_path"] for r in df.collect()}
     assert names(graph.forward_deps(e, "a")) == {"b"} and names(graph.reverse_deps(e, "b")) == {"a", "d"} and names(graph.forward_deps(e, "zz")) == set()
+
+
+def test_rounds_leave_one_table_of_ranks(spark):
+    """Each round's table goes once the next is written."""
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "weftmap"
+    before = set(folder.glob("rank-*"))
+    got = rank.pagerank(vertices(spark, "abc"), edge_table(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")]), rounds=5, tolerance=0)
+    assert got.iterations == 5 and abs(sum(r["score"] for r in got.scores.collect()) - 1) < 1e-9
+    assert len(set(folder.glob("rank-*")) - before) == 1

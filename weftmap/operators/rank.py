@@ -4,7 +4,8 @@ new(v) = alpha (link(v) + dangling t(v)) + (1 - alpha) t(v), from 1 / N, all new
 scores from all old ones, until their L1 difference is below the tolerance.
 
 A round is a join with the edges, a sum, and a written table, of which the driver gets
-two sums: what moved, and what dangling files hold for the next round. Where it is asked
+two sums: what moved, and what dangling files hold for the next round. The table of the
+round before goes then. Where it is asked
 for, graphs of at most ``kernel_edges`` files and edges go through one numpy task
 instead, which gives the same scores and spares a small graph the rounds' scheduling.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
+from ..sources.shared import discard, materialize
 
 ALPHA, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 FOCUS_WEIGHT = 10.0
@@ -96,7 +97,8 @@ def pagerank(files: DataFrame, edges: DataFrame, alpha: float = ALPHA, rounds: i
     for done in range(1, rounds + 1):  # noqa: B007
         link = state.join(flows, state.file_path == flows.src).groupBy("dst").agg(F.sum(F.col("score") / F.col("k")).alias("link"))
         new = F.lit(alpha) * (F.coalesce("link", F.lit(0.0)) + F.lit(float(lost)) * F.col("t")) + F.lit(1 - alpha) * F.col("t")
-        state = materialize(state.join(link, state.file_path == link.dst, "left").select("file_path", "t", "dangling", F.col("score").alias("old"), new.alias("score")), "rank")
+        before, state = state, materialize(state.join(link, state.file_path == link.dst, "left").select("file_path", "t", "dangling", F.col("score").alias("old"), new.alias("score")), "rank")
+        discard(before)
         sums = state.agg(held, F.sum(F.abs(F.col("score") - F.col("old"))).alias("delta")).first()
         lost, converged = sums["lost"], tolerance > 0 and sums["delta"] < tolerance
         if converged:

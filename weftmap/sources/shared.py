@@ -7,9 +7,13 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables lie that this process has written.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset, a local one that goes at exit, or on a cluster an error, as executors couldn't share that."""
@@ -34,4 +38,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftmap/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``materialize`` wrote, once nothing will read it again: all made from it has been written."""
+    path = _WRITTEN.pop(table)
+    context = table.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
