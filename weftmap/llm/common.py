@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.shared import materialize, shared_dir
+from ..sources.shared import discard, materialize, shared_dir
 
-__all__ = ["CHUNK_BYTES", "as_strings", "batches", "carry", "chunks", "columns", "crc", "held_out", "materialize", "quoted", "shared_dir", "text_bytes", "trim"]
+__all__ = ["CHUNK_BYTES", "as_strings", "batches", "carry", "chunks", "columns", "crc", "discard", "held_out", "materialize", "quoted", "shared_dir", "text_bytes", "trim"]
 
 #: Bytes of text that a Python worker handles at a time (a longer text is handled alone).
 CHUNK_BYTES = 1_000_000

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules become one expression, so their number is bounded.
@@ -56,7 +56,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     """(host, trust, distrust) from links (src, dst, n) and seeds (host, trust, distrust weights).
 
     Both kinds run in one loop, as rows (kind, host). A round is one join and one
-    sum; the driver gets two sums a round. Mass that has nowhere to go returns to
+    sum; the driver gets two sums a round, and the table of the round before goes. Mass that has nowhere to go returns to
     the seeds. What moves shrinks by ``damping`` a round; if ``rounds`` end before it is
     less than ``tolerance``, that is an error (a tolerance of 0 asks for just so many rounds).
     """
@@ -71,12 +71,14 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     whole = [float(x or 0) for x in sums]
     both = F.array(*[F.struct(F.lit(k).alias("kind"), (F.coalesce(F.col(c), F.lit(0.0)) / F.lit(whole[k] or 1.0)).alias("seed")) for k, c in enumerate(("trust", "distrust"))])
     state = hosts.join(seeds, "host", "left").select("host", F.explode(both).alias("s")).select("s.kind", "host", "s.seed", F.col("s.seed").alias("r"))
-    state = materialize(state, "ranks")
+    state = last = materialize(state, "ranks")
     if flows.isEmpty():
         rounds = 0
     for _ in range(rounds):
         got = state.where("r > 0").join(flows, (state.kind == flows.kind) & (state.host == flows.src)).groupBy(flows.kind.alias("to_kind"), flows.dst.alias("to")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
         new = materialize(state.join(got, (F.col("kind") == F.col("to_kind")) & (F.col("host") == F.col("to")), "left").select("kind", "host", "seed", "r", F.coalesce("got", F.lit(0.0)).alias("got")), "ranks")
+        discard(last)
+        last = new
         moved = {x["kind"]: x["got"] for x in new.groupBy("kind").agg(F.sum("got").alias("got")).collect()}
         back = F.when(F.col("kind") == 0, F.lit(1 - damping * float(moved.get(0, 0.0)))).otherwise(F.lit(1 - damping * float(moved.get(1, 0.0))))
         new = new.withColumn("next", F.lit(damping) * F.col("got") + back * F.col("seed"))
