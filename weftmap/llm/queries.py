@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, ngram_join, quality, spm, sql, substring, toxicity, urls, wavelet
+from . import centroids, chat, decontam, exact, langid, ngram_join, panes, quality, spm, sql, substring, toxicity, urls, wavelet
 from .common import held_out
 
 
@@ -75,8 +75,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op12_pane_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.run(table(spark, sf_dir, "clicks"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_token_ids, op4_chat_format, op5_substring_dedup, op6_ngram_join, op7_decontaminate, op8_sentencepiece, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_token_ids, op4_chat_format, op5_substring_dedup, op6_ngram_join, op7_decontaminate, op8_sentencepiece, op9_language_id, op10_url_filter, op11_exact_dedup, op12_pane_revisions, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -78,5 +78,58 @@ SELECT d.doc_id, CASE WHEN c.c IS NULL THEN d.doc_id ELSE class_id END AS class_
 FROM d LEFT JOIN c ON c.w = d.w LEFT JOIN root ON root.c = c.c LEFT JOIN other ON other.a = c.c"""
 
 
+def op11() -> str:
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+o AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS FIRST, r))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, h AS text_sha256 FROM o"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit; each byte is followed by seven zeros, so that a step is the same for every bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def op12(n: int = 10, grace: int = 12, keep: int = 48) -> str:
+    hour, day = 3_600_000_000, 86_400_000_000
+    down = lambda x, by: f"(({x}) - ((({x}) % {by}) + {by}) % {by}) // {by}"
+    per_batch = f"(SELECT unnest(range(0, {n})) AS b)"
+    return f"""
+WITH a AS (SELECT click_id, epoch_us(ts) AS t, coalesce({down("epoch_us(arrived_at)", day)}, 0) AS d, coalesce(kind, 'none') AS kind, coalesce(CASE WHEN isfinite(value) THEN floor(value * 100 + 0.5)::BIGINT END, 0) AS cents, coalesce({_crc32("click_id::VARCHAR")}, 0) AS crc FROM clicks WHERE ts IS NOT NULL),
+q AS (SELECT *, ((d % {n}) + {n}) % {n} AS q FROM a),
+m AS (SELECT click_id, min({{'b': least({n - 1}, q + greatest(0, crc % 30 - 23)), 't': t - (d - q) * {day}, 'k': kind, 'c': cents}}) AS r FROM q GROUP BY click_id),
+e AS (SELECT click_id, r.b AS b, r.t AS t, r.k AS kind, r.c AS cents, {down("r.t", hour)} AS hour FROM m),
+w AS (SELECT g.b, max(top) AS w FROM {per_batch} g LEFT JOIN (SELECT b, max(t) AS top FROM e GROUP BY b) x ON x.b < g.b GROUP BY g.b),
+s AS (SELECT e.*, coalesce((hour + 1) * {hour} + {keep * hour} <= w, false) AS late FROM e JOIN w USING (b)),
+p AS (SELECT kind, hour, b, count(*) AS n, sum(cents)::BIGINT AS c FROM s WHERE NOT late GROUP BY kind, hour, b),
+first AS (SELECT kind, hour, min(b) AS first FROM p GROUP BY kind, hour),
+given AS (SELECT kind, hour, min(w.b) AS given FROM first JOIN w ON w.b >= first AND (hour + 1) * {hour} + {grace * hour} <= w GROUP BY kind, hour),
+every AS (SELECT f.kind, f.hour, g.b, coalesce(p.n, 0) AS new, sum(coalesce(p.n, 0)) OVER o AS n, sum(coalesce(p.c, 0)) OVER o AS c, given FROM first f CROSS JOIN {per_batch} g LEFT JOIN p ON p.kind = f.kind AND p.hour = f.hour AND p.b = g.b LEFT JOIN given x ON x.kind = f.kind AND x.hour = f.hour WINDOW o AS (PARTITION BY f.kind, f.hour ORDER BY g.b)),
+told AS (SELECT *, lag(n) OVER o AS n0, lag(c) OVER o AS c0 FROM every WINDOW o AS (PARTITION BY kind, hour ORDER BY b)),
+out AS (SELECT b, hour, -1 AS click_id, n, c, 'emit' AS record, kind FROM told WHERE b = given
+ UNION ALL SELECT b, hour, -1, n0, c0, 'retract', kind FROM told WHERE b > given AND new > 0
+ UNION ALL SELECT b, hour, -1, n, c, 'replace', kind FROM told WHERE b > given AND new > 0
+ UNION ALL SELECT b, hour, -1, n, c, 'final', kind FROM told WHERE given IS NULL AND b = {n - 1}
+ UNION ALL SELECT b, hour, click_id, 1, cents, 'late', kind FROM s WHERE late)
+SELECT b::BIGINT AS batch, hour::BIGINT AS hour, click_id::BIGINT AS click_id, n::BIGINT AS n_rows, c::BIGINT AS cents, record, kind FROM out"""
+
+
+def op13(k: int = 40, rounds: int = 5, seed: int = 2, dims: int = 64, scale: int = 256) -> str:
+    near = lambda c: f"(SELECT r, vec_id, v, c, d FROM (SELECT v.r, v.vec_id, v.v, {c}.c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.v[i] - {c}.v[i]) * (v.v[i] - {c}.v[i])))::BIGINT AS d FROM v, {c}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED {near(f'c{i}')}")
+        steps.append(f"m{i} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY c, i) GROUP BY c)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h, v LIMIT {k})),
+{", ".join(steps)},
+a AS MATERIALIZED {near(f"c{rounds}")},
+t AS (SELECT c, sum(d)::BIGINT AS d FROM a GROUP BY c)
+SELECT vec_id, a.c::INT AS cluster, a.d AS distance, t.d AS cluster_inertia, (SELECT sum(d)::BIGINT FROM a) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a JOIN t USING (c) JOIN c{rounds} USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op5_substring_dedup": op5(), "op6_ngram_join": op6()}
+    return {"op1_quality_rules": op1(), "op4_chat_format": op4(), "op5_substring_dedup": op5(), "op6_ngram_join": op6(), "op11_exact_dedup": op11(), "op12_pane_revisions": op12(), "op13_centroids": op13()}
