@@ -34,7 +34,12 @@ HOUR = 3_600_000_000
 DAY = 24 * HOUR
 #: Added to times inside the query: Spark's watermark begins at 1970, times may lie before.
 SHIFT = 36_500 * DAY
-#: What a pane and a record are.
+#: How the query runs. The many small stores don't reserve room on disk for files that stay small.
+ROCKS = {
+    "stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "stateStore__rocksdb__allowFAllocate": "false",
+    "noDataMicroBatches__enabled": "false",
+}
 _PANES = "kind string, hour bigint, n_rows bigint, cents bigint"
 
 
@@ -92,9 +97,8 @@ class PaneState:
         if latest is not None:
             rows = rows.where(~closed(F.col("hour"), latest, self.keep))
         panes = rows.groupBy("kind", F.window("at", "1 hour")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("cents").alias("cents"))
-        with _settings(self.spark, stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", noDataMicroBatches__enabled="false"):
-            query = panes.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.base}/checkpoint").trigger(availableNow=True).start()
-            query.awaitTermination()
+        query = panes.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
         return max(p["batchId"] for p in query.recentProgress if p["numInputRows"])
 
     def snapshot(self, number: int) -> DataFrame:
@@ -145,7 +149,8 @@ def run(clicks: DataFrame, n_batches: int = 10, grace: int = 12 * HOUR, keep: in
         if b in tops:
             fs.rename(fs_path(f"{base}/batches/batch={b}"), fs_path(f"{base}/in/batch={b}"))
             late = spark.read.schema(schema).parquet(f"{base}/in/batch={b}").where(closed(F.col("hour"), latest, keep))
-            state.snapshot(state.feed(latest)).write.mode("overwrite").parquet(f"{base}/snapshots/{b}")
+            with _settings(spark, **ROCKS):
+                state.snapshot(state.feed(latest)).write.mode("overwrite").parquet(f"{base}/snapshots/{b}")
             now = spark.read.schema(_PANES).parquet(f"{base}/snapshots/{b}")
         change = revisions(now, snapshot, lifecycle, latest, grace, b + 1 == n_batches)
         told = change.select("hour", F.lit(-1).cast(schema["click_id"].dataType).alias("click_id"), "n_rows", "cents", "record", "kind")
