@@ -116,9 +116,12 @@ def revisions(now: DataFrame, before: DataFrame, lifecycle: DataFrame, latest: i
     """(kind, hour, n_rows, cents, record) of what two snapshots, the panes emitted before and the time ask for."""
     old = before.select("kind", "hour", F.col("n_rows").alias("n0"), F.col("cents").alias("c0"))
     known = lifecycle.select("kind", "hour", F.lit(True).alias("emitted"))
-    panes = now.join(old, ["kind", "hour"], "full_outer").join(known, ["kind", "hour"], "left")
+    # instead of a full outer join, which Spark never does without a shuffle, however small the tables are
+    new = now.join(old, ["kind", "hour"], "left")
+    gone = before.join(now.select("kind", "hour"), ["kind", "hour"], "left_anti").select("*", F.col("n_rows").alias("n0"), F.col("cents").alias("c0"))
+    panes = new.unionByName(gone).join(known, ["kind", "hour"], "left")
     emitted = F.coalesce("emitted", F.lit(False))
-    total = F.struct(F.coalesce("n_rows", "n0").alias("n_rows"), F.coalesce("cents", "c0").alias("cents"))
+    total = F.struct("n_rows", "cents")
     told = lambda name, value: F.struct(F.lit(name).alias("record"), value.alias("total"))
     due = closed(F.col("hour"), latest, grace)
     gave = F.when(~emitted & due, F.array(told("emit", total)))
@@ -128,6 +131,10 @@ def revisions(now: DataFrame, before: DataFrame, lifecycle: DataFrame, latest: i
     return panes.select("kind", "hour", F.explode(gave).alias("t")).select("kind", "hour", "t.total.*", "t.record")
 
 
+def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def run(clicks: DataFrame, n_batches: int = 10, grace: int = 12 * HOUR, keep: int = 48 * HOUR) -> DataFrame:
     """(batch, hour, click_id, n_rows, cents, record, kind): all that the batches write, in a folder of its own at every call."""
     spark = clicks.sparkSession
@@ -138,14 +145,14 @@ def run(clicks: DataFrame, n_batches: int = 10, grace: int = 12 * HOUR, keep: in
     staged = spark.read.schema(rows.schema).parquet(f"{base}/batches")
     tops = {r["batch"]: r["top"] for r in staged.groupBy("batch").agg(F.max("us").alias("top")).collect()}  # a row for each batch
     state = PaneState(spark, base, schema, keep)
-    nothing = spark.createDataFrame([], _PANES)
+    nothing = _empty(spark, StructType.fromDDL(_PANES))
     snapshot, lifecycle, latest = nothing, nothing.select("kind", "hour"), None
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(fs_path(f"{base}/in"))
     records = f"{base}/records"
     for b in range(n_batches):
-        now, late = snapshot, spark.createDataFrame([], schema)
+        now, late = snapshot, _empty(spark, schema)
         if b in tops:
             fs.rename(fs_path(f"{base}/batches/batch={b}"), fs_path(f"{base}/in/batch={b}"))
             late = spark.read.schema(schema).parquet(f"{base}/in/batch={b}").where(closed(F.col("hour"), latest, keep))
