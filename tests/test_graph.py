@@ -8,7 +8,7 @@ import pytest
 from weftmap.operators import graph, rank
 from weftmap.operators.closure import impact, ranked
 from weftmap.operators.resolve import resolve
-from weftmap.sources.shared import shared_dir
+from weftmap.sources.shared import materialize_bucketed, shared_dir
 
 
 def vertices(spark, names):
@@ -115,7 +115,7 @@ GRAPHS = [
 @pytest.mark.parametrize("case", GRAPHS)
 def test_pagerank(spark, case):
     names, pairs, want, weights, iterations = case
-    made = rank.pagerank(vertices(spark, names), edge_table(spark, [tuple(p) for p in pairs.split()]), personalization=weights, kernel_edges=rank.KERNEL_EDGES)
+    made = rank.pagerank(vertices(spark, names), edge_table(spark, [tuple(p) for p in pairs.split()]), personalization=weights)
     got = {r["file_path"]: r["score"] for r in made.scores.collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and made.converged
     for k, v in want.items():
@@ -129,17 +129,48 @@ def test_empty_graph(spark):
     assert made.scores.count() == 0 and made.iterations == 0 and made.converged
 
 
-@pytest.mark.parametrize("weights", [None, {"v3": 2.0, "v5": 1.0}])
-def test_loop_and_kernel_agree(spark, weights):
+def plain_pagerank(names, pairs, weights, rounds, tolerance):
+    at = {n: i for i, n in enumerate(names)}
+    known = [(at[a], at[b]) for a, b in pairs if a in at and b in at]
+    out = np.bincount([a for a, _ in known], minlength=len(names))
+    given = np.array([(weights or {}).get(n, 0.0) for n in names])
+    t = given / given.sum() if given.sum() > 0 else np.full(len(names), 1 / len(names))
+    score = np.full(len(names), 1 / len(names))
+    for done in range(1, rounds + 1):  # noqa: B007
+        new = (0.85 * score[out == 0].sum() + 0.15) * t
+        for a, b in known:
+            new[b] += 0.85 * score[a] / out[a]
+        moved, score = np.abs(new - score).sum(), new
+        if moved < tolerance:
+            return dict(zip(names, score, strict=True)), done, True
+    return dict(zip(names, score, strict=True)), done, False
+
+
+@pytest.mark.parametrize(("weights", "most"), [(None, 100_000), ({"v3": 2.0, "v5": 1.0}, 2)])
+def test_rounds_are_the_plain_ones(spark, monkeypatch, weights, most):
+    """Also where a file's edges lie in several parts."""
+    monkeypatch.setattr(rank, "PART_EDGES", most)
     rng = np.random.default_rng(8)
     names = [f"v{i}" for i in range(30)]
-    pairs = {(names[a], names[b]) for a, b in rng.integers(0, 30, (50, 2))}
-    given = vertices(spark, names), edge_table(spark, [*pairs, ("v1", "elsewhere")])
-    one = rank.pagerank(*given, personalization=weights, rounds=12, tolerance=1e-3, kernel_edges=rank.KERNEL_EDGES)
-    two = rank.pagerank(*given, personalization=weights, rounds=12, tolerance=1e-3)
-    a, b = ({r["file_path"]: r["score"] for r in x.scores.collect()} for x in (one, two))
-    assert one.iterations == two.iterations and one.converged == two.converged
-    assert set(a) == set(b) == set(names) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    pairs = sorted({(names[a], names[b]) for a, b in rng.integers(0, 30, (50, 2))} | {("v1", n) for n in names[5:25]} | {("v1", "elsewhere")})
+    made = rank.pagerank(vertices(spark, names), edge_table(spark, [*pairs, pairs[0]]), personalization=weights, rounds=12, tolerance=1e-3)
+    want, rounds, converged = plain_pagerank(names, pairs, weights, 12, 1e-3)
+    got = {r["file_path"]: r["score"] for r in made.scores.collect()}
+    assert (made.iterations, made.converged) == (rounds, converged)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_round_shuffles_no_edges(spark):
+    """Two exchanges: what files give and what they get. Edges and scores are read in their buckets."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = edge_table(spark, [("a", "b"), ("b", "a")])
+    flows = rank.dealt_edges(edges, spark.sql("select 'a' src, 1 parts union all select 'b', 1"), n)
+    state = materialize_bucketed(spark.sql("select 'a' file_path, 1.0D t, 1L k, 1 parts, 0.5D score, 0.5D old").repartition(n, "file_path"), "rank", n, "file_path")
+    plan = rank.one_round(state, flows, 0.85, 0.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 == plan.count("Exchange ")
+    assert "Exchange hashpartitioning(dst" in plan and plan.count("Bucketed: true") == 3
+    above = plan[: plan.index("weftmap_flows")]
+    assert "Exchange" not in above[above.rindex("ShuffledHashJoin") :]
 
 
 def test_impact(spark):

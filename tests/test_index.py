@@ -15,8 +15,9 @@ from weftmap.plans.index import build_index, search
 from weftmap.serve import TOOLS, Server, serve
 from weftmap.sources import cache
 from weftmap.sources.discover import discover
-from weftmap.sources.files import parse_files, parse_sources
+from weftmap.sources.files import parse_files, parse_sources, spread
 from weftmap.sources.ignore import Ignore
+from weftmap.sources.tree import LISTED, scan
 
 FILES = {
     "shop.ts": "import { Basket } from './model';\nimport { net } from './price';\n\n/** All that is paid. */\nexport async function total(basket: Basket) {\n  let sum = 0;\n  for (const item of basket.items) sum += net(item);\n  return sum;\n}\n",
@@ -102,42 +103,103 @@ def test_packages(tmp_path):
     assert q.packages(str(tmp_path)) is None
 
 
+def statuses(spark, root):
+    rows = cache.compare(scan(spark, root), cache.snapshot(spark, root, cache.read(root))).collect()
+    return {r["relative"]: r["status"] for r in rows}
+
+
 def test_cache(spark, project, monkeypatch):
-    paths = discover(project)
     assert cache.read(project) is None and q.cache_age(project) == "No cache"
+    assert statuses(spark, project) == dict.fromkeys(["shop.ts", "model.ts", "price.ts"], "added")
     first = build_index(spark, project)
     want = sorted(map(tuple, first.nodes.drop("references").collect()))
-    entry = cache.read(project)
-    assert cache.is_valid(entry, project, paths) and q.cache_age(project).endswith("ago")
+    assert set(statuses(spark, project).values()) == {"kept"} and q.cache_age(project).endswith("ago")
     import weftmap.plans.index as plans
 
     parsed = []
     real = plans.parse_files
-    monkeypatch.setattr(plans, "parse_files", lambda s, p: parsed.append(list(p)) or real(s, p))
+    monkeypatch.setattr(plans, "parse_files", lambda s, t: parsed.append(sorted(r["relative"] for r in t.collect())) or real(s, t))
     again = build_index(spark, project)
     assert not parsed and sorted(map(tuple, again.nodes.drop("references").collect())) == want
     time.sleep(0.01)
-    put(project, {"price.ts": FILES["price.ts"] + "export function more() {}\n"})
-    assert not cache.is_valid(entry, project, paths)
+    put(project, {"price.ts": FILES["price.ts"] + "export function more() {}\n", "new.py": "X_Y = 1\n"})
+    os.remove(project + "/shop.ts")
+    assert statuses(spark, project) == {"shop.ts": "removed", "price.ts": "changed", "new.py": "added", "model.ts": "kept"}
     partly = build_index(spark, project, incremental=True)
-    assert [os.path.basename(p) for p in parsed[0]] == ["price.ts"] and partly.nodes.count() == 10 and partly.files.count() == 3
-    put(project, {"new.py": "X_Y = 1\n"})
-    assert not cache.is_valid(cache.read(project), project, discover(project))
-    os.remove(project + "/new.py")
-    os.remove(project + "/price.ts")
-    assert not cache.is_valid(cache.read(project), project, discover(project))
+    assert parsed == [["new.py", "price.ts"]] and partly.files.count() == 3
+    assert {r["id"] for r in partly.nodes.where("file_path like '%price.ts'").collect()} >= {f"{project}/price.ts:more:5"}
+    assert set(statuses(spark, project).values()) == {"kept"} and cache.read(project)["snapshot"] == 2
+    put(project, {"new.py": "X_Z = 11\n"})
+    whole = build_index(spark, project)
+    assert parsed[1:] == [["model.ts", "new.py", "price.ts"]] and whole.files.count() == 3
+    assert sorted(os.listdir(os.path.join(project, cache.FOLDER)))[-2:] == ["snapshot-2", "snapshot-3"]
+    assert {r["name"] for r in partly.nodes.where("file_path like '%new.py'").collect()} == {"X_Y"}, "an index made before reads its own snapshot"
+    cache.clear(project)
+    assert cache.read(project) is None
+
+
+def test_broken_manifests(spark, project):
+    build_index(spark, project)
     manifest = os.path.join(project, cache.FOLDER, "manifest.json")
     for broken in ("{", "[]", '{"version": "x"}', '{"no": 1}'):
-        with open(manifest, "w", encoding="utf-8") as f:
-            f.write(broken)
+        put(project, {f"{cache.FOLDER}/manifest.json": broken})
         assert cache.read(project) is None
-    assert not cache.is_valid({"version": 99, "fingerprints": cache.fingerprints(project, paths)}, project, paths)
+    for other in ('{"version": 99, "snapshot": 1}', '{"version": 1}'):
+        put(project, {f"{cache.FOLDER}/manifest.json": other})
+        assert cache.snapshot(spark, project, cache.read(project)).count() == 0
+        assert build_index(spark, project).nodes.count() == 9
     os.remove(manifest)
     os.mkdir(manifest)
     with pytest.raises(OSError):
         cache.read(project)
 
 
+def test_scan_is_what_discovery_finds(spark, tmp_path):
+    """In few partitions and in many; contents, sizes and times; a tree named by a URI."""
+    files = {f"{a}/{b}/_f{n}.py": f"X{n} = '{a}'\n" for a in "abc" for b in ("p", "__q", "dist", ".h") for n in range(3)}
+    put(tmp_path, files | {"__init__.py": "", "top.ts": "é\n", ".gitignore": "b/\n*2.py\n", "c/skip/x.ts": "", "c/skip/deep/y.ts": ""})
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    want = discover(str(tmp_path), ("c/skip/",))
+    assert [os.path.relpath(p, tmp_path) for p in want] == ["__init__.py", *[f"{a}/{b}/_f{n}.py" for a in "ac" for b in ("__q", "p") for n in (0, 1)], "top.ts"]
+    for n in (1, 3, 50):
+        rows = scan(spark, str(tmp_path), ["c/skip/"], content=True, partitions=n).collect()
+        assert sorted(r["file_path"] for r in rows) == want
+        for r in rows:
+            s = os.stat(r["file_path"])
+            assert (r["size"], r["mtime_ms"]) == (s.st_size, s.st_mtime_ns / 1e6) and r["source"] == open(r["file_path"], encoding="utf-8").read()
+    assert scan(spark, str(tmp_path), partitions=50).rdd.getNumPartitions() > 3
+    uri = f"file://{tmp_path}"
+    assert sorted(r["file_path"] for r in scan(spark, uri, ["c/skip/"]).collect()) == [f"file://{p}" for p in want]
+    index = build_index(spark, uri, focus="top.ts")
+    assert index.nodes.where("file_path like 'file:///%/a/p/%'").count() == 2 and cache.read(uri)["snapshot"] == 1
+    assert q.inside(uri, "a/../top.ts") == uri + "/top.ts" and q.inside(uri, "../x") is None and q.packages(uri) is None
+    assert q.map_text(index).startswith("top.ts [score: ")
+    assert scan(spark, str(tmp_path / "c" / "skip")).count() == 2
+
+
+def test_parsing_is_dealt_over_all_cores(spark):
+    """A small input in one partition; a number that is asked for; a large input stays as it is."""
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one = spark.range(100).coalesce(1).selectExpr("concat('/f', id, '.py') file_path", "concat('X_', id, ' = 1') source")
+    assert parse_sources(one).rdd.getNumPartitions() == cores and parse_sources(one, 3).rdd.getNumPartitions() == 3
+    assert parse_sources(one).where("size(nodes) = 1").count() == 100
+    large = spark.range(0, 10**9, 1, 5).selectExpr("cast(id as string) file_path", "'x' source")
+    assert spread(large).rdd.getNumPartitions() == 5
+
+
+def test_registered_languages_reach_the_executors(spark):
+    from weftmap.functions import extract as languages
+
+    handlers, known = languages.registered()
+    languages.register(".row", "rows", lambda path, source: [{"name": x, "kind": "constant", "start_line": n, "end_line": n, "references": []} for n, x in enumerate(source.split(), 1)])
+    try:
+        got = parse_sources(spark.createDataFrame([("/a.row", "x y"), ("/b.py", "")], "file_path string, source string")).collect()
+    finally:
+        languages.HANDLERS.clear(), languages.LANGUAGES.clear()
+        languages.HANDLERS.update(handlers), languages.LANGUAGES.update(known)
+    assert {r["file_path"]: [n["id"] for n in r["nodes"]] for r in got} == {"/a.row": ["/a.row:x:1", "/a.row:y:2"], "/b.py": []}
+
+
 def test_empty_project(spark, tmp_path):
     index = build_index(spark, str(tmp_path))
     assert q.map_text(index) == "[~0 tokens]" and "Files: 0" in q.summary_text(index)
@@ -168,8 +230,9 @@ def test_commands(spark, project, capsys):
 def test_unreadable_file_is_a_parse_error(spark, project, monkeypatch, capsys):
     import weftmap.plans.index as plans
 
-    monkeypatch.setattr(plans, "discover", lambda root, extra: [f"{root}/shop.ts", f"{root}/gone.ts"])
-    monkeypatch.setattr(plans.cache, "changed", lambda *a: [])
+    real = plans.scan
+    gone = spark.createDataFrame([(f"{project}/gone.ts", "gone.ts", 1, 1.0)], LISTED)
+    monkeypatch.setattr(plans, "scan", lambda *a: real(*a).unionByName(gone))
     with pytest.raises(ParseError) as e:
         build_index(spark, project, use_cache=False)
     assert e.value.message == f"Failed to read {project}/gone.ts: No such file or directory" and e.value.hint and e.value.code == "PARSE_ERROR"
@@ -177,11 +240,6 @@ def test_unreadable_file_is_a_parse_error(spark, project, monkeypatch, capsys):
     assert "Error: Failed to read" in capsys.readouterr().err
 
 
-def test_cache_without_fingerprints(project):
-    paths = discover(project)
-    assert cache.changed({"version": cache.VERSION}, project, paths) == paths and not cache.is_valid({"version": cache.VERSION}, project, paths)
-
-
 def test_log_goes_to_stderr(capsys):
     log("info", "hello", {"a": 1})
     got = capsys.readouterr()
@@ -242,6 +300,18 @@ def test_server_survives_any_request(spark, project):
     assert got.startswith("# a b/c d.ts") and "constant DEEP_DOWN (L1)" in got
 
 
+def test_server_keeps_the_index_of_an_unchanged_tree(spark, project):
+    made = []
+    server = Server(spark, project, lambda *a: made.append(a[2]) or build_index(*a))
+    ask = lambda name, **given: server.call(name, given)["content"][0]["text"]
+    assert "Definitions: 9" in ask("summary") and ask("search", query="total").startswith("1 match")
+    assert made == [None]
+    ask("map", query="shop.ts"), ask("map", query="shop.ts")
+    assert made == [None, project + "/shop.ts"]
+    put(project, {"more.py": "AB = 1\n"})
+    assert "Definitions: 10" in ask("summary") and made == [None, project + "/shop.ts", None]
+
+
 def test_tool_schemas_are_small():
     assert len(json.dumps(TOOLS)) < 4000 and all(len(json.dumps(t)) < 1500 for t in TOOLS)
     assert Server

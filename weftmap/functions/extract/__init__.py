@@ -27,13 +27,18 @@ def register(extension: str, language: str, handler: Callable[[str, str], list[d
     HANDLERS[language] = handler
 
 
-def language_of(path: str) -> str | None:
-    return LANGUAGES.get(os.path.splitext(path)[1])
+def language_of(path: str, languages: dict[str, str] = LANGUAGES) -> str | None:
+    return languages.get(os.path.splitext(path)[1])
 
 
-def extract(path: str, source: str) -> list[dict]:
+def registered() -> tuple[dict, dict]:
+    """Handlers and languages as they are now, to go with a job to the executors."""
+    return dict(HANDLERS), dict(LANGUAGES)
+
+
+def extract(path: str, source: str, handlers: dict = HANDLERS, languages: dict[str, str] = LANGUAGES) -> list[dict]:
     """Nodes (id, name, kind, start_line, end_line, references, seq) of a file; none for other languages."""
-    handler = HANDLERS.get(language_of(path) or "")
+    handler = handlers.get(language_of(path, languages) or "")
     out: dict[str, dict] = {}
     for n in handler(path, source) if handler else ():
         out.setdefault(f"{path}:{n['name']}:{n['start_line']}", n)

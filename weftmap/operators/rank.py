@@ -3,28 +3,28 @@
 new(v) = alpha (link(v) + dangling t(v)) + (1 - alpha) t(v), from 1 / N, all new
 scores from all old ones, until their L1 difference is below the tolerance.
 
-A round is a join with the edges, a sum, and a written table, of which the driver gets
-two sums: what moved, and what dangling files hold for the next round. The table of the
-round before goes then. Where it is asked
-for, graphs of at most ``kernel_edges`` files and edges go through one numpy task
-instead, which gives the same scores and spares a small graph the rounds' scheduling.
+The edges are written once, in buckets of their source, and are read where they lie in
+every round: what a round shuffles is what each file gives away and what each gets. A file
+with very many edges has them in several parts, each in a bucket of its own, and gives to
+each part. The scores lie in buckets of their file, so they meet what files get without a
+shuffle. The driver gets two sums a round, observed while the round is written: what moved,
+and what dangling files hold for the next. The scores of the round before go then.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, materialize
+from ..sources.shared import discard, materialize, materialize_bucketed
 
 ALPHA, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 FOCUS_WEIGHT = 10.0
-#: Files and edges up to which one task may well hold the whole graph (some 100 MB): for code bases on one disk.
-KERNEL_EDGES = 1_000_000
+#: Edges of a file that lie in one part.
+PART_EDGES = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,64 +45,60 @@ def teleport(files: DataFrame, personalization: DataFrame | dict[str, float] | N
     return known.join(F.broadcast(sums)).select("file_path", F.when(F.coalesce("total", F.lit(0.0)) > 0, F.coalesce("weight", F.lit(0.0)) / F.col("total")).otherwise(F.lit(1.0) / F.col("n")).alias("t"))
 
 
-def _kernel(alpha: float, rounds: int, tolerance: float):
-    def run(table: pa.Table) -> pa.Table:
-        src, dst, t = table.column("src"), table.column("dst"), table.column("t")
-        is_file = np.asarray(pa.compute.is_null(dst))
-        order = np.flatnonzero(is_file)
-        names = src.take(pa.array(order)).combine_chunks()
-        t = t.to_numpy()[order].astype(float)
-        n = len(order)
-        edge = pa.array(np.flatnonzero(~is_file))
-        a = pa.compute.index_in(src.take(edge), names).to_numpy().astype(np.int64)
-        b = pa.compute.index_in(dst.take(edge), names).to_numpy().astype(np.int64)
-        degree = np.bincount(a, minlength=n)
-        share = 1.0 / np.maximum(degree, 1)
-        score = np.full(n, 1.0 / n)
-        done, converged = 0, False
-        for done in range(1, rounds + 1):  # noqa: B007
-            link = np.bincount(b, (score * share)[a], n)
-            new = alpha * (link + score[degree == 0].sum() * t) + (1 - alpha) * t
-            delta = np.abs(new - score).sum()
-            score = new
-            if tolerance > 0 and delta < tolerance:
-                converged = True
-                break
-        return pa.table({"file_path": names.cast(pa.string()), "score": score, "iterations": np.full(n, done, np.int32), "converged": np.full(n, converged)})
-
-    return run
-
-
-def pagerank(files: DataFrame, edges: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE, personalization: DataFrame | dict[str, float] | None = None, kernel_edges: int = 0) -> Ranked:
+def known_edges(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between files that are known, each once."""
+    known = files.select("file_path")
+    return edges.join(known.withColumnRenamed("file_path", "src"), "src", "left_semi").join(known.withColumnRenamed("file_path", "dst"), "dst", "left_semi").select("src", "dst").distinct()
+
+
+def dealt_edges(edges: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
+    """(src, part, dst) in buckets of (src, part)."""
+    part = F.when(F.col("parts") > 1, F.pmod(F.hash("dst"), F.col("parts"))).otherwise(0).cast("int")
+    dealt = edges.join(parts.select("src", "parts"), "src").select("src", part.alias("part"), "dst")
+    return materialize_bucketed(dealt.repartition(buckets, "src", "part"), "flows", buckets, "src", "part")
+
+
+def one_round(state: DataFrame, flows: DataFrame, alpha: float, lost: float) -> DataFrame:
+    """(file_path, t, k, parts, score, old): the scores of the next round."""
+    given = state.where("k > 0").select("file_path", (F.col("score") / F.col("k")).alias("gives"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # the edges are the larger side: they are streamed past a hash table of each bucket's givers
+    met = flows.join(given.hint("shuffle_hash"), (flows.src == given.file_path) & (flows.part == given.part))
+    link = met.groupBy("dst").agg(F.sum("gives").alias("link"))
+    new = F.lit(alpha) * (F.coalesce("link", F.lit(0.0)) + F.lit(lost) * F.col("t")) + F.lit(1 - alpha) * F.col("t")
+    return state.join(link.hint("shuffle_hash"), state.file_path == link.dst, "left").select("file_path", "t", "k", "parts", new.alias("score"), F.col("score").alias("old"))
+
+
+def pagerank(files: DataFrame, edges: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS, tolerance: float = TOLERANCE, personalization: DataFrame | dict[str, float] | None = None) -> Ranked:
     """Scores of all files; edges between files that aren't known are left out. ``tolerance`` 0 runs all rounds."""
     spark = files.sparkSession
     known = files.select("file_path").distinct()
-    edges = materialize(edges.join(known.withColumnRenamed("file_path", "src"), "src", "left_semi").join(known.withColumnRenamed("file_path", "dst"), "dst", "left_semi").select("src", "dst").distinct(), "edges")
+    edges = materialize(known_edges(known, edges), "edges")
     base = materialize(teleport(known, personalization), "teleport")
-    n, m = base.count(), edges.count()
+    n = base.count()
     if not n:
         return Ranked(spark.createDataFrame([], "file_path string, score double"), 0, True)
-    if n + m <= kernel_edges:
-        rows = edges.select("src", "dst", F.lit(None).cast("double").alias("t")).unionByName(base.select(F.col("file_path").alias("src"), F.lit(None).cast("string").alias("dst"), "t"))
-        made = materialize(rows.groupBy().applyInArrow(_kernel(alpha, rounds, tolerance), "file_path string, score double, iterations int, converged boolean"), "scores")
-        row = made.select("iterations", "converged").first()
-        return Ranked(made.select("file_path", "score"), row["iterations"], row["converged"])
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    flows = materialize(edges.join(degree, "src"), "flows")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("k"), F.ceil(F.count(F.lit(1)) / PART_EDGES).cast("int").alias("parts"))
+    flows = dealt_edges(edges, degree, buckets)
     one = F.lit(1.0 / n)
-    state = materialize(base.join(degree, base.file_path == degree.src, "left").select("file_path", "t", F.col("k").isNull().alias("dangling"), one.alias("old"), one.alias("score")), "rank")
-    held = F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost")
-    lost = state.agg(held).first()["lost"]
+    start = base.join(degree, base.file_path == degree.src, "left").select("file_path", "t", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("parts", F.lit(1)).alias("parts"), one.alias("score"), one.alias("old"))
+
+    def written(rows: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation(uuid.uuid4().hex)
+        lost = F.sum(F.when(F.col("k") == 0, F.col("score")).otherwise(0.0)).alias("lost")
+        rows = rows.observe(seen, lost, F.sum(F.abs(F.col("score") - F.col("old"))).alias("delta"))
+        return materialize_bucketed(rows, "rank", buckets, "file_path"), seen.get
+
+    state, sums = written(start.repartition(buckets, "file_path"))
     done, converged = 0, False
     for done in range(1, rounds + 1):  # noqa: B007
-        link = state.join(flows, state.file_path == flows.src).groupBy("dst").agg(F.sum(F.col("score") / F.col("k")).alias("link"))
-        new = F.lit(alpha) * (F.coalesce("link", F.lit(0.0)) + F.lit(float(lost)) * F.col("t")) + F.lit(1 - alpha) * F.col("t")
-        before, state = state, materialize(state.join(link, state.file_path == link.dst, "left").select("file_path", "t", "dangling", F.col("score").alias("old"), new.alias("score")), "rank")
+        before = state
+        state, sums = written(one_round(before, flows, alpha, float(sums["lost"] or 0.0)))
         discard(before)
-        sums = state.agg(held, F.sum(F.abs(F.col("score") - F.col("old"))).alias("delta")).first()
-        lost, converged = sums["lost"], tolerance > 0 and sums["delta"] < tolerance
+        converged = tolerance > 0 and sums["delta"] < tolerance
         if converged:
             break
+    discard(flows)
     return Ranked(state.select("file_path", "score"), done, converged)
 
 

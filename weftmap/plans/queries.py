@@ -10,7 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..errors import WeftError
+from ..errors import ParseError, WeftError
 from ..functions.paths import relative
 from ..functions.text import age, fixed4, plural
 from ..operators.closure import impact, ranked
@@ -18,6 +18,7 @@ from ..operators.graph import counts
 from ..operators.rank import top_files
 from ..operators.render import context_text, render_json, render_map
 from ..sources import cache
+from ..sources.tree import read_text, rooted
 from .index import Index, search
 
 #: Fixed limits and defaults.
@@ -28,8 +29,9 @@ OUTSIDE = "Error: path is outside project root"
 
 def inside(root: str, path: str) -> str | None:
     """The absolute path, if it is the root or below it (FLT-6)."""
-    root = os.path.abspath(root)
-    path = os.path.normpath(os.path.join(root, path))
+    root = rooted(root)
+    scheme, cut, base = root.rpartition("://")
+    path = scheme + cut + os.path.normpath(os.path.join(base, path.removeprefix(scheme + cut)))
     return path if path == root or path.startswith(root.rstrip("/") + "/") else None
 
 
@@ -78,10 +80,9 @@ def impact_text(index: Index, path: str) -> str:
 def packages(root: str) -> list[str] | None:
     """Names of the dependencies in package.json, then of those for development; None without a readable file (SRC-14)."""
     try:
-        with open(os.path.join(root, "package.json"), encoding="utf-8") as f:
-            found = json.load(f)
+        found = json.loads(read_text(f"{rooted(root).rstrip('/')}/package.json"))
         return [*(found.get("dependencies") or {}), *(found.get("devDependencies") or {})]
-    except (OSError, ValueError, AttributeError):
+    except (ParseError, ValueError, AttributeError):
         return None
 
 

@@ -144,9 +144,9 @@ def modules(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{ROOT}/web/m"), k.cast("string"), F.lit(".py")).alias("file_path"), text.alias("source"))
 
 
-def scores(spark, sf_dir, focus: int | None = None, kernel_edges: int = rank.KERNEL_EDGES) -> DataFrame:
+def scores(spark, sf_dir, focus: int | None = None) -> DataFrame:
     weights = {f"{ROOT}/pkg/p{focus}.py": rank.FOCUS_WEIGHT} if focus is not None else None
-    made = rank.pagerank(files(spark, sf_dir), edges(spark, sf_dir), rounds=20, tolerance=0.0, personalization=weights, kernel_edges=kernel_edges)
+    made = rank.pagerank(files(spark, sf_dir), edges(spark, sf_dir), rounds=20, tolerance=0.0, personalization=weights)
     return made.scores.withColumn("score", F.round("score", 6))
 
 
@@ -174,15 +174,20 @@ def dangling_files(spark, sf_dir):
     return graph.dangling(files(spark, sf_dir), edges(spark, sf_dir))
 
 
+def parsed_corpus(spark, sf_dir) -> DataFrame:
+    """The source text, extracted once."""
+    return materialize(parse_sources(materialize(sources(spark, sf_dir), "sources")), "parsed")
+
+
 def corpus_edges(spark, sf_dir):
     """Source text, extracted and resolved."""
-    parsed = parse_sources(sources(spark, sf_dir))
+    parsed = parsed_corpus(spark, sf_dir)
     return graph.build_edges(nodes_of(parsed), files(spark, sf_dir))
 
 
 def corpus_definitions(spark, sf_dir):
     """Definitions found in the source text."""
-    return _long(graph.definitions(nodes_of(parse_sources(sources(spark, sf_dir)))).select("file_path", "name", "kind", "start_line", "end_line"), "start_line", "end_line")
+    return _long(graph.definitions(nodes_of(parsed_corpus(spark, sf_dir))).select("file_path", "name", "kind", "start_line", "end_line"), "start_line", "end_line")
 
 
 def _told(df: DataFrame) -> DataFrame:
@@ -201,7 +206,7 @@ def module_nodes(spark, sf_dir):
 
 def script_edges(spark, sf_dir):
     """Relative imports of files and folders, re-exports, packages left out."""
-    parsed = parse_sources(scripts(spark, sf_dir).unionByName(modules(spark, sf_dir)))
+    parsed = materialize(parse_sources(scripts(spark, sf_dir).unionByName(modules(spark, sf_dir))), "parsed")
     return graph.build_edges(nodes_of(parsed), parsed.select("file_path"))
 
 
@@ -246,16 +251,15 @@ def impact_ranked(spark, sf_dir):
 
 
 def pagerank_20(spark, sf_dir):
-    """By DataFrame rounds, the way for graphs of any size."""
-    return scores(spark, sf_dir, kernel_edges=0)
+    return scores(spark, sf_dir)
 
 
 def pagerank_focus_20(spark, sf_dir):
-    return scores(spark, sf_dir, FOCUS, kernel_edges=0)
+    return scores(spark, sf_dir, FOCUS)
 
 
 def pagerank_kernel_20(spark, sf_dir):
-    """The same in one task, the option for small graphs."""
+    """The same rounds: the way through one task that this name stood for is gone."""
     return scores(spark, sf_dir)
 
 
@@ -327,7 +331,7 @@ def page_links(spark, sf_dir):
 
 def corpus_index(spark, sf_dir):
     """End to end: text to ranked map."""
-    index = from_parsed(ROOT, materialize(parse_sources(sources(spark, sf_dir)), "parsed"), kernel_edges=rank.KERNEL_EDGES)
+    index = from_parsed(ROOT, parsed_corpus(spark, sf_dir))
     return render.render_map(index.files, index.nodes, index.scores, ROOT)
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from urllib.parse import unquote
 
+from pyspark.sql import functions as F
+
 from . import __version__
 from .errors import WeftError, log
 from .plans import queries as q
 from .plans.index import build_index
+from .sources.tree import rooted, scan
 
 PROTOCOL = "2024-11-05"
 _text = lambda most, what: {"type": "string", "maxLength": most, "description": what}
@@ -48,9 +50,25 @@ def validate(name: str, given: dict) -> None:
             raise InvalidParams(f"Invalid argument: {key}")
 
 
+def tree_print(spark, root: str) -> tuple:
+    """A number of files and a sum over their fingerprints: what a change of any file changes."""
+    mark = F.xxhash64("relative", "size", "mtime_ms") % 1_000_000_007
+    return tuple(scan(spark, root).agg(F.count(F.lit(1)), F.sum(mark)).first())
+
+
 class Server:
     def __init__(self, spark, root: str, index: Callable = build_index):
-        self.spark, self.root, self.build = spark, os.path.abspath(root), index
+        self.spark, self.root, self.make = spark, rooted(root), index
+        self.seen, self.kept = None, {}
+
+    def build(self, spark, root: str, focus: str | None = None):
+        """The index for a focus; as long as the tree stays as it is, the one made before with the scores it has by now."""
+        now = tree_print(spark, root)
+        if now != self.seen:
+            self.seen, self.kept = now, {}
+        if focus not in self.kept:
+            self.kept[focus] = self.make(spark, root, focus)
+        return self.kept[focus]
 
     def call(self, name: str, given: dict) -> dict:
         """The content of a tool's answer."""

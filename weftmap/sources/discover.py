@@ -1,45 +1,18 @@
-"""Finding the source files below a root (SRC-1 to SRC-11).
+"""Finding the source files below a root, as a list (SRC-1 to SRC-11).
 
-The walk is the scan's pruning: default folders, dot names and links are never
-entered. It runs on the driver, as names starting with ``_`` are invisible to
-Spark's file sources.
+For trees that are as small as a list on the driver should be; ``tree.scan`` gives the
+same files as a table, listed by the executors.
 """
 
 from __future__ import annotations
 
-import os
-
-from ..errors import DiscoveryError, log
-from ..schemas import LANGUAGES
-from .ignore import Ignore
-
-#: Fixed values.
-DEFAULT_FOLDERS = ("node_modules", "dist", "build", ".next", "out", "coverage", "__pycache__", ".venv", "venv", ".git", "vendor")
-DEFAULT_FILES = ("*.min.js", "*.d.ts", "*.map", "*.bundle.js")
-IGNORE_FILES = (".gitignore", ".weftignore")
+from ..errors import log
+from .tree import IGNORE_FILES, Walk
 
 
 def discover(root: str, extra: list[str] | tuple[str, ...] = (), ignore_files: tuple[str, ...] = IGNORE_FILES) -> list[str]:
     """Absolute paths of the source files, in binary order. Rules: defaults, ``extra``, then each ignore file of the root."""
-    root = os.path.abspath(root)
-    if not os.path.exists(root):
-        raise DiscoveryError(f"Directory does not exist: {root}", "Check that the directory path is correct and exists")
-    rules = Ignore()
-    for rule in (*DEFAULT_FOLDERS, *DEFAULT_FILES, *extra):
-        rules.add(rule)
-    for name in ignore_files:
-        try:
-            with open(os.path.join(root, name), encoding="utf-8") as f:
-                rules.add(f.read())
-        except OSError:
-            continue
-    found = []
-    for folder, folders, names in os.walk(root, followlinks=False):
-        folders[:] = [d for d in folders if d not in DEFAULT_FOLDERS and not d.startswith(".") and not os.path.islink(os.path.join(folder, d))]
-        for name in names:
-            path = os.path.join(folder, name)
-            if not name.startswith(".") and os.path.splitext(name)[1] in LANGUAGES and not rules.ignores(os.path.relpath(path, root).replace(os.sep, "/")):
-                found.append(path)
-    found.sort()
-    log("info", "files found", {"root": root, "found": len(found)})
+    walk = Walk(root, tuple(extra), ignore_files)
+    found = sorted(f"{walk.root.rstrip('/')}/{relative}" for relative, _, _ in walk.below([""]))
+    log("info", "files found", {"root": walk.root, "found": len(found)})
     return found

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where the tables lie that this process has written.
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Names of those that are tables of the session's catalog.
+_NAMED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +45,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def materialize_bucketed(df: DataFrame, label: str, buckets: int, *keys: str) -> DataFrame:
+    """The same in ``buckets`` buckets of ``keys``: a join or sum on these keys then reads the table as it lies.
+
+    Each bucket is one file if the rows come dealt out by the keys, as from
+    ``repartition(buckets, *keys)`` or from a join with a table that has these buckets.
+    """
+    spark = df.sparkSession
+    name = f"weftmap_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weftmap/{label}-{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    _WRITTEN[table] = path
+    _NAMED[table] = name
+    return table
+
+
 def discard(table: DataFrame) -> None:
-    """Deletes a table that ``materialize`` wrote, once nothing will read it again: all made from it has been written."""
-    path = _WRITTEN.pop(table)
-    context = table.sparkSession.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    """Deletes a table that was written here, once nothing will read it again: all made from it has been written."""
+    path, name = _WRITTEN.pop(table), _NAMED.pop(table, None)
+    spark = table.sparkSession
+    if name:
+        spark.sql(f"DROP TABLE {name}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
