@@ -159,3 +159,23 @@ def test_any_text_is_survived(parts, name):
 def test_function_expressions_are_no_scope():
     source = "const a = function () { const SEEN_A = 1; };\nexport default function () { const SEEN_B = 1; }\nfunction f() { const HIDDEN_A = 1; const b = function () { const HIDDEN_B = 1; }; }\nrun(function () { let SEEN_C = 2; });\nconst c = () => { const HIDDEN_C = 1; };\n"
     assert [n["name"] for n in extract("/p/a.ts", source)] == ["SEEN_A", "SEEN_B", "f", "SEEN_C", "c"]
+
+
+def test_extraction_in_sql_text(spark):
+    """The table function gives the rows of ``extract``, also for odd files, nulls and languages of one's own."""
+    from weftmap.functions import extract as languages
+    from weftmap.functions.extract.sql import register_function
+
+    rows = [("/a.py", "from .b import f\n\ndef g(): pass\n"), ("/b.ts", "export class C { m() {} }"), ("/c.md", "# x"), ("/d.py", None), (None, "x"), ("/e.py", "def broken(:\n  pass"), ("/f.row", "p q")]
+    handlers, known = languages.registered()
+    languages.register(".row", "rows", lambda path, source: [{"name": x, "kind": "constant", "start_line": 1, "end_line": 1, "references": [path]} for x in source.split()])
+    try:
+        register_function(spark)
+        want = sorted((path, n["id"], n["name"], n["kind"], n["start_line"], n["end_line"], tuple(n["references"]), n["seq"]) for path, source in rows for n in languages.extract(path or "", source or ""))
+    finally:
+        languages.HANDLERS.clear(), languages.LANGUAGES.clear()
+        languages.HANDLERS.update(handlers), languages.LANGUAGES.update(known)
+    spark.createDataFrame(rows, "file_path string, source string").createOrReplaceTempView("odd_sources")
+    got = spark.sql("SELECT s.file_path, n.* FROM odd_sources s, LATERAL extract_nodes(s.file_path, s.source) n").collect()
+    assert sorted(tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in got) == want and len(want) >= 6
+    assert spark.sql("SELECT count(*) FROM extract_nodes('/x.py', 'A_B = 1')").first()[0] == 1

@@ -17,7 +17,7 @@ from weftmap.sources import cache
 from weftmap.sources.discover import discover
 from weftmap.sources.files import parse_files, parse_sources, spread
 from weftmap.sources.ignore import Ignore
-from weftmap.sources.tree import LISTED, scan
+from weftmap.sources.tree import LISTED, remove_files, scan, write_tree
 
 FILES = {
     "shop.ts": "import { Basket } from './model';\nimport { net } from './price';\n\n/** All that is paid. */\nexport async function total(basket: Basket) {\n  let sum = 0;\n  for (const item of basket.items) sum += net(item);\n  return sum;\n}\n",
@@ -177,6 +177,15 @@ def test_scan_is_what_discovery_finds(spark, tmp_path):
     assert scan(spark, str(tmp_path / "c" / "skip")).count() == 2
 
 
+def test_trees_are_written_and_taken_away(spark, tmp_path):
+    root = str(tmp_path / "new")
+    rows = spark.createDataFrame([("a/b.py", "x = 1\n"), ("_c.ts", None), ("d.py", "é")], "relative string, source string")
+    assert write_tree(rows, root) == 3 and write_tree(rows.limit(0), root) == 0
+    assert {r["relative"]: r["source"] for r in scan(spark, root, content=True).collect()} == {"a/b.py": "x = 1\n", "_c.ts": "", "d.py": "é"}
+    assert remove_files(spark.createDataFrame([("d.py",), ("none.py",), ("a",)], "relative string"), root) == 1
+    assert {r["relative"] for r in scan(spark, root).collect()} == {"a/b.py", "_c.ts"}
+
+
 def test_parsing_is_dealt_over_all_cores(spark):
     """A small input in one partition; a number that is asked for; a large input stays as it is."""
     cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

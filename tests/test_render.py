@@ -2,12 +2,14 @@
 
 import json
 import math
+import random
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftmap.functions.paths import normal, relative
-from weftmap.functions.text import age, units
+from weftmap.functions.text import age, fixed4, units
 from weftmap.operators import render
 
 ROOT = "/project"
@@ -96,3 +98,18 @@ def test_paths_and_lengths(spark):
 
 def test_ages():
     assert [age(s) for s in (0, 1, 59, 60, 119, 120, 3600, 7200, 86400, 200000)] == ["0 seconds ago", "1 seconds ago", "59 seconds ago", "1 minute ago", "1 minute ago", "2 minutes ago", "1 hour ago", "2 hours ago", "1 day ago", "2 days ago"]
+
+
+def test_four_decimals_are_exact(spark):
+    """Ties, near ties on both sides, signs, sizes up to those without decimals."""
+    rng, context = random.Random(4), Context(prec=80)
+    given = [0.0, -0.0, 1.00005, 0.00005, 1e-7, -1e-7, 0.03125, -0.03125, 0.09375, 0.99995, 0.99994999, 2.5, 123456789.12345, 4.5e11 + 0.00005, 9e15 - 1, 5e-324]
+    given += [(2 * rng.randrange(10**rng.randrange(1, 9)) + 1) / 20_000 for _ in range(60_000)]
+    given += [math.nextafter((2 * rng.randrange(20_000) + 1) / 20_000, rng.choice([0, 2])) for _ in range(20_000)]
+    given += [rng.uniform(-2, 2) * 10 ** rng.randrange(-8, 10) for _ in range(20_000)]
+    rows = spark.createDataFrame([(x,) for x in given], "x double").select("x", fixed4(F.col("x")).alias("text")).collect()
+    for x, text in rows:
+        want = str(abs(Decimal(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP, context))
+        assert text == ("-" if x < 0 else "") + want, x
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e16,), (None,)], "x double").select(fixed4(F.col("x"))).collect()
+    assert [r[0] for r in odd] == ["NaN", "Infinity", "10000000000000000.0000", None]

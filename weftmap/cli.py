@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
     out = out or sys.stdout
     from .plans import queries as q
     from .plans.index import build_index
-    from .sources.tree import rooted
+    from .sources.tree import resolved, rooted
 
     try:
         spark = spark or session()
@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         elif args.command == "stats":
             text = q.stats_text(index)
         elif args.command == "impact":
-            text = q.impact_report(index, q.inside(root, args.path) or os.path.normpath(os.path.join(root, args.path)))
+            text = q.impact_report(index, resolved(root, args.path))
         else:
             text = q.search_report(index, args.query, args.kind)
         out.write(text + "\n")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import time
 from datetime import datetime
@@ -18,7 +17,7 @@ from ..operators.graph import counts
 from ..operators.rank import top_files
 from ..operators.render import context_text, render_json, render_map
 from ..sources import cache
-from ..sources.tree import read_text, rooted
+from ..sources.tree import read_text, resolved, rooted
 from .index import Index, search
 
 #: Fixed limits and defaults.
@@ -30,8 +29,7 @@ OUTSIDE = "Error: path is outside project root"
 def inside(root: str, path: str) -> str | None:
     """The absolute path, if it is the root or below it (FLT-6)."""
     root = rooted(root)
-    scheme, cut, base = root.rpartition("://")
-    path = scheme + cut + os.path.normpath(os.path.join(base, path.removeprefix(scheme + cut)))
+    path = resolved(root, path)
     return path if path == root or path.startswith(root.rstrip("/") + "/") else None
 
 

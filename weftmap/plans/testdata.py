@@ -10,16 +10,22 @@ as many lines of comment as the rest of its key by 4.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import screaming, units
+from ..functions.extract.sql import register_function
+from ..functions.paths import relative
+from ..functions.text import fixed4, screaming, units
 from ..operators import graph, rank, render
 from ..operators.closure import impact, ranked
 from ..sources.files import nodes_of, parse_sources
-from ..sources.shared import materialize
-from .index import from_parsed, search
+from ..sources import cache
+from ..sources.shared import materialize, shared_dir
+from ..sources.tree import remove_files, scan, write_tree
+from .index import build_index, from_parsed, search
 
 ROOT = "/repo"
 SEED = 40
@@ -210,6 +216,58 @@ def script_edges(spark, sf_dir):
     return graph.build_edges(nodes_of(parsed), parsed.select("file_path"))
 
 
+def script_nodes_sql(spark, sf_dir):
+    """The same rows by SQL text alone, with the table function."""
+    register_function(spark)
+    scripts(spark, sf_dir).createOrReplaceTempView("weft_scripts")
+    return spark.sql("""
+        SELECT s.file_path, n.name, n.kind, CAST(n.start_line AS BIGINT) AS start_line, CAST(n.end_line AS BIGINT) AS end_line,
+               array_join(n.references, ',') AS refs, CAST(n.seq AS BIGINT) AS seq
+        FROM weft_scripts s, LATERAL extract_nodes(s.file_path, s.source) n""")
+
+
+def written_tree(spark, sf_dir) -> str:
+    """The code base as files in a new folder, among others that a scan leaves out."""
+    root = f"{shared_dir(spark)}/weftmap/tree-{uuid.uuid4().hex}"
+    own = sources(spark, sf_dir).select(relative(F.col("file_path"), ROOT).alias("relative"), "source", F.regexp_extract("file_path", "p([0-9]+)", 1).alias("k"))
+    others = F.array(*[F.concat(F.lit(a), "k", F.lit(b)) for a, b in (("node_modules/m", ".py"), ("pkg/.h", ".py"), ("pkg/dist/d", ".ts"), ("pkg/p", ".min.js"), ("pkg/p", ".md"), ("gen/a/g", ".py"), ("pkg/__s", ".pyc"))])
+    decoys = own.where("k % 10 = 0").select(F.explode(others).alias("relative"), F.lit("X = 1\n").alias("source"))
+    rules = spark.range(1).select(F.lit(".gitignore").alias("relative"), F.lit("gen/\n").alias("source"))
+    write_tree(own.drop("k").unionByName(decoys).unionByName(rules), root)
+    return root
+
+
+def tree_scan(spark, sf_dir):
+    """A tree on disk, listed, read and parsed by the executors."""
+    scanned = scan(spark, written_tree(spark, sf_dir), content=True)
+    parsed = parse_sources(scanned)
+    return scanned.select("file_path", "relative", "size").join(parsed, "file_path").select("relative", "size", F.size("nodes").cast("long").alias("n_nodes"))
+
+
+def cache_refresh(spark, sf_dir):
+    """A tree that changes after it was indexed: what a join with the cache finds, and the nodes of the index made from both."""
+    root = written_tree(spark, sf_dir)
+    build_index(spark, root)
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("pkg/p"), k.cast("string"), F.lit(".py"))
+    part = table(spark, sf_dir, "part")
+    write_tree(part.where(k % 5 == 0).select(name.alias("relative"), F.lit("A_ONE = 1\nB_TWO = 2\n\ndef g(): pass\n").alias("source")), root)
+    remove_files(part.where(k % 7 == 0).select(name.alias("relative")), root)
+    write_tree(part.where(k % 11 == 0).select(F.concat(F.lit("pkg/q"), k.cast("string"), F.lit(".ts")).alias("relative"), F.lit("export class Q {}\n").alias("source")), root)
+    status = materialize(cache.compare(scan(spark, root), cache.snapshot(spark, root, cache.read(root))), "status")
+    index = build_index(spark, root, incremental=True)
+    n = index.nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_nodes"))
+    found = status.withColumn("file_path", F.concat(F.lit(root + "/"), "relative"))
+    return found.join(n, "file_path", "left").select("relative", "status", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
+
+
+def fixed_decimals(spark, sf_dir):
+    """Numbers as text with four decimals, most of them a hair from a tie."""
+    x = (F.col("l_partkey") * 2 + 1) / 20_000.0
+    rows = table(spark, sf_dir, "lineitem").select(x.alias("x")).unionByName(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + F.col("l_partkey") / 1024.0 / 7.0).alias("x"))).unionByName(table(spark, sf_dir, "part").select((0.0 - F.col("p_partkey") / 1024.0).alias("x"))).distinct()
+    return rows.select(F.format_string("%.12f", "x").alias("x"), fixed4(F.col("x")).alias("text"))
+
+
 def import_candidates(spark, sf_dir):
     """How each import is tried: the dotted branch, file before package index."""
     from ..operators.resolve import candidates
@@ -336,7 +394,7 @@ def corpus_index(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, script_nodes, module_nodes, script_edges, import_candidates, forward_deps, reverse_deps, impact_closure, impact_cyclic, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_kernel_20, pagerank_converged, rank_top_files, map_budgeted, map_text, search_definitions, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, screaming_constants, utf16_lengths, page_links, corpus_index)}
+    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, script_nodes, module_nodes, script_edges, script_nodes_sql, tree_scan, cache_refresh, fixed_decimals, import_candidates, forward_deps, reverse_deps, impact_closure, impact_cyclic, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_kernel_20, pagerank_converged, rank_top_files, map_budgeted, map_text, search_definitions, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, screaming_constants, utf16_lengths, page_links, corpus_index)}
 
 
 _P = f"'{ROOT}/pkg/p' || {{}} || '.py'"
@@ -350,6 +408,11 @@ _N = f"""own AS (SELECT {_P.format('p_partkey')} AS file_path, upper(regexp_repl
 _L = "'  ' || kind || ' ' || name || ' (L' || start_line || ')'"
 
 
+def _exact(x: str) -> str:
+    """Four decimals of a double's exact value."""
+    return f"round(printf('%.30f', {x})::DECIMAL(38, 30), 4)::VARCHAR"
+
+
 def _rank(teleport: str, rounds: int = 20) -> str:
     """Scores after some rounds; each vertex has an edge of weight 0 to itself, so that it stays."""
     return f"""nn AS (SELECT count(*)::DOUBLE AS c FROM f), deg AS (SELECT a, count(*)::DOUBLE AS k FROM e GROUP BY a),
@@ -366,7 +429,7 @@ def oracle_sql() -> dict[str, str]:
     seed_path, uniform = f"'{seed()}'", _rank("1 / nn.c")
     graph_sql, with_rank = f"WITH {_E}", f"WITH RECURSIVE {_E}, {_F}, {uniform}"
     blocks = f"""{_N}, body AS (SELECT file_path, sum(length({_L}) + 1) AS body FROM own GROUP BY file_path),
- bl AS (SELECT f.file_path, score, substr(f.file_path, {len(ROOT) + 2}) || ' [score: ' || printf('%.4f', round(score, 4)) || ']' AS header, body FROM f JOIN score USING (file_path) JOIN body USING (file_path)),
+ bl AS (SELECT f.file_path, score, substr(f.file_path, {len(ROOT) + 2}) || ' [score: ' || {_exact('score')} || ']' AS header, body FROM f JOIN score USING (file_path) JOIN body USING (file_path)),
  cut AS (SELECT file_path, header, (length(header) + 1 + body)::BIGINT AS length, row_number() OVER o AS place, (sum(length(header) + 1 + body) OVER o)::BIGINT AS total FROM bl WINDOW o AS (ORDER BY score DESC, file_path ROWS UNBOUNDED PRECEDING)),
  fit AS (SELECT * FROM cut WHERE total <= {2048 * 3})"""
     ndef = f"(SELECT string_agg({_L}, chr(10) ORDER BY start_line, seq) FROM own WHERE file_path = {seed_path})"
@@ -381,11 +444,16 @@ def oracle_sql() -> dict[str, str]:
     corpus = f"""{_F}, d AS (SELECT src, count(*) AS h FROM e GROUP BY src), g AS (SELECT file_path, coalesce(h, 0) AS h FROM f LEFT JOIN d ON d.src = f.file_path),
  r0 AS (SELECT i, v, s FROM r), moved AS (SELECT x.i, sum(abs(x.s - y.s)) AS delta FROM r0 x JOIN r0 y ON y.v = x.v AND y.i = x.i - 1 GROUP BY x.i), stop AS (SELECT min(i) AS i FROM moved WHERE delta < {rank.TOLERANCE}),
  last AS (SELECT {_P.format('v')} AS file_path, s AS score FROM r0, stop WHERE r0.i = stop.i),
- bl AS (SELECT file_path, score, substr(file_path, {len(ROOT) + 2}) || ' [score: ' || printf('%.4f', score) || ']' || chr(10) || '  constant LIMIT (L' || (h + 1) || ')' || chr(10) || '  function f (L' || (h + 4) || ')' || chr(10) AS block FROM g JOIN last USING (file_path)),
+ bl AS (SELECT file_path, score, substr(file_path, {len(ROOT) + 2}) || ' [score: ' || {_exact('score')} || ']' || chr(10) || '  constant LIMIT (L' || (h + 1) || ')' || chr(10) || '  function f (L' || (h + 4) || ')' || chr(10) AS block FROM g JOIN last USING (file_path)),
  cut AS (SELECT block, row_number() OVER o AS place, sum(length(block)) OVER o AS total FROM bl WINDOW o AS (ORDER BY score DESC, file_path ROWS UNBOUNDED PRECEDING)),
  fit AS (SELECT * FROM cut WHERE total <= {2048 * 3})"""
     moved = "d AS (SELECT x.i, sum(abs(x.s - y.s)) AS delta FROM r x JOIN r y ON y.v = x.v AND y.i = x.i - 1 GROUP BY x.i), stop AS (SELECT min(i) AS i FROM d WHERE delta < 1e-4)"
+    size = "length('LIMIT = ' || p_size || chr(10) || chr(10) || chr(10) || 'def f():' || chr(10) || '    return LIMIT' || chr(10))"
     return {
+        "script_nodes_sql": rows(at.format("s_suppkey"), told),
+        "tree_scan": f"{graph_sql}, d AS (SELECT a, count(*) AS h, sum(length('from .p' || b || ' import f') + 1) AS l FROM e GROUP BY a) SELECT 'pkg/p' || p_partkey || '.py' AS relative, ({size} + coalesce(l, 0))::BIGINT AS size, 2 + coalesce(h, 0) AS n_nodes FROM part LEFT JOIN d ON a = p_partkey",
+        "cache_refresh": f"{graph_sql}, d AS (SELECT a, count(*) AS h FROM e GROUP BY a), s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN 'removed' WHEN p_partkey % 5 = 0 THEN 'changed' ELSE 'kept' END AS status FROM part) SELECT 'pkg/p' || k || '.py' AS relative, status, CASE status WHEN 'removed' THEN 0 WHEN 'changed' THEN 3 ELSE 2 + coalesce(h, 0) END::BIGINT AS n_nodes FROM s LEFT JOIN d ON a = k UNION ALL SELECT 'pkg/q' || k || '.ts', 'added', 1 FROM s WHERE k % 11 = 0",
+        "fixed_decimals": f"WITH x AS (SELECT (l_partkey * 2 + 1) / 20000.0::DOUBLE AS x FROM lineitem UNION SELECT l_suppkey + l_partkey / 1024.0::DOUBLE / 7.0::DOUBLE FROM lineitem UNION SELECT 0.0::DOUBLE - p_partkey / 1024.0::DOUBLE FROM part) SELECT printf('%.12f', x) AS x, {_exact('x')} AS text FROM x",
         "script_nodes": rows(at.format("s_suppkey"), told),
         "module_nodes": rows(f"'{ROOT}/web/m' || s_suppkey || '.py'", module),
         "script_edges": f"SELECT {at.format('s_suppkey')} AS src, {at.format('(s_suppkey - n)')} AS dst FROM supplier, (VALUES (1), (2)) v(n) WHERE s_suppkey >= n UNION ALL SELECT '{ROOT}/web/m' || s_suppkey || '.py', '{ROOT}/web/m' || (s_suppkey - 1) || '.py' FROM supplier WHERE s_suppkey >= 1",
@@ -414,7 +482,7 @@ def oracle_sql() -> dict[str, str]:
         "summary_counts": f"{graph_sql}, {_N} SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM n) AS definitions, (SELECT count(*) FROM e) AS edges",
         "stats_counts": f"{graph_sql}, {_N} SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM own) AS definitions, (SELECT count(*) FROM e) AS edges",
         "definitions_per_file": f"{graph_sql}, {_N} SELECT file_path, count(*) AS n, string_agg({_L}, chr(10) ORDER BY start_line, seq) AS lines FROM own GROUP BY file_path",
-        "context_text": f"{with_rank}, {_N} SELECT '# ' || substr({seed_path}, {len(ROOT) + 2}) || ' [score: ' || printf('%.4f', round((SELECT score FROM score WHERE file_path = {seed_path}), 4)) || ']' || chr(10) || chr(10) || '## Definitions' || chr(10) || {ndef} || chr(10) || chr(10) || '## Dependencies' || chr(10) || coalesce({dep.format('dst', len(ROOT) + 2, 'src', seed_path)}, '(none)') || chr(10) || chr(10) || '## Dependents' || chr(10) || coalesce({dep.format('src', len(ROOT) + 2, 'dst', seed_path)}, '(none)') AS text",
+        "context_text": f"{with_rank}, {_N} SELECT '# ' || substr({seed_path}, {len(ROOT) + 2}) || ' [score: ' || {_exact(f'(SELECT score FROM score WHERE file_path = {seed_path})')} || ']' || chr(10) || chr(10) || '## Definitions' || chr(10) || {ndef} || chr(10) || chr(10) || '## Dependencies' || chr(10) || coalesce({dep.format('dst', len(ROOT) + 2, 'src', seed_path)}, '(none)') || chr(10) || chr(10) || '## Dependents' || chr(10) || coalesce({dep.format('src', len(ROOT) + 2, 'dst', seed_path)}, '(none)') AS text",
         "json_entries": f"{with_rank}, {_N} SELECT substr(file_path, {len(ROOT) + 2}) AS \"filePath\", max(score) AS score, count(*) AS n, string_agg(kind || '/' || name || '/' || start_line || '/' || start_line, ',' ORDER BY start_line, seq) AS definitions FROM own JOIN score USING (file_path) GROUP BY file_path",
         "screaming_constants": "SELECT p_partkey, replace(p_type, ' ', '_') AS name FROM part WHERE regexp_full_match(replace(p_type, ' ', '_'), '[A-Z_][A-Z0-9_]*') AND length(p_type) > 1",
         "utf16_lengths": "SELECT doc_id, (length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::BIGINT AS units FROM documents",
