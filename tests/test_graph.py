@@ -5,9 +5,10 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from weftmap.operators import graph, rank
+from weftmap.operators import graph, rank, trigrams
 from weftmap.operators.closure import impact, ranked
 from weftmap.operators.resolve import resolve
+from weftmap.plans.index import search
 from weftmap.sources.shared import materialize_bucketed, shared_dir
 
 
@@ -183,6 +184,34 @@ def test_impact(spark):
     assert [r["file_path"] for r in ranked(impact(e, "c"), scores).collect()] == ["c", "b", "a", "d"]
 
 
+def test_breadth_first_order(spark):
+    """A file is placed by the first that found it, then by path, not by path alone."""
+    pairs = [("z", "r"), ("y", "r"), ("a", "z"), ("q", "y"), ("p", "z"), ("q", "z"), ("b", "y"), ("z", "q"), ("k", "a"), ("j", "q"), ("l", "b"), ("j", "b")]
+    got = [r["file_path"] for r in impact(edge_table(spark, pairs), "r").orderBy("depth", "place").collect()]
+    queue, seen = ["r"], {"r"}
+    for at in queue:
+        for a in sorted(a for a, b in pairs if b == at):
+            if a not in seen:
+                seen.add(a), queue.append(a)
+    assert got == queue == ["r", "y", "z", "b", "q", "a", "p", "j", "l", "k"]
+    ties = spark.createDataFrame([(x, 0.1) for x in "abpq"], "file_path string, score double")
+    assert [r["file_path"] for r in ranked(impact(edge_table(spark, pairs), "r"), ties).collect()][:4] == ["b", "q", "a", "p"]
+
+
+def test_trigram_search_is_the_scan(spark):
+    names = ["loadItem", "LOAD", "oadl", "ab", "", None, "aaaa", "aaa", "Straße", "İstanbul", "x😀yz", "load load", "itemload", "daol"]
+    rows = [(f"/p{i % 3}:{i}", n, "function" if i % 2 else "class", f"/p{i % 3}", i, i, [], 0) for i, n in enumerate(names)]
+    nodes = spark.createDataFrame(rows, "id string, name string, kind string, file_path string, start_line int, end_line int, references array<string>, seq int")
+    index = trigrams.build(nodes, 4)
+    told = lambda df: [tuple(r) for r in df.drop("references").collect()]
+    for text in ("load", "LOAD", "oad", "aaa", "aaaaa", "a", "", "ab", "item", "dload", "ß", "straße", "😀yz", "adl", "none at all", "d l"):
+        for kind in (None, "class", "none"):
+            assert told(index.search(text, kind)) == told(search(nodes, text, kind)), (text, kind)
+    assert {r["name"] for r in index.candidates("adload").collect()} == set() and {r["name"] for r in index.candidates("load").collect()} == {"loadItem", "LOAD", "load load", "itemload"}
+    plan = index.search("loa")._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 4" in plan and "In(gram" in plan or "EqualTo(gram" in plan
+
+
 def test_long_chain(spark):
     e = edge_table(spark, [(f"n{i + 1:02}", f"n{i:02}") for i in range(20)])
     assert impact(e, "n00").count() == 21

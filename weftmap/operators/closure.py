@@ -1,7 +1,10 @@
-"""Transitive dependents by semi-naive rounds (JOIN-10, SRT-1).
+"""Transitive dependents by semi-naive rounds, in breadth-first order (JOIN-10, SRT-1, Q1).
 
 A round joins the frontier with the edges and takes away what was visited; both
-are written to the shared folder, so lineage doesn't grow with depth.
+are written to the shared folder, so lineage doesn't grow with depth. A file is found by
+the first of its neighbours in the level before, and files found by the same one are in
+order of path. ``place`` keeps that order within a level: a level is sorted by range over all
+tasks and numbered as it is written, with gaps between tasks, so no task numbers a whole level.
 """
 
 from __future__ import annotations
@@ -11,24 +14,27 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 
+_REACHED = "file_path string, depth int, place bigint"
+
 
 def impact(edges: DataFrame, path: str, reverse: bool = True) -> DataFrame:
-    """(file_path, depth): ``path`` at depth 0, known or not, and all that reach it (or, not ``reverse``, that it reaches)."""
+    """(file_path, depth, place): ``path`` at depth 0, known or not, and all that reach it (or, not ``reverse``, that it reaches)."""
     spark = edges.sparkSession
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far"))
-    visited = frontier = spark.createDataFrame([(path, 0)], "file_path string, depth int")
+    visited = frontier = spark.createDataFrame([(path, 0, 0)], _REACHED)
     depth = 0
     while True:
         depth += 1
-        reached = frontier.join(steps, frontier.file_path == steps.near).select(F.col("far").alias("file_path")).distinct()
-        frontier = materialize(reached.join(visited, "file_path", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        found = frontier.join(steps, frontier.file_path == steps.near).groupBy(F.col("far").alias("file_path")).agg(F.min("place").alias("by"))
+        new = found.join(visited.select("file_path"), "file_path", "left_anti").orderBy("by", F.collate("file_path", "UNICODE"))
+        frontier = materialize(new.select("file_path", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("place")), "frontier")
         if frontier.isEmpty():
             return visited
         visited = materialize(visited.unionByName(frontier), "visited") if depth % 8 == 0 else visited.unionByName(frontier)
 
 
 def ranked(reached: DataFrame, scores: DataFrame) -> DataFrame:
-    """With scores (0 where unknown), best first; ties by depth, then path."""
+    """With scores (0 where unknown), best first; ties in breadth-first order."""
     out = reached.join(scores, "file_path", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return out.orderBy(F.desc("score"), "depth", F.collate("file_path", "UNICODE"))
+    return out.orderBy(F.desc("score"), "depth", "place")

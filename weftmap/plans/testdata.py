@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from ..functions.extract.sql import register_function
 from ..functions.paths import relative
 from ..functions.text import fixed4, screaming, units
-from ..operators import graph, rank, render
+from ..operators import graph, rank, render, trigrams
 from ..operators.closure import impact, ranked
 from ..sources.files import nodes_of, parse_sources
 from ..sources import cache
@@ -286,7 +286,7 @@ def reverse_deps(spark, sf_dir):
 
 
 def impact_closure(spark, sf_dir):
-    return _long(impact(materialize(edges(spark, sf_dir), "edges"), seed()), "depth")
+    return _long(impact(materialize(edges(spark, sf_dir), "edges"), seed()).drop("place"), "depth")
 
 
 def cyclic_edges(spark, sf_dir) -> DataFrame:
@@ -298,14 +298,21 @@ def cyclic_edges(spark, sf_dir) -> DataFrame:
     return both.select(path(F.col("a")).alias("src"), path(F.col("b")).alias("dst"))
 
 
+def impact_order(spark, sf_dir):
+    """Dependents in breadth-first order, where files need each other: how many of a level come before each."""
+    reached = impact(materialize(cyclic_edges(spark, sf_dir), "edges"), seed())
+    place = F.row_number().over(Window.partitionBy("depth").orderBy("place"))
+    return _long(reached.select("file_path", "depth", place.alias("place")), "depth", "place")
+
+
 def impact_cyclic(spark, sf_dir):
     """Dependents where files need each other."""
-    return _long(impact(materialize(cyclic_edges(spark, sf_dir), "edges"), seed()), "depth")
+    return _long(impact(materialize(cyclic_edges(spark, sf_dir), "edges"), seed()).drop("place"), "depth")
 
 
 def impact_ranked(spark, sf_dir):
     reached = impact(materialize(edges(spark, sf_dir), "edges"), seed())
-    return _long(ranked(reached, scores(spark, sf_dir)), "depth")
+    return _long(ranked(reached, scores(spark, sf_dir)).drop("place"), "depth")
 
 
 def pagerank_20(spark, sf_dir):
@@ -344,6 +351,11 @@ def search_definitions(spark, sf_dir):
     return _long(search(nodes(spark, sf_dir), "WIDGET").select("file_path", "kind", "name", "start_line"), "start_line")
 
 
+def search_trigrams(spark, sf_dir):
+    """The same search by an inverted index of trigrams."""
+    return _long(trigrams.build(nodes(spark, sf_dir)).search("WIDGET").select("file_path", "kind", "name", "start_line"), "start_line")
+
+
 def search_by_kind(spark, sf_dir):
     return _long(search(nodes(spark, sf_dir), "", "constant").select("file_path", "kind", "name", "start_line"), "start_line")
 
@@ -394,7 +406,7 @@ def corpus_index(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, script_nodes, module_nodes, script_edges, script_nodes_sql, tree_scan, cache_refresh, fixed_decimals, import_candidates, forward_deps, reverse_deps, impact_closure, impact_cyclic, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_kernel_20, pagerank_converged, rank_top_files, map_budgeted, map_text, search_definitions, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, screaming_constants, utf16_lengths, page_links, corpus_index)}
+    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, script_nodes, module_nodes, script_edges, script_nodes_sql, tree_scan, cache_refresh, fixed_decimals, import_candidates, forward_deps, reverse_deps, impact_closure, impact_cyclic, impact_order, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_kernel_20, pagerank_converged, rank_top_files, map_budgeted, map_text, search_definitions, search_trigrams, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, screaming_constants, utf16_lengths, page_links, corpus_index)}
 
 
 _P = f"'{ROOT}/pkg/p' || {{}} || '.py'"
@@ -458,6 +470,7 @@ def oracle_sql() -> dict[str, str]:
         "module_nodes": rows(f"'{ROOT}/web/m' || s_suppkey || '.py'", module),
         "script_edges": f"SELECT {at.format('s_suppkey')} AS src, {at.format('(s_suppkey - n)')} AS dst FROM supplier, (VALUES (1), (2)) v(n) WHERE s_suppkey >= n UNION ALL SELECT '{ROOT}/web/m' || s_suppkey || '.py', '{ROOT}/web/m' || (s_suppkey - 1) || '.py' FROM supplier WHERE s_suppkey >= 1",
         "impact_cyclic": f"WITH RECURSIVE {_E}, {cyclic}, z AS (SELECT {seed_path} AS p, 0 AS depth UNION SELECT c.src, z.depth + 1 FROM z JOIN c ON c.dst = z.p WHERE z.depth < 60) SELECT p AS file_path, min(depth)::BIGINT AS depth FROM z GROUP BY p",
+        "impact_order": f"WITH RECURSIVE {_E}, {cyclic}, z AS (SELECT {seed_path} AS p, 0 AS depth, CAST([] AS VARCHAR[]) AS key UNION ALL SELECT c.src, z.depth + 1, min(list_append(z.key, c.src)) FROM z JOIN c ON c.dst = z.p WHERE z.depth < 20 GROUP BY c.src, z.depth), m AS (SELECT p, min(depth) AS depth, arg_min(key, depth) AS key FROM z GROUP BY p) SELECT p AS file_path, depth::BIGINT AS depth, row_number() OVER (PARTITION BY depth ORDER BY key) AS place FROM m",
         "pagerank_converged": f"WITH RECURSIVE {_E}, {_F}, {_rank('1 / nn.c', 60)}, {moved} SELECT {_P.format('v')} AS file_path, round(s, 6) AS score, stop.i::BIGINT AS rounds, true AS converged FROM r, stop WHERE r.i = stop.i",
         "corpus_index": f"WITH RECURSIVE {_E}, {_rank('1 / nn.c', 100).replace('nn AS (', _F + ', nn AS (', 1)}, {corpus.replace(_F + ', ', '')} SELECT string_agg(block, '' ORDER BY place) || '[~' || ceil(max(total) / 3.0)::BIGINT || ' tokens]' AS text FROM fit",
         "edges_distinct": f"{graph_sql} SELECT src, dst FROM e",
@@ -478,6 +491,7 @@ def oracle_sql() -> dict[str, str]:
         "map_budgeted": f"{with_rank}, {blocks} SELECT file_path, header, length, place, total FROM fit",
         "map_text": f"{with_rank}, {blocks}, b AS (SELECT place, total, header || chr(10) || (SELECT string_agg({_L} || chr(10), '' ORDER BY start_line, seq) FROM own WHERE own.file_path = fit.file_path) AS block FROM fit) SELECT string_agg(block, '' ORDER BY place) || '[~' || ceil(max(total) / 3.0)::BIGINT || ' tokens]' AS text FROM b",
         "search_definitions": f"{graph_sql}, {_N} SELECT file_path, kind, name, start_line::BIGINT AS start_line FROM n WHERE contains(lower(name), 'widget')",
+        "search_trigrams": f"{graph_sql}, {_N} SELECT file_path, kind, name, start_line::BIGINT AS start_line FROM n WHERE contains(lower(name), 'widget')",
         "search_by_kind": f"{graph_sql}, {_N} SELECT file_path, kind, name, start_line::BIGINT AS start_line FROM n WHERE kind = 'constant'",
         "summary_counts": f"{graph_sql}, {_N} SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM n) AS definitions, (SELECT count(*) FROM e) AS edges",
         "stats_counts": f"{graph_sql}, {_N} SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM own) AS definitions, (SELECT count(*) FROM e) AS edges",
