@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftmap.functions.paths import normal, relative
 from weftmap.functions.text import age, fixed4, units
 from weftmap.operators import render
+from weftmap.operators.document import json_parts
 
 ROOT = "/project"
 
@@ -113,3 +114,18 @@ def test_four_decimals_are_exact(spark):
         assert text == ("-" if x < 0 else "") + want, x
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e16,), (None,)], "x double").select(fixed4(F.col("x"))).collect()
     assert [r[0] for r in odd] == ["NaN", "Infinity", "10000000000000000.0000", None]
+
+
+def test_document_in_parts_is_the_document(spark):
+    """Byte for byte, with odd names and numbers, ties, files without definitions, one file and none."""
+    data = [("b.ts", 0.5, [("class", 'Q"\\é😀', 3), ("function", "f", 3)]), ("a.ts", 0.5, []), ("c.py", 1e-7, [("constant", "K", 1)]), ("d/é.py", None, [("import", "./x", 1)]), ("e.py", 0.00002, []), *[(f"m{i}.py", 1.0 + i % 3, [("function", f"f{i}", i)]) for i in range(30)]]
+    for own in (data, data[:1], []):
+        files, nodes, scores = index(spark, own) if own else (x.limit(0) for x in index(spark, data))
+        edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string")
+        want = render.render_json(files, nodes, edges, scores, ROOT)
+        rows = sorted(tuple(r) for r in json_parts(files.repartition(5), nodes, edges, scores, ROOT).collect())
+        assert "".join(t for _, t in rows) == want
+        at = 0
+        for start, text in rows:
+            assert start == at
+            at += len(text.encode("utf-16-le")) // 2

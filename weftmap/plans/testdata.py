@@ -21,6 +21,7 @@ from ..functions.paths import relative
 from ..functions.text import fixed4, screaming, units
 from ..operators import graph, rank, render, trigrams
 from ..operators.closure import impact, ranked
+from ..operators.document import json_parts
 from ..sources.files import nodes_of, parse_sources
 from ..sources import cache
 from ..sources.shared import materialize, shared_dir
@@ -383,6 +384,11 @@ def json_entries(spark, sf_dir):
     return rows.select("filePath", "score", F.size("definitions").cast("long").alias("n"), F.array_join(F.transform("definitions", lambda d: F.concat_ws("/", d["kind"], d["name"], d["startLine"].cast("string"), d["endLine"].cast("string"))), ",").alias("definitions"))
 
 
+def json_document(spark, sf_dir):
+    """The document's parts and where each starts."""
+    return json_parts(files(spark, sf_dir), nodes(spark, sf_dir), edges(spark, sf_dir), scores(spark, sf_dir), ROOT)
+
+
 def screaming_constants(spark, sf_dir):
     name = F.replace("p_type", F.lit(" "), F.lit("_"))
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).where(screaming(F.col("name")))
@@ -406,7 +412,7 @@ def corpus_index(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, script_nodes, module_nodes, script_edges, script_nodes_sql, tree_scan, cache_refresh, fixed_decimals, import_candidates, forward_deps, reverse_deps, impact_closure, impact_cyclic, impact_order, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_kernel_20, pagerank_converged, rank_top_files, map_budgeted, map_text, search_definitions, search_trigrams, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, screaming_constants, utf16_lengths, page_links, corpus_index)}
+    return {f.__name__: f for f in (edges_distinct, out_degree, in_degree, dangling_files, corpus_edges, corpus_definitions, script_nodes, module_nodes, script_edges, script_nodes_sql, tree_scan, cache_refresh, fixed_decimals, import_candidates, forward_deps, reverse_deps, impact_closure, impact_cyclic, impact_order, impact_ranked, pagerank_20, pagerank_focus_20, pagerank_kernel_20, pagerank_converged, rank_top_files, map_budgeted, map_text, search_definitions, search_trigrams, search_by_kind, summary_counts, stats_counts, definitions_per_file, context_text, json_entries, json_document, screaming_constants, utf16_lengths, page_links, corpus_index)}
 
 
 _P = f"'{ROOT}/pkg/p' || {{}} || '.py'"
@@ -498,6 +504,14 @@ def oracle_sql() -> dict[str, str]:
         "definitions_per_file": f"{graph_sql}, {_N} SELECT file_path, count(*) AS n, string_agg({_L}, chr(10) ORDER BY start_line, seq) AS lines FROM own GROUP BY file_path",
         "context_text": f"{with_rank}, {_N} SELECT '# ' || substr({seed_path}, {len(ROOT) + 2}) || ' [score: ' || {_exact(f'(SELECT score FROM score WHERE file_path = {seed_path})')} || ']' || chr(10) || chr(10) || '## Definitions' || chr(10) || {ndef} || chr(10) || chr(10) || '## Dependencies' || chr(10) || coalesce({dep.format('dst', len(ROOT) + 2, 'src', seed_path)}, '(none)') || chr(10) || chr(10) || '## Dependents' || chr(10) || coalesce({dep.format('src', len(ROOT) + 2, 'dst', seed_path)}, '(none)') AS text",
         "json_entries": f"{with_rank}, {_N} SELECT substr(file_path, {len(ROOT) + 2}) AS \"filePath\", max(score) AS score, count(*) AS n, string_agg(kind || '/' || name || '/' || start_line || '/' || start_line, ',' ORDER BY start_line, seq) AS definitions FROM own JOIN score USING (file_path) GROUP BY file_path",
+        "json_document": f"""{with_rank}, {_N},
+ def AS (SELECT file_path, string_agg('        {{' || chr(10) || '          "name": "' || name || '",' || chr(10) || '          "kind": "' || kind || '",' || chr(10) || '          "startLine": ' || start_line || ',' || chr(10) || '          "endLine": ' || start_line || chr(10) || '        }}', ',' || chr(10) ORDER BY start_line, seq) AS defs FROM own GROUP BY file_path),
+ entry AS (SELECT row_number() OVER (ORDER BY score DESC, file_path) AS place, '    {{' || chr(10) || '      "filePath": "' || substr(file_path, {len(ROOT) + 2}) || '",' || chr(10) || '      "score": ' || regexp_replace(printf('%.6f', score), '\\.?0+$', '') || ',' || chr(10) || '      "definitions": [' || chr(10) || defs || chr(10) || '      ]' || chr(10) || '    }}' AS t FROM def JOIN score USING (file_path)),
+ head AS (SELECT '{{' || chr(10) || '  "metadata": {{' || chr(10) || '    "fileCount": ' || (SELECT count(*) FROM entry) || ',' || chr(10) || '    "edgeCount": ' || (SELECT count(*) FROM e) || ',' || chr(10) || '    "tokenCount": ' AS a, ',' || chr(10) || '    "rootDir": "{ROOT}"' || chr(10) || '  }},' || chr(10) || '  "files": [' || chr(10) AS b, chr(10) || '  ]' || chr(10) || '}}' AS tail),
+ parts AS (SELECT place, CASE WHEN place > 1 THEN ',' || chr(10) ELSE '' END || t AS t FROM entry),
+ whole AS (SELECT ceil((sum(length(t)) + max(length(a) + 1 + length(b) + length(tail))) / 3.0)::BIGINT AS tokens FROM parts, head),
+ everything AS (SELECT 0 AS place, a || tokens || b AS t FROM head, whole UNION ALL SELECT place, t FROM parts UNION ALL SELECT 1000000000, tail FROM head)
+ SELECT (sum(length(t)) OVER (ORDER BY place) - length(t))::BIGINT AS start, t AS text FROM everything""",
         "screaming_constants": "SELECT p_partkey, replace(p_type, ' ', '_') AS name FROM part WHERE regexp_full_match(replace(p_type, ' ', '_'), '[A-Z_][A-Z0-9_]*') AND length(p_type) > 1",
         "utf16_lengths": "SELECT doc_id, (length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::BIGINT AS units FROM documents",
         "page_links": "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href=\"(/[^\"]*)\"', 1)) AS href FROM pages) GROUP BY page_id, href",
