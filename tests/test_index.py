@@ -6,6 +6,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import weftmap
 from weftmap import cli
@@ -338,3 +339,27 @@ def test_stream(spark, tmp_path):
     index = current(spark, table, "/r")
     assert {r["file_path"] for r in index.files.collect()} == {"/r/a.py", "/r/b.py"}
     assert {r["name"] for r in index.nodes.collect()} == {".b", "g", "h"} and index.edges.count() == 1
+
+
+def test_stream_is_compacted(spark, tmp_path):
+    """Many batches, a base now and then: the same index, few folders, and late old versions change nothing."""
+    from weftmap.streaming import watch
+
+    table = str(tmp_path / "table")
+    kept = {}
+    for n in range(9):
+        rows = [("/r/a.py", f"A_{n} = 1\n", n), (f"/r/f{n}.py", "X_Y = 1\n", 0), *([("/r/f1.py", None, 5)] if n == 2 else []), *([("/r/f1.py", "OLD_ONE = 1\n", 3)] if n == 7 else [])]
+        latest = spark.createDataFrame(rows, "file_path string, source string, version long")
+        parsed = parse_sources(latest).join(latest.select("file_path", "version", F.col("source").isNull().alias("gone")), "file_path")
+        parsed.write.mode("overwrite").parquet(f"{table}/batch={n}")
+        kept |= {r[0]: r[1] for r in rows if not (n == 7 and r[0] == "/r/f1.py")}
+        if n % 3 == 2:
+            watch.compact(spark, table)
+    assert sorted(os.listdir(table)) == ["batch=6", "batch=7", "batch=8"] and sorted(os.listdir(table + "-base")) == ["upto=5", "upto=8"]
+    index = watch.current(spark, table, "/r")
+    assert {r["file_path"] for r in index.files.collect()} == {k for k, v in kept.items() if v is not None}
+    assert {r["name"] for r in index.nodes.collect()} == {"A_8", "X_Y"}
+    os.remove(f"{table}-base/upto=8/_SUCCESS")
+    assert watch.current(spark, table, "/r").files.count() == len(kept) - 1
+    watch.compact(spark, str(tmp_path / "nothing"))
+    assert watch.current(spark, str(tmp_path / "nothing"), "/r").files.count() == 0
