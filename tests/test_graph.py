@@ -1,12 +1,13 @@
 """Resolution, graph, ranks and closure on edges given directly."""
 
+import random
 from pathlib import Path
 
 import numpy as np
 import pytest
 
-from weftmap.operators import graph, rank, trigrams
-from weftmap.operators.closure import impact, ranked
+from weftmap.operators import closure, graph, rank, trigrams
+from weftmap.operators.closure import depths, impact, ranked
 from weftmap.operators.resolve import resolve
 from weftmap.plans.index import search
 from weftmap.sources.shared import materialize_bucketed, shared_dir
@@ -218,6 +219,44 @@ def test_long_chain(spark):
     assert impact(e, "n20", reverse=False).count() == 21
 
 
+def bfs(pairs, start):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(b, []).append(a)
+    depth, queue = {start: 0}, [start]
+    for at in queue:
+        for a in near.get(at, []):
+            if a not in depth:
+                depth[a] = depth[at] + 1
+                queue.append(a)
+    return depth
+
+
+def test_depths(spark):
+    """Runs, cycles of files with one way in, arcs that shorten a long run, and random graphs; after 0 or 2 plain levels."""
+    told = lambda df: {r["file_path"]: r["depth"] for r in df.collect()}
+    run = [(f"n{i + 1}", f"n{i}") for i in range(20)]
+    ring = [("u", "v"), ("v", "w"), ("w", "u"), ("hung", "u")]
+    rng = random.Random(5)
+    some = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(75)]
+    for pairs in ([*run, *ring], [*run, ("n15", "n2"), ("m", "n20"), ("m", "n4"), ("k", "m"), ("n0", "n20")], [*run, *run, ("n0", "n0")], some, [], [("n1", "n0"), ("n0", "n1")]):
+        for levels in (0, 2):
+            assert told(depths(edge_table(spark, pairs), "n0", levels=levels)) == bfs(pairs, "n0"), (pairs, levels)
+    assert told(depths(edge_table(spark, [(b, a) for a, b in some]), "n0", reverse=False, levels=1)) == bfs(some, "n0")
+    assert told(depths(edge_table(spark, ring), "unknown", levels=1)) == {"unknown": 0}
+
+
+def test_deep_chain_in_few_rounds(spark, monkeypatch):
+    """3,000 files, one behind the other, with a branch at the end."""
+    written = []
+    monkeypatch.setattr(closure, "materialize", lambda df, label, make=closure.materialize: (written.append(label), make(df, label))[1])
+    pairs = [(f"n{i + 1}", f"n{i}") for i in range(3000)] + [("far", "n2999"), ("n1", "far")]
+    got = {r["file_path"]: r["depth"] for r in depths(edge_table(spark, pairs), "n0").collect()}
+    assert got == bfs(pairs, "n0") and got["n3000"] == 3000
+    rounds = [x for x in written if x in ("frontier", "runs", "nearer")]
+    assert len(rounds) < 22 and "frontier" in rounds and "runs" in rounds
+
+
 def test_dependencies(spark):
     e = edge_table(spark, [("a", "b"), ("b", "c"), ("d", "b")])
     names = lambda df: {r["file_path"] for r in df.collect()}

@@ -20,7 +20,7 @@ from ..functions.extract.sql import register_function
 from ..functions.paths import relative
 from ..functions.text import fixed4, screaming, units
 from ..operators import graph, rank, render, trigrams
-from ..operators.closure import impact, ranked
+from ..operators.closure import depths, impact, ranked
 from ..operators.document import json_parts
 from ..sources.files import nodes_of, parse_sources
 from ..sources import cache
@@ -287,7 +287,7 @@ def reverse_deps(spark, sf_dir):
 
 
 def impact_closure(spark, sf_dir):
-    return _long(impact(materialize(edges(spark, sf_dir), "edges"), seed()).drop("place"), "depth")
+    return depths(materialize(edges(spark, sf_dir), "edges"), seed())
 
 
 def cyclic_edges(spark, sf_dir) -> DataFrame:
@@ -308,7 +308,7 @@ def impact_order(spark, sf_dir):
 
 def impact_cyclic(spark, sf_dir):
     """Dependents where files need each other."""
-    return _long(impact(materialize(cyclic_edges(spark, sf_dir), "edges"), seed()).drop("place"), "depth")
+    return depths(materialize(cyclic_edges(spark, sf_dir), "edges"), seed())
 
 
 def impact_ranked(spark, sf_dir):
