@@ -194,6 +194,21 @@ def test_toxicity_odd(spark, odd, none):
         assert toxicity.score(none, ["doc_id"], index).count() == 0
 
 
+def test_ids_as_text(spark):
+    """Substring dedup and toxicity with ids that are strings give what they give for numbers."""
+    shared = " ".join(f"w{i}" for i in range(50))
+    texts = [f"start{i} {shared} end{i}" for i in range(6)] + [None, "", "one two three", shared] + [f"{'vile ' * (i % 3)}plain words number{i % 7} here" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = df.withColumn("doc_id", F.concat(F.lit("d-"), F.col("doc_id")))
+    cut = lambda d: sorted(tuple(r)[1:] for r in substring.remove_repeats(d, ["doc_id"], digest=True).collect())
+    assert cut(df) == cut(named) and any(r[1] for r in cut(named))
+    known = named.select("doc_id", F.col("text").contains("vile").cast("int").alias("toxic")).where("toxic is not null")
+    index = toxicity.fit(named, known)
+    got = {r["doc_id"]: r for r in toxicity.score(named, ["doc_id"], index).collect()}
+    assert len(got) == len(texts) and all(x.startswith("d-") for r in got.values() for x in r["evidence"])
+    assert any(r["evidence"] for r in got.values()) and all(0 <= r["score"] <= 1 for r in got.values())
+
+
 # --- token ids
 
 

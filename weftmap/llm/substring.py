@@ -16,7 +16,8 @@ very many texts hold.
 Defined results: a null text has no words; texts shorter than a window, and
 empty tables, come back whole; repeated rows (same id, same text) repeat each
 other's windows and are removed alike; a kept column named like one that is made comes
-back with ``_in`` at the end of its name.
+back with ``_in`` at the end of its name; ids may be of any type that can be joined on;
+a very long text is handled alone and whole.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import wordhash as H
 from .common import batches, carry, columns, materialize, quoted, text_bytes
@@ -193,9 +195,9 @@ def with_candidates(sketch, window: int, anchor: int, bits: int, want: bool, tex
 def repeated_windows(docs: DataFrame, sketch, window: int = WINDOW, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
     """(doc_id, th, starts): the word positions where windows found elsewhere too begin. th is xxhash64 of the text."""
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    key = pa.int32() if dict(own.dtypes)["doc_id"] == "int" else pa.int64()
-    run = candidate_windows(sketch, window, anchor, bits, key)
-    found = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, th long, pos int, h long, h2 int")
+    key = own.schema["doc_id"].dataType
+    run = candidate_windows(sketch, window, anchor, bits, to_arrow_type(key))
+    found = own.mapInArrow(run, f"doc_id {key.simpleString()}, th long, pos int, h long, h2 int")
     again = materialize(found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2"), "repeated")
     return found.join(again, ["h", "h2"], "left_semi").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("starts"))
 

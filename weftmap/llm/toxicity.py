@@ -22,7 +22,9 @@ Defined results: null and empty texts have no terms; an id labelled more than
 once, and a text with several labels, counts with its highest label; rows with a null
 label or id are no examples; without examples of both labels every score is 0; ties
 among examples go to the lower place in the index; repeated rows are scored alike; a
-kept column named like one that is made comes back with ``_in`` at the end of its name.
+kept column named like one that is made comes back with ``_in`` at the end of its name;
+ids may be of any type that can be joined on, and evidence is of that type; a very long
+text is scored alone and whole.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType
 
 from . import wordhash as H
 from .common import batches, carry, columns, held_out, materialize, text_bytes
@@ -103,6 +107,9 @@ def label_weights(df: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.nda
 class Index:
     """The examples: block-max postings over unit vectors."""
 
+    #: The type of the examples' ids.
+    kind: DataType = LongType()
+
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, label: np.ndarray, first: np.ndarray, term: np.ndarray, times: np.ndarray, votes: tuple[float, float] = (1.0, 1.0)):
         self.terms, self.idf = terms, idf
         self.unseen = float(np.log(1 + len(ids)) + 1)  # the idf of a word that no example has
@@ -258,10 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index:
     texts, votes = examples(docs, labels, most)
     if texts is None:
         return Index(np.empty(0, np.uint64), np.empty(0), none, none, np.zeros(1, np.int64), none, none)
-    rows = texts.mapInArrow(vectors, "th long, doc_id long, toxic long, terms binary, times binary").toArrow()
+    kind = docs.schema["doc_id"].dataType
+    rows = texts.mapInArrow(vectors, f"th long, doc_id {kind.simpleString()}, toxic long, terms binary, times binary").toArrow()
     rows = rows.sort_by("th").combine_chunks()
     flat = lambda c, kind: np.concatenate([np.frombuffer(b"".join(x.to_pylist()), kind) for x in rows.column(c).chunks])
-    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
+    ids, toxic = rows.column("doc_id").to_numpy(zero_copy_only=False), rows.column("toxic").to_numpy()
     size = pc.binary_length(rows.column("terms")).to_numpy() // 8
     times = flat("times", "<u4")
     term, back = np.unique(flat("terms", "<u8"), return_inverse=True)
@@ -272,17 +280,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Index:
     df = np.bincount(back, minlength=len(term))
     in_toxic = np.bincount(back[np.repeat(toxic, size) == 1], minlength=len(term))
     idf = (np.log((1 + n0 + n1) / (1 + df)) + 1) * label_weights(df, in_toxic, n0, n1)
-    return Index(term, idf, ids, toxic, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), back, times, votes)
+    index = Index(term, idf, ids, toxic, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), back, times, votes)
+    index.kind = kind
+    return index
 
 
 def judge(shared, keep: list[str], text: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        ids = pa.list_(to_arrow_type(index.kind))
         for rows, texts in batches(it, text):
             first, term, times, other = found_terms(words_of(texts), index.terms)
             got = index.score(first, term, times, other)
             yield pa.RecordBatch.from_arrays(
-                [*columns(rows, keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
+                [*columns(rows, keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], ids), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 [*keep, "score", "evidence", "cosines"],
             )
 
@@ -291,5 +302,5 @@ def judge(shared, keep: list[str], text: str):
 
 def score(docs: DataFrame, keep: list[str], index: Index) -> DataFrame:
     """``keep`` columns with score, evidence (ids of the nearest examples) and cosines. No shuffle."""
-    own, names, (text,), schema = carry(docs, keep, "score double, evidence array<long>, cosines array<double>")
+    own, names, (text,), schema = carry(docs, keep, f"score double, evidence array<{index.kind.simpleString()}>, cosines array<double>")
     return own.mapInArrow(judge(docs.sparkSession.sparkContext.broadcast(index), names, text), schema)
