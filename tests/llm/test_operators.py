@@ -597,6 +597,26 @@ def test_url_rules(spark):
     assert urls.judge_pages(df.limit(0), Q.URL_RULES).count() == 0
 
 
+def test_many_url_rules(spark):
+    """3,000 rules, in a table, against trying each."""
+    rng = np.random.default_rng(9)
+    some = lambda k, n: "".join("ab"[int(x)] for x in rng.integers(0, 2, int(rng.integers(k, n))))
+    rules = list({("block" if rng.random() < 0.5 else "allow", ".".join(some(1, 3) for _ in range(int(rng.integers(1, 4)))), "/" + some(0, 8)) for _ in range(3000)}) + [("block", "", ""), ("allow", "a", ""), ("block", "a", "")]
+    urls_given = [f"x://{'.'.join(some(1, 3) for _ in range(int(rng.integers(1, 5))))}/{some(0, 9)}" for _ in range(300)] + ["x://a./b", "x:///", "x://.a", "y://b.a.", None]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls_given)], "page_id long, url string, html string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    for given in (rules, table):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_pages(df, given).collect()}
+        for i, u in enumerate(urls_given):
+            host, _, path = u[4:].partition("/") if u else ("", "", "")
+            path = "/" + path if u and "/" in u[4:] else ""
+            fits = [(-len(h + p), v != "block", v, h, p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            if fits:
+                assert got[i] == ("".join(min(fits)[3:]), min(fits)[2]), (u, got[i])
+            else:
+                assert got[i][0] is None
+
+
 def test_spread(spark):
     rng = np.random.default_rng(6)
     hosts = [f"h{i}" for i in range(12)]

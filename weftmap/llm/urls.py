@@ -8,7 +8,9 @@ above its trust and above ``threshold`` times the mean score of a host.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and no rule; it is allowed, as the empty host takes no part in the graph. Null
-html has no links. Repeated pages are judged one by one.
+html has no links. Repeated pages are judged one by one. Of rules that are as long as
+each other one that blocks is followed first, then the first by verdict, host and path.
+Very long urls are read whole.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules become one expression, so their number is bounded.
-MAX_RULES = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -31,17 +31,23 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """The longest rule that fits and its verdict; null if none does. A rule is (verdict, host, path start)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    name = verdict = None
-    for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r)):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        name = F.when(fits, F.lit(h + p)) if name is None else name.when(fits, F.lit(h + p))
-        verdict = F.when(fits, F.lit(v)) if verdict is None else verdict.when(fits, F.lit(v))
-    none = F.lit(None).cast("string")
-    return (none, none) if name is None else (name, verdict)
+def rules_of(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, ruled): for each different host and path that a rule (verdict, host, path) fits, the rule to follow.
+
+    A host is looked up by the names it ends with, a path by its beginnings of the lengths
+    that rules of such a host have, both by equality, so there may be any number of rules.
+    """
+    rules = rules.select("verdict", F.col("host").alias("of"), F.col("path").alias("begins")).distinct()
+    sizes = rules.groupBy(F.col("of").alias("under")).agg(F.collect_set(F.length("begins")).alias("sizes"))
+    parts = F.split("host", r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hosts = pages.select("host").distinct().select("host", F.explode(names).alias("name"))
+    asked = hosts.join(sizes, F.col("name") == F.col("under")).select(F.col("host").alias("at"), "name", F.explode("sizes").alias("size"))
+    keys = pages.select("host", "path").distinct().join(asked, F.col("host") == F.col("at")).where(F.col("size") <= F.length("path"))
+    fit = keys.join(rules, (F.col("name") == F.col("of")) & (F.substr("path", F.lit(1), F.col("size")) == F.col("begins")))
+    order = F.struct((-F.length("of") - F.length("begins")).alias("size"), (F.col("verdict") != "block").alias("mild"), "verdict", "of", "begins")
+    best = fit.groupBy("host", "path").agg(F.min(order).alias("r"))
+    return best.select("host", "path", F.concat("r.of", "r.begins").alias("rule"), F.col("r.verdict").alias("ruled"))
 
 
 def host_links(pages: DataFrame) -> DataFrame:
@@ -92,19 +98,22 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     return state.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r"))).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("r"))).alias("distrust"))
 
 
-def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]], seed_share: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) for each page."""
+def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, seed_share: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """(page_id, host, path, rule, verdict, trust, distrust) for each page. Rules are (verdict, host, path start), in a list or a table."""
     host, path = split_url(F.col("url").cast("string"))
-    own = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
-    name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    own = own.select("page_id", "html", "host", "path", name.alias("rule"), verdict.alias("ruled"))
+    given = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
+    if not isinstance(rules, DataFrame):
+        rules = pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
+    best = rules_of(given, rules).withColumnsRenamed({"host": "at_host", "path": "at_path"})
+    own = given.select("page_id", "host", "path").join(best, (F.col("host") == F.col("at_host")) & (F.col("path") == F.col("at_path")), "left").drop("at_host", "at_path")
+    own = materialize(own, "ruled")
     n = F.count(F.lit(1))
     by_host = own.where("host != ''").groupBy("host").agg((F.sum((F.col("ruled") == "allow").cast("int")) / n).alias("a"), (F.sum((F.col("ruled") == "block").cast("int")) / n).alias("b"))
     a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
     seeds = by_host.select("host", F.when((a >= seed_share) & (a >= b), a).otherwise(0.0).alias("trust"), F.when((b >= seed_share) & (b > a), b).otherwise(0.0).alias("distrust"))
     seeds = materialize(seeds, "seeds")
-    scores = materialize(spread(host_links(own), seeds), "hosts")
+    scores = materialize(spread(host_links(given), seeds), "hosts")
     mean = 1.0 / max(1, scores.count())
-    judged = own.drop("html").join(scores.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").drop("h")
+    judged = own.join(scores.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").drop("h")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > F.lit(threshold * mean))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust")
