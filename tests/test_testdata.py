@@ -4,10 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from weftmap.plans import testdata
+from weftmap.plans import answers, testdata
+
+QUERIES = testdata.queries() | answers.queries()
+ORACLE = testdata.oracle_sql() | answers.oracle_sql()
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="module")
@@ -23,14 +26,14 @@ def rows(columns, values):
     return [columns[i] for i in order], sorted(tuple(str(v[i]) for i in order) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(testdata.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, sql, name):
-    df = testdata.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    made = sql.execute(testdata.oracle_sql()[name])
+    made = sql.execute(ORACLE[name])
     assert got == rows([c[0] for c in made.description], made.fetchall())
 
 
 def test_entry(spark):
     assert entry.entry(spark).first()["text"].endswith(" tokens]")
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(testdata.queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

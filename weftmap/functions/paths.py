@@ -43,3 +43,10 @@ def relative(path: Column, root: str) -> Column:
     )
     outside = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.lit(len(base)) - shared), F.slice(parts, shared + 1, F.greatest(F.size(parts) - shared, F.lit(0)))), "/")
     return F.when(path == root, F.lit("")).when(path.startswith(inside), F.substr(path, F.lit(len(inside) + 1))).otherwise(outside)
+
+
+def within(path: Column, root: str) -> Column:
+    """``path``, absolute or as seen from ``root``, in normal form, if it is the root or below it; else null (FLT-6)."""
+    root = "/" + root.strip("/")
+    whole = normal(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root + "/"), path)))
+    return F.when((whole == root) | whole.startswith(root.rstrip("/") + "/"), whole)

@@ -51,3 +51,20 @@ def age(seconds: float) -> str:
         if limit is None or n < limit:
             return f"{plural(n, unit, unit + 's')} ago"
     raise AssertionError
+
+
+def ago(seconds: Column) -> Column:
+    """``age`` of a column; null where it is."""
+    s = seconds.cast("long")
+
+    def some(size: int, unit: str) -> Column:
+        n = F.floor(s / size).cast("string")
+        return F.concat(n, F.lit(f" {unit}"), F.when(n == "1", "").otherwise("s"), F.lit(" ago"))
+
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit(" seconds ago"))).when(s < 3600, some(60, "minute")).when(s < 86400, some(3600, "hour")).when(s.isNotNull(), some(86400, "day"))
+
+
+def package_names(manifest: Column) -> Column:
+    """Names of the dependencies in the text of a package.json, then of those for development; null if it can't be read (SRC-14)."""
+    of = lambda key: F.coalesce(F.json_object_keys(F.get_json_object(manifest, f"$.{key}")), F.array().cast("array<string>"))
+    return F.when(F.json_object_keys(manifest).isNotNull(), F.concat(of("dependencies"), of("devDependencies")))

@@ -1,9 +1,7 @@
 """The JSON document in parts, made and placed by the tasks (SNK-3, Q-JSON, Q12).
 
-Files are sorted by score over all tasks and each becomes a part, its own text. A
-task's lengths add up to one number, of which the driver makes the offsets of the tasks
-(a number each); where a part starts follows from its task's offset and a running sum within the
-task. The count of tokens comes from the same sums. Parts in order of ``start`` are the text
+Files are sorted by score over all tasks and each becomes a part, its own text, placed as in
+``parts``. The count of tokens comes from the same sums. Parts in order of ``start`` are the text
 that ``render.render_json`` makes on the driver.
 """
 
@@ -14,10 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from ..functions.text import units
-from ..sources.shared import materialize
+from .parts import placed, size
 from .render import _dump, json_rows
 
 PER_TOKEN = 3
@@ -48,24 +44,9 @@ def json_parts(files: DataFrame, nodes: DataFrame, edges: DataFrame, scores: Dat
     spark = files.sparkSession
     rows = json_rows(files, nodes, scores, root)
     texts = rows.mapInArrow(_texts, "score double, file_path string, text string")
-    ordered = texts.orderBy(F.desc("score"), F.collate("file_path", "UNICODE")).select(F.monotonically_increasing_id().alias("place"), "text", units(F.col("text")).alias("length"))
-    made = materialize(ordered, "parts").withColumn("task", F.shiftright("place", 33))
-    sums = sorted(tuple(r) for r in made.groupBy("task").agg(F.sum("length"), F.count(F.lit(1))).collect())  # a row for each task
-    n = sum(k for _, _, k in sums)
+    parts, n, length = placed(texts.orderBy(F.desc("score"), F.collate("file_path", "UNICODE")), ",\n")
     n_edges = edges.distinct().count()
-    size = lambda text: len(text.encode("utf-16-le")) // 2
-    total = sum(s for _, s, _ in sums) + 2 * max(0, n - 1) + sum(size(x) for x in _frame(n, n_edges, 0, root))
+    total = length + sum(size(x) for x in _frame(n, n_edges, 0, root))
     head, tail = _frame(n, n_edges, -(-total // PER_TOKEN), root)
-    at, offsets = size(head), []
-    for task, length, count in sums:
-        offsets.append((task, at, at == size(head)))
-        at += length + 2 * count  # each part but the last is followed by a comma and a line end
-    begins = spark.createDataFrame(offsets, "task bigint, base bigint, first boolean")
-    w = Window.partitionBy("task").orderBy("place")
-    before = F.coalesce(F.sum(F.col("length") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lead = F.col("first") & (F.row_number().over(w) == 1)
-    # a row for each task, so its size is known; the comma goes with the part that it stands before
-    parts = made.join(F.broadcast(begins), "task").select((F.col("base") + before - F.when(lead, 0).otherwise(2)).alias("start"), F.concat(F.when(lead, "").otherwise(",\n"), "text").alias("text"))
-    end = at - 2 if n else at
-    ends = spark.createDataFrame([(0, head), (end, tail)], "start bigint, text string")
-    return parts.unionByName(ends)
+    ends = spark.createDataFrame([(0, head), (size(head) + length, tail)], "start bigint, text string")
+    return parts.select((F.col("start") + size(head)).alias("start"), "text").unionByName(ends)
