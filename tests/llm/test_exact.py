@@ -505,3 +505,27 @@ def test_decontamination_stage_is_exact(spark):
     got = {r["doc_id"] for r in cp.benchmark_passages(spark, docs, SF).collect()}
     want = {r["doc_id"] for r in docs.collect() if not any(near(flat(r["text"] or ""), b) is not None for b in items)}
     assert got == want and len(want) < docs.count()
+
+
+def test_measured_recall_of_near_copies(spark):
+    """Links found among all pairs of 1,500 near copies, most of them at 0.83 to 0.9, against a matrix of full sets."""
+    rng = np.random.default_rng(11)
+    texts, n, k = [], 120, 5
+    for i in range(1500):
+        words = [f"w{j}" for j in range(n)]
+        for j in rng.choice(n, rng.integers(0, 3), replace=False):
+            words[j] = f"x{i}_{j}"
+        texts.append(" ".join(words))
+    grams = [{tuple(w[a : a + k]) for a in range(n - k + 1)} for w in (t.split() for t in texts)]
+    ids = {g: c for c, g in enumerate(sorted(set().union(*grams)))}
+    has = np.zeros((len(texts), len(ids)), np.float32)
+    for row, own in zip(has, grams, strict=True):
+        row[[ids[g] for g in own]] = 1
+    shared, size = has @ has.T, has.sum(1)
+    linked = shared >= 0.8 * (size[:, None] + size[None, :] - shared) - 1e-6
+    want = linked.sum(1) - 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(docs).select("doc_id", "n_links").collect()}
+    found = np.array([got[i] for i in range(len(texts))])
+    assert (found <= want).all() and 1_000_000 < want.sum() < len(texts) * (len(texts) - 1)
+    assert found.sum() >= 0.9999 * want.sum()
