@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftmap.functions.paths import normal, relative
-from weftmap.functions.text import age, fixed4, units
+from weftmap.functions.text import age, fixed4, printed12, units
 from weftmap.operators import render
 from weftmap.operators.document import json_parts
 
@@ -129,3 +129,13 @@ def test_document_in_parts_is_the_document(spark):
         for start, text in rows:
             assert start == at
             at += len(text.encode("utf-16-le")) // 2
+
+
+def test_printed12_is_exact(spark):
+    rng = random.Random(12)
+    given = [rng.choice((1, -1)) * rng.random() * 10.0 ** rng.randint(-14, 15) for _ in range(4000)] + [k / 8192 + rng.randint(0, 60_000) for k in range(0, 400)]
+    given += [57748.509905133928, 0.1234567890125, 0.9999999999996, 0.9999999999994, 5e-13, 5e-324, 2.0**53 - 1, 2.0**52 + 0.5, 0.0]
+    rows = spark.createDataFrame([(x,) for x in given], "x double").select("x", printed12(F.col("x")).alias("text")).collect()
+    assert [r["text"] for r in rows] == ["%.12f" % r["x"] for r in rows]
+    odd = spark.createDataFrame([(float("nan"),), (float("-inf"),), (None,)], "x double").select(printed12(F.col("x"))).collect()
+    assert [r[0] for r in odd] == ["NaN", "-Infinity", None]
