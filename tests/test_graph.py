@@ -270,3 +270,14 @@ def test_rounds_leave_one_table_of_ranks(spark):
     got = rank.pagerank(vertices(spark, "abc"), edge_table(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")]), rounds=5, tolerance=0)
     assert got.iterations == 5 and abs(sum(r["score"] for r in got.scores.collect()) - 1) < 1e-9
     assert len(set(folder.glob("rank-*")) - before) == 1
+
+
+def test_rounds_are_over_numbers(spark):
+    """The tables of edges and of scores hold numbers; paths lie in the table of names alone."""
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "weftmap"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    made = rank.pagerank(vertices(spark, "abc"), edge_table(spark, [("a", "b"), ("b", "c"), ("a", "b"), ("a", "x")]), rounds=2, tolerance=0)
+    new = {p.name.split("-")[0]: p for p in set(folder.iterdir()) - before}
+    for table, key in (("edges", "src"), ("edges", "dst"), ("rank", "file_path")):
+        assert dict(spark.read.parquet(str(new[table])).dtypes)[key] == "bigint"
+    assert spark.read.parquet(str(new["edges"])).count() == 2 and {r["file_path"] for r in made.scores.collect()} == set("abc")
