@@ -37,3 +37,10 @@ def test_query(spark, sql, name):
 def test_entry(spark):
     assert entry.entry(spark).first()["text"].endswith(" tokens]")
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+
+
+def test_tries_are_not_dealt_out(spark):
+    """An import's tries are told in its row, and an order is dealt out once."""
+    plan = testdata.import_candidates(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Exchange hashpartitioning(l_orderkey" in plan
+    assert all("l_partkey" not in x.split("(", 1)[1] for x in plan.split("\n") if "Exchange hashpartitioning(l_orderkey" in x)
