@@ -44,3 +44,9 @@ def test_tries_are_not_dealt_out(spark):
     plan = testdata.import_candidates(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "Exchange hashpartitioning(l_orderkey" in plan
     assert all("l_partkey" not in x.split("(", 1)[1] for x in plan.split("\n") if "Exchange hashpartitioning(l_orderkey" in x)
+
+
+def test_a_tree_is_read_once(spark):
+    """A scanned file is parsed as it is read, beside its name and size."""
+    plan = testdata.tree_scan(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and "Join" not in plan
