@@ -278,3 +278,11 @@ def test_large_components_are_an_error(spark):
     df = spark.createDataFrame([(1, [3e38] * 64)], "vec_id long, embedding array<float>")
     with pytest.raises(Exception, match="a component is beyond"):
         centroids.cluster(df, ["vec_id"]).collect()
+
+
+def test_no_store_stays_in_memory(spark):
+    """The stores of a start go with its commit."""
+    assert panes.run(spark.read.parquet("/root/testdata/sf0.001/clicks.parquet"), n_batches=2).count()
+    held = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$").getDeclaredField("loadedProviders")
+    held.setAccessible(True)
+    assert held.get(None).size() == 0
