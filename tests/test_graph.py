@@ -281,3 +281,33 @@ def test_rounds_are_over_numbers(spark):
     for table, key in (("edges", "src"), ("edges", "dst"), ("rank", "file_path")):
         assert dict(spark.read.parquet(str(new[table])).dtypes)[key] == "bigint"
     assert spark.read.parquet(str(new["edges"])).count() == 2 and {r["file_path"] for r in made.scores.collect()} == set("abc")
+
+
+def test_a_round_shuffles_a_number_for_a_file_and_block(spark, monkeypatch):
+    """400 files with 20,000 edges: a round deals out rows of blocks, not of edges, and blocks' edges stay in their buckets."""
+    rounds = []
+    monkeypatch.setattr(rank, "packed_round", lambda *a, make=rank.packed_round: (rounds.append(make(*a)), rounds[-1])[1], raising=False)
+    rng = np.random.default_rng(3)
+    names = [f"v{i}" for i in range(400)]
+    pairs = sorted({(names[a], names[b]) for a, b in rng.integers(0, 400, (20_000, 2))})
+    made = rank.pagerank(vertices(spark, names), edge_table(spark, pairs), rounds=2, tolerance=0)
+    got = {r["file_path"]: r["score"] for r in made.scores.collect()}
+    want = plain_pagerank(names, pairs, None, 2, 0)[0]
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = rounds[-1]._jdf.queryExecution().executedPlan().toString()
+    # the scores of the blocks, for each of their two uses, and what they give
+    assert len(rounds) == 2 and plan.count("Exchange hashpartitioning(block") == 2 and plan.count("Exchange hashpartitioning(to") == 1 and plan.count("Exchange ") == 3
+    assert plan.count("Bucketed: true") == 2
+
+
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_blocks_and_rows_give_the_same(spark, monkeypatch, most):
+    """A block with too many edges makes the rounds go over rows; a dangling file, one without edges and one to itself."""
+    monkeypatch.setattr(rank, "BLOCK_EDGES", most, raising=False)
+    monkeypatch.setattr(rank, "BLOCK_FILES", 1, raising=False)
+    names = [f"v{i}" for i in range(40)] + ["alone"]
+    pairs = sorted({(f"v{i}", "v0") for i in range(30)} | {("v0", f"v{i}") for i in range(0, 40, 3)})
+    made = rank.pagerank(vertices(spark, names), edge_table(spark, pairs), personalization={"alone": 3.0, "v1": 1.0}, rounds=7, tolerance=0)
+    want = plain_pagerank(names, pairs, {"alone": 3.0, "v1": 1.0}, 7, 0)[0]
+    got = {r["file_path"]: r["score"] for r in made.scores.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
