@@ -50,3 +50,14 @@ def test_a_tree_is_read_once(spark):
     """A scanned file is parsed as it is read, beside its name and size."""
     plan = testdata.tree_scan(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchScan") == 1 and "Join" not in plan
+
+
+def test_context_makes_the_edges_once(spark, monkeypatch):
+    """Order lines are read for the edges alone, not again for each way and for the scores."""
+    from weftmap.operators import rank
+
+    given = []
+    scores = spark.createDataFrame([(testdata.seed(), 0.5)], "file_path string, score double")
+    monkeypatch.setattr(rank, "pagerank", lambda files, edges, **how: (given.append(edges), rank.Ranked(scores, 20, False))[1])
+    plan = testdata.context_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "l_orderkey" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
