@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -286,3 +287,12 @@ def test_no_store_stays_in_memory(spark):
     held = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$").getDeclaredField("loadedProviders")
     held.setAccessible(True)
     assert held.get(None).size() == 0
+
+
+def test_stores_take_no_memory_beside_the_heap(spark, monkeypatch):
+    """Commits are those of stores in the heap: RocksDB's memory beside it added up over starts."""
+    fed, feed = [], panes.PaneState.feed
+    monkeypatch.setattr(panes.PaneState, "feed", lambda self, latest: (fed.append(self.base), feed(self, latest))[1])
+    assert panes.run(spark.read.parquet("/root/testdata/sf0.001/clicks.parquet"), n_batches=2).count()
+    kinds = {f.suffix for f in Path(fed[0].removeprefix("file:")).glob("checkpoint/state/0/[0-9]*/*")}
+    assert len(fed) == 2 and ".delta" in kinds and not kinds & {".changelog", ".zip"}

@@ -1,7 +1,7 @@
 """Hourly panes of events that come in batches: emitted once due, revised when more rows come.
 
 Each batch is fed to a streaming query that is started anew for it, on one checkpoint.
-The query is a windowed aggregation of Spark with RocksDB state: its watermark, which
+The query is a windowed aggregation of Spark with a state store: its watermark, which
 lags behind by ``keep``, forgets panes that are closed. What the query writes is not used.
 After each batch the state store is read at the batch id just committed, and
 the totals are held against the snapshot before. A pane whose totals differ and that the
@@ -34,14 +34,12 @@ HOUR = 3_600_000_000
 DAY = 24 * HOUR
 #: Added to times inside the query: Spark's watermark begins at 1970, times may lie before.
 SHIFT = 36_500 * DAY
-#: How the query runs. The many small stores don't reserve room on disk for files that stay small, and a
-#: commit writes one small file of changes, without a second one for its checksum. A start commits once and
-#: leaves its stores for good, so each goes from memory with its commit, and those of ten starts don't add up.
-ROCKS = {
-    "stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "stateStore__rocksdb__allowFAllocate": "false",
+#: How the query runs. Its stores are Spark's own in the heap: RocksDB takes memory beside it at every opening, for a start
+#: and again for a snapshot, and what of that stays adds up over starts and partitions. A start commits once and leaves its
+#: stores for good, so each goes from memory with its commit: a task holds the open panes of one partition, no more.
+STORES = {
+    "stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     "stateStore__unloadOnCommit": "true",
-    "stateStore__rocksdb__changelogCheckpointing__enabled": "true",
     "checkpoint__fileChecksum__enabled": "false",
     "noDataMicroBatches__enabled": "false",
 }
@@ -161,7 +159,7 @@ def run(clicks: DataFrame, n_batches: int = 10, grace: int = 12 * HOUR, keep: in
         if b in tops:
             fs.rename(fs_path(f"{base}/batches/batch={b}"), fs_path(f"{base}/in/batch={b}"))
             late = spark.read.schema(schema).parquet(f"{base}/in/batch={b}").where(closed(F.col("hour"), latest, keep))
-            with _settings(spark, **ROCKS):
+            with _settings(spark, **STORES):
                 state.snapshot(state.feed(latest)).write.mode("overwrite").parquet(f"{base}/snapshots/{b}")
             now = spark.read.schema(_PANES).parquet(f"{base}/snapshots/{b}")
         change = revisions(now, snapshot, lifecycle, latest, grace, b + 1 == n_batches)
