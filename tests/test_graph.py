@@ -1,11 +1,14 @@
 """Resolution, graph, ranks and closure on edges given directly."""
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from weftmap.functions.paths import normal
 from weftmap.operators import closure, graph, rank, trigrams
 from weftmap.operators.closure import depths, impact, ranked
 from weftmap.operators.resolve import resolve
@@ -88,6 +91,31 @@ def test_strict_resolution(spark):
     assert {i: (f"/t{i}{k[w]}" if w is not None else None) for i, (_, _, k, w) in enumerate(cases)} == {i: got.get(i) for i in range(len(cases))}
 
 
+def test_stems_are_made_once_and_edges_dealt_out_once(spark):
+    """Neither a filter nor a second use makes them again, and what is told apart by file is shuffled by file alone."""
+    nodes = spark.createDataFrame([("/r/a.py:.b:1", ".b", "import", "/r/a.py")], "id string, name string, kind string, file_path string")
+    files = spark.createDataFrame([("/r/a.py",), ("/r/b.py",)], "file_path string")
+    edges = graph.build_edges(nodes, files)
+    plans = edges._jdf.queryExecution()
+    assert plans.optimizedPlan().toString().count(r"^\.\w)") == 1
+    assert len(re.findall(r"Exchange hashpartitioning\((?:id|src|file_path|name)#", plans.executedPlan().toString())) == 1
+    assert [tuple(r) for r in edges.collect()] == [("/r/a.py", "/r/b.py")]
+
+
+def test_normal_paths(spark):
+    odd = ["/", "//", "/a", "/a/", "/a//b", "/a/./b", "/a/.", "/a/..", "/a/../b", "/../a", "/..a/.b/c..", "/a/...", "a/b", "a", "", "/a/b/", "/.", "/a\n", "/a/..\n", "/a\n/../b"]
+    got = spark.createDataFrame([(p,) for p in [*odd, None]], "p string").select("p", normal(F.col("p")).alias("n"), normal(F.col("p"), keep_slash=True).alias("k")).collect()
+
+    def plain(p):
+        parts = []
+        for x in p.split("/"):
+            parts = parts[:-1] if x == ".." else parts if x in ("", ".") else [*parts, x]
+        return "/" + "/".join(parts)
+
+    assert {r["p"]: r["n"] for r in got} == {p: plain(p) for p in odd} | {None: None}
+    assert {r["p"]: r["k"] for r in got} == {p: plain(p) + "/" * (p.endswith("/") and plain(p) != "/") for p in odd} | {None: None}
+
+
 def test_edges_are_distinct_and_degrees_count(spark):
     nodes = spark.createDataFrame([("1", "./b", "import", "/p/a.ts"), ("2", "./b", "export", "/p/a.ts"), ("3", "./b", "function", "/p/a.ts"), ("4", "./a", "import", "/p/a.ts")], "id string, name string, kind string, file_path string")
     files = vertices(spark, ["/p/a.ts", "/p/b.ts"])
