@@ -290,7 +290,7 @@ def test_no_store_stays_in_memory(spark):
 
 
 def test_stores_take_no_memory_beside_the_heap(spark, monkeypatch):
-    """Commits are those of stores in the heap: RocksDB's memory beside it added up over starts."""
+    """Commits are those of stores in the heap, not of RocksDB."""
     fed, feed = [], panes.PaneState.feed
     monkeypatch.setattr(panes.PaneState, "feed", lambda self, latest: (fed.append(self.base), feed(self, latest))[1])
     assert panes.run(spark.read.parquet("/root/testdata/sf0.001/clicks.parquet"), n_batches=2).count()

@@ -34,9 +34,8 @@ HOUR = 3_600_000_000
 DAY = 24 * HOUR
 #: Added to times inside the query: Spark's watermark begins at 1970, times may lie before.
 SHIFT = 36_500 * DAY
-#: How the query runs. Its stores are Spark's own in the heap: RocksDB takes memory beside it at every opening, for a start
-#: and again for a snapshot, and what of that stays adds up over starts and partitions. A start commits once and leaves its
-#: stores for good, so each goes from memory with its commit: a task holds the open panes of one partition, no more.
+#: How the query runs. Its stores are Spark's own in the heap, as RocksDB takes memory beside it. A start commits once
+#: and leaves its stores for good, so each goes from memory with its commit: a task holds the open panes of one partition.
 STORES = {
     "stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     "stateStore__unloadOnCommit": "true",
