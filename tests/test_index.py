@@ -18,7 +18,7 @@ from weftmap.sources import cache
 from weftmap.sources.discover import discover
 from weftmap.sources.files import parse_files, parse_sources, spread
 from weftmap.sources.ignore import Ignore
-from weftmap.sources.tree import LISTED, remove_files, scan, write_tree
+from weftmap.sources.tree import LISTED, Walk, remove_files, scan, write_tree
 
 FILES = {
     "shop.ts": "import { Basket } from './model';\nimport { net } from './price';\n\n/** All that is paid. */\nexport async function total(basket: Basket) {\n  let sum = 0;\n  for (const item of basket.items) sum += net(item);\n  return sum;\n}\n",
@@ -178,6 +178,28 @@ def test_scan_is_what_discovery_finds(spark, tmp_path):
     assert scan(spark, str(tmp_path / "c" / "skip")).count() == 2
 
 
+def test_the_planner_holds_no_files(tmp_path, monkeypatch):
+    """A folder's files are dealt in shares that the tasks pick from its listing; so are folders, where a level has too many."""
+    import pickle
+
+    from weftmap.sources import tree
+
+    put(tmp_path, {f"flat/p{n}.py": "" for n in range(3000)} | {f"deep/d{n}/e/x.ts": "" for n in range(30)} | {"top.js": "", "flat/.dot.py": "", "flat/dist/x.py": "", "flat/a.min.js": ""})
+    os.symlink(tmp_path / "top.js", tmp_path / "deep" / "linked.js")
+    for gone, to in (("loop.py", "loop.py"), ("nowhere.py", "none.py"), ("folder.py", tmp_path / "flat")):
+        os.symlink(to, tmp_path / "deep" / gone)
+    want = sorted([*[f"flat/p{n}.py" for n in range(3000)], *[f"deep/d{n}/e/x.ts" for n in range(30)], "deep/linked.js", "top.js"])
+    walk = Walk(str(tmp_path))
+    for most in (10_000, 20, 1):
+        monkeypatch.setattr(tree, "PLANNED_FOLDERS", most)
+        for parts in (1, 2, 8, 64):
+            made = walk.plan(parts)
+            found = [[r for share in part.dealt for r, _, _ in walk.below(share)] for part in made]
+            assert sorted(r for own in found for r in own) == want and len(made) <= parts
+            assert len(pickle.dumps(made)) < 12_000 and all(".py" not in share.folder for part in made for share in part.dealt)
+            assert parts != 8 or most == 1 or max(map(len, found)) < 1000
+
+
 def test_trees_are_written_and_taken_away(spark, tmp_path):
     root = str(tmp_path / "new")
     rows = spark.createDataFrame([("a/b.py", "x = 1\n"), ("_c.ts", None), ("d.py", "é")], "relative string, source string")
