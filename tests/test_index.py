@@ -209,6 +209,20 @@ def test_trees_are_written_and_taken_away(spark, tmp_path):
     assert {r["relative"] for r in scan(spark, root).collect()} == {"a/b.py", "_c.ts"}
 
 
+def test_a_small_table_is_written_and_removed_by_all_cores(spark, tmp_path, monkeypatch):
+    """Rows that lie in one partition are dealt out, once each."""
+    from weftmap.sources import tree
+
+    met, real = [], tree.spread
+    monkeypatch.setattr(tree, "spread", lambda rows, **how: met.append(real(rows, **how)) or met[-1])
+    root = str(tmp_path / "new")
+    rows = spark.range(500).coalesce(1).selectExpr("concat('p', id, '.py') relative", "'X = 1\n' source")
+    assert write_tree(rows, root) == 500 and len(os.listdir(root)) == 500
+    assert remove_files(rows.where("relative like '%0.py'"), root) == 50 and len(os.listdir(root)) == 450
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert [m.rdd.getNumPartitions() for m in met] == [cores, cores]
+
+
 def test_parsing_is_dealt_over_all_cores(spark):
     """A small input in one partition; a number that is asked for; a large input stays as it is."""
     cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
